@@ -1,0 +1,56 @@
+"""Intermediate tables in the folder that driver and executors share.
+
+``spark.checkpoint.dir`` names that folder. A table written there cuts lineage
+as ``checkpoint()`` does, survives lost executors, and keeps its columns apart,
+so later steps read only what they select.
+"""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own_folder: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder for this application.
+
+    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a
+    temporary folder of the driver stands in for it.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = _own_folder.setdefault("base", tempfile.mkdtemp(prefix="spark-sessionlake-"))
+    folder = f"{base.rstrip('/')}/sessionlake-{spark.sparkContext.applicationId}"
+    if _own_folder.get("registered") != folder:
+        _own_folder["registered"] = folder
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    writer = df.write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Drop this application's intermediate tables when the driver ends, if its session still lives."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session is gone; the folder stays for the cluster's own cleaning
+        pass
