@@ -1,4 +1,6 @@
 """All registered queries and their DuckDB equivalents."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import broker_plans, calendar_plans, event_plans, quote_plans, source_plans, text_plans, watch_plans  # noqa: F401 - they register
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
