@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.llm import mixing, packing, pu, quality, simhash, toxicity
-from sessionlake.llm.scratch import materialize
+from sessionlake.scratch import materialize
 
 #: Scores from which a document counts as toxic, and below which it counts as junk.
 TOXIC_FROM, GOOD_FROM = 0.3, 0.3

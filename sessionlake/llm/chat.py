@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 START, END = "<|im_start|>", "<|im_end|>"
 

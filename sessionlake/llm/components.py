@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

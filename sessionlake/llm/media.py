@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize, new_path
+from ..scratch import materialize, new_path
 
 LEAST, AVERAGE_BITS, MOST = 1024, 12, 16384
 #: Bits of the bitmap of repeated chunk hashes. More repeats than bits only send more chunks to the store.

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 ROUNDS = 6
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier: 2^64 over the golden ratio

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from ..scratch import materialize
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
 _BLOCK = 31

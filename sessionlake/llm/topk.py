@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 1024, 128
 #: Scores up to this are exact in float64; above it, cells count in Python integers.

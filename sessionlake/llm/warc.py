@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize, new_path
+from ..scratch import materialize, new_path
 
 #: Bounds of one archive, of its dictionary and of the records that the dictionary is built from.
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 4096, 64 << 20
