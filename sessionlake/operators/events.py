@@ -38,9 +38,14 @@ def in_date_range(df: DataFrame, today: Column, days: int = DAYS_AHEAD, day: str
     return df.filter(F.col(day).between(today, F.date_add(today, days)) & (F.trim(F.coalesce(F.col(summary), F.lit(""))) != ""))
 
 
-def sort_events(df: DataFrame, tie: str = "title") -> DataFrame:
+def event_order(tie: str = "title") -> list[Column | str]:
     """By date, then time with all-day events first."""
-    return df.orderBy("date", F.col("time").asc_nulls_first(), tie)
+    return ["date", F.col("time").asc_nulls_first(), tie]
+
+
+def sort_events(df: DataFrame, tie: str = "title") -> DataFrame:
+    """The events in that order."""
+    return df.orderBy(*event_order(tie))
 
 
 def number_events(df: DataFrame, calendar: Sequence[str] = (), tie: str = "title") -> DataFrame:

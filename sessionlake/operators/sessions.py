@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,9 +57,14 @@ def assemble_session(points: DataFrame, live: DataFrame | None = None, keys: Seq
     return joined.select(*keys, *columns, *(["points"] if with_points else []))
 
 
+def point_order(at: str = "collected_at", tie: str = "tick_id") -> list[Column | str]:
+    """By time, points without one first."""
+    return [F.col(at).asc_nulls_first(), tie]
+
+
 def sort_points(points: DataFrame, at: str = "collected_at", tie: str = "tick_id") -> DataFrame:
-    """Points by time, those without one first."""
-    return points.orderBy(F.col(at).asc_nulls_first(), tie)
+    """The points in that order."""
+    return points.orderBy(*point_order(at, tie))
 
 
 def scale_series(points: DataFrame, keys: Sequence[str], at: str = "ts", tie: str = "tick_id", width: float = 680, height: float = 180, pad: float = 28) -> DataFrame:

@@ -89,8 +89,14 @@ def typed_sort_keys(value: Column, explicit: Column | None = None) -> tuple[Colu
     return F.coalesce(*([explicit.cast("double")] if explicit is not None else []), month_day, number), value
 
 
-def typed_sort(df: DataFrame, column: str, ascending: bool = True, explicit: str | None = None, tie: str | None = None) -> DataFrame:
-    """Rows by :func:`typed_sort_keys`, those without a number last in either direction."""
+def typed_order(column: str, ascending: bool = True, explicit: str | None = None, tie: str | None = None) -> list[Column | str]:
+    """Sort order by :func:`typed_sort_keys`, rows without a number last in either direction, those by text."""
     number, text = typed_sort_keys(F.col(column), F.col(explicit) if explicit else None)
-    order = [number.asc_nulls_last(), text.asc_nulls_last()] if ascending else [number.desc_nulls_last(), text.desc_nulls_last()]
-    return df.orderBy(*order, *([tie] if tie else []))
+    plain = F.when(number.isNull(), text)
+    order = [number.asc_nulls_last(), plain.asc_nulls_last()] if ascending else [number.desc_nulls_last(), plain.desc_nulls_last()]
+    return [*order, *([tie] if tie else [])]
+
+
+def typed_sort(df: DataFrame, column: str, ascending: bool = True, explicit: str | None = None, tie: str | None = None) -> DataFrame:
+    """The rows in that order."""
+    return df.orderBy(*typed_order(column, ascending, explicit, tie))

@@ -1 +1,131 @@
-"""."""
+"""Queries of economic events and headlines.
+
+Events of the calendar are rows of ``events`` (title from type and id) or of
+``orders``; headlines are ``documents`` with a time made from their id.
+"""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import events, news
+from ..operators.numbering import number_rows
+from .base import Tables, query
+
+_TODAY = date(2024, 1, 10)
+
+
+def _events(t: Tables):
+    return t.events.select(
+        "event_id", F.to_date("ts").alias("date"), F.when(F.col("event_id") % 5 > 0, F.date_format("ts", "HH:mm")).alias("time"),
+        F.concat("event_type", F.lit(" "), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("title"), (F.col("user_id") % 3 + 1).alias("importance"),
+        F.when(F.col("user_id") % 2 == 0, "US").otherwise("TW").alias("country"), F.col("event_type").alias("category"),
+    )
+
+
+_EVENTS = """e AS (SELECT event_id, ts::DATE AS date, CASE WHEN event_id % 5 > 0 THEN strftime(ts, '%H:%M') END AS time, event_type || ' ' || lpad(event_id::VARCHAR, 9, '0') AS title,
+user_id % 3 + 1 AS importance, CASE WHEN user_id % 2 = 0 THEN 'US' ELSE 'TW' END AS country, event_type AS category FROM events)"""
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN DATE '1997-03-05' AND DATE '1997-03-19' AND o_orderkey % 6 > 0")
+def P03_in_date_range(t: Tables):
+    rows = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 6 > 0, F.col("o_orderpriority")).otherwise("  ").alias("summary"))
+    return events.in_date_range(rows, F.lit(date(1997, 3, 5))).select("o_orderkey")
+
+
+@query(f"WITH {_EVENTS} SELECT strftime(date, '%Y-%m-%d') AS date, count(*) AS n FROM e WHERE importance = 3 AND country = 'US' AND category IN ('view', 'click') AND date BETWEEN DATE '2024-01-10' AND DATE '2024-01-14' AND contains(lower(title), 'i') GROUP BY 1")
+def P05_filter_events(t: Tables):
+    kept = events.filter_events(_events(t), F.lit(_TODAY), quick=("star3", "this_week"), countries=("US",), categories=("view", "click"), search="I")
+    return kept.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_EVENTS} SELECT event_id, row_number() OVER (ORDER BY date, coalesce(time, ''), title) - 1 AS place FROM e")
+def T02_sort_events(t: Tables):
+    return number_rows(_events(t), *events.event_order(), name="place").select("event_id", "place")
+
+
+@query(f"""WITH {_EVENTS} SELECT strftime(date, '%Y-%m-%d') AS date, CASE WHEN date = DATE '2024-01-10' THEN 'today' WHEN date = DATE '2024-01-11' THEN 'tomorrow' WHEN date <= DATE '2024-01-14' THEN 'this_week' ELSE 'next_week' END AS relative,
+date = DATE '2024-01-10' AS is_today, string_agg(coalesce(time, '-') || ' ' || title, ';' ORDER BY coalesce(time, ''), title) AS listed FROM e WHERE importance = 3 GROUP BY date""")
+def A07_agenda(t: Tables):
+    days = events.agenda(_events(t).filter("importance = 3"), F.lit(_TODAY))
+    listed = F.array_join(F.transform("events", lambda e: F.concat(F.coalesce(e["time"], F.lit("-")), F.lit(" "), e["title"])), ";")
+    return days.select("date", "relative", "is_today", listed.alias("listed"))
+
+
+@query("""WITH r AS (SELECT DISTINCT ts::DATE AS today, ts::DATE + 14 AS range_end FROM events),
+d AS (SELECT today, range_end, today - isodow(today)::INTEGER % 7 AS start, unnest(generate_series(today - isodow(today)::INTEGER % 7, range_end + 6 - isodow(range_end)::INTEGER % 7, INTERVAL 1 DAY))::DATE AS date FROM r),
+c AS (SELECT ts::DATE AS date, count(*) AS n FROM events GROUP BY 1)
+SELECT strftime(today, '%Y-%m-%d') AS today, strftime(range_end, '%Y-%m-%d') AS range_end, (date - start) // 7 AS week, (date - start) % 7 AS weekday, strftime(date, '%Y-%m-%d') AS date, day(date) AS day,
+CASE WHEN day(date) = 1 OR date = start THEN month(date) || '/' || day(date) END AS month_label, date = today AS is_today, date BETWEEN today AND range_end AS in_range,
+CASE WHEN date BETWEEN today AND range_end THEN coalesce(n, 0) ELSE 0 END AS n_events FROM d LEFT JOIN c USING (date)""")
+def A08_calendar_grid(t: Tables):
+    days = t.events.select(F.to_date("ts").alias("date"))
+    ranges = days.distinct().select(F.col("date").alias("today"), F.date_add("date", 14).alias("range_end"))
+    return events.calendar_grid(days, ranges)
+
+
+@query(f"WITH {_EVENTS} SELECT event_id, 'ev-' || strftime(date, '%Y-%m-%d') || '-' || row_number() OVER (ORDER BY date, coalesce(time, ''), title) AS event_no FROM e")
+def W04_number_events(t: Tables):
+    return events.number_events(_events(t)).select("event_id", "event_no")
+
+
+@query("""WITH o AS (SELECT o_orderkey, date_trunc('month', o_orderdate) + to_days((least(day(o_orderdate), 28) - 1)::INTEGER) + INTERVAL 9 HOUR AS s, (o_orderkey % 3 + 1)::INTEGER AS step, CASE o_orderkey % 5 WHEN 0 THEN 'DAILY' WHEN 1 THEN 'WEEKLY' WHEN 2 THEN 'MONTHLY' WHEN 3 THEN 'YEARLY' END AS f FROM orders),
+i AS (SELECT o.*, unnest(range(CASE WHEN f IS NULL THEN 1 WHEN f = 'YEARLY' THEN 9 WHEN f = 'MONTHLY' THEN 100 ELSE CASE WHEN o_orderkey % 2 = 0 THEN 40 ELSE 3000 END END)) AS n FROM o),
+x AS (SELECT *, CASE f WHEN 'DAILY' THEN s + to_days((n * step)::INTEGER) WHEN 'WEEKLY' THEN s + to_days((n * step * 7)::INTEGER) WHEN 'MONTHLY' THEN s + to_months((n * step)::INTEGER) WHEN 'YEARLY' THEN s + to_months((n * step * 12)::INTEGER) ELSE s END AS occurs FROM i)
+SELECT o_orderkey, strftime(occurs, '%Y-%m-%d %H:%M:%S') AS occurs FROM x WHERE occurs >= DATE '1997-03-01' AND occurs < DATE '1997-05-01'""")
+def R03_expand_recurrence(t: Tables):
+    kind = F.get(F.array(*[F.lit(x) for x in ("DAILY", "WEEKLY", "MONTHLY", "YEARLY")]), (F.col("o_orderkey") % 5).cast("int"))
+    limited = (F.col("o_orderkey") % 2 == 0) & kind.isin("DAILY", "WEEKLY")
+    rule = F.concat(F.lit("FREQ="), kind, F.lit(";INTERVAL="), F.col("o_orderkey") % 3 + 1, F.when(limited, ";COUNT=40").otherwise(""))
+    # from the 29th on, months differ in what they have; the general form has those
+    start = F.date_add(F.trunc("o_orderdate", "month"), F.least(F.dayofmonth("o_orderdate"), F.lit(28)) - 1).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(9))
+    rows = t.orders.select("o_orderkey", start.alias("dtstart"), rule.alias("rrule"))
+    return events.expand_recurrence(rows, "1997-03-01", "1997-04-30").select("o_orderkey", "occurs")
+
+
+@query()
+def R03_expand_recurrence_general(t: Tables):
+    """Rules beyond plain sequences: weekdays, and month ends that short months lack."""
+    rule = F.when(F.col("o_orderkey") % 2 == 0, "FREQ=WEEKLY;BYDAY=MO,TH").otherwise("FREQ=MONTHLY;BYMONTHDAY=-1")
+    rows = t.orders.select("o_orderkey", (F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(9))).alias("dtstart"), rule.alias("rrule"))
+    return events.expand_recurrence(rows, "1997-03-01", "1997-03-31").select("o_orderkey", "occurs")
+
+
+@query()
+def E01_classify_events(t: Tables):
+    """The whole event record, from calendar rows made of ``events``."""
+    rows = t.events.select(
+        F.to_date("ts").alias("date"), F.date_format("ts", "HH:mm").alias("time"), (F.col("event_id") % 5 == 0).alias("all_day"),
+        F.concat(F.when(F.col("event_id") % 2 == 0, "美国 GDP ").otherwise("日本 CPI "), "event_id").alias("summary"), F.concat(F.lit("市场预期: "), "value", F.lit("%\n前值: 1%\nMM图表连结: https://example.com/"), "event_id").alias("description"),
+    )
+    return events.classify_events(rows)
+
+
+_RULES = ((3, ("THE", "ELLE", "CIÓN")), (2, ("TION", "MENT")), (2, ("ERB", "OUA")))
+_SCORED = """h AS (SELECT doc_id AS pos, source, TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id * 7) % 100) AS published,
+3 * (contains(u, 'THE')::INTEGER + contains(u, 'ELLE')::INTEGER + contains(u, 'CIÓN')::INTEGER) + 2 * (contains(u, 'TION')::INTEGER + contains(u, 'MENT')::INTEGER) + 2 * (contains(u, 'ERB')::INTEGER + contains(u, 'OUA')::INTEGER) AS score
+FROM (SELECT doc_id, source, upper(text) AS u FROM documents))"""
+
+
+def _headlines(t: Tables):
+    published = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("doc_id") * 7 % 100).cast("int"))
+    return t.documents.select(F.col("doc_id").alias("pos"), "source", published.alias("published"), text.keyword_score(F.col("text"), _RULES).alias("score"))
+
+
+@query(f"WITH {_SCORED} SELECT pos, score, strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM h ORDER BY score DESC, published DESC, pos LIMIT 5")
+def T01_top_news(t: Tables):
+    return news.top_news(_headlines(t)).select("pos", "score", "published")
+
+
+@query(f"WITH {_SCORED} SELECT source, pos, score FROM h QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, published DESC, pos) <= 5")
+def T01_top_news_by_source(t: Tables):
+    return news.top_news(_headlines(t), by=["source"]).select("source", "pos", "score")
+
+
+@query("SELECT source, min(doc_id) AS pos FROM documents WHERE contains(text, 'the') AND NOT contains(text, 'elle') AND lang <> 'de' GROUP BY source")
+def P07_latest_article(t: Tables):
+    rows = t.documents.select("source", F.col("doc_id").alias("pos"), F.col("text").alias("title"), F.when(F.col("lang") != "de", "/a").otherwise("").alias("link"))
+    return news.latest_article(rows, by=["source"], wanted="the", unwanted="elle").select("source", "pos")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import session_date
 from ..functions.html import embedded_json
 from ..operators import sessions
+from ..operators.numbering import number_rows
 from ..scratch import new_path
 from ..sources import documents, snapshots
 from ..streaming import sessions as stream
@@ -195,8 +196,7 @@ def A10_series_polyline(t: Tables):
     return sessions.series_polyline(_scaled(t), ["symbol", "session_date"])
 
 
-@query("SELECT event_id AS tick_id, row_number() OVER (ORDER BY CASE WHEN event_id % 7 > 0 THEN ts END NULLS FIRST, event_id) AS place FROM events QUALIFY place <= 200")
+@query("SELECT event_id AS tick_id, row_number() OVER (ORDER BY CASE WHEN event_id % 7 > 0 THEN ts END NULLS FIRST, event_id) - 1 AS place FROM events")
 def T03_sort_points(t: Tables):
     points = _ticks(t).withColumn("collected_at", F.when(F.col("tick_id") % 7 > 0, F.col("collected_at")))
-    first = sessions.sort_points(points).limit(200).agg(F.collect_list("tick_id").alias("ids"))  # a page of the sorted table
-    return first.select(F.posexplode("ids").alias("place", "tick_id")).select("tick_id", (F.col("place") + 1).alias("place"))
+    return number_rows(points, *sessions.point_order(), name="place").select("tick_id", "place")
