@@ -52,7 +52,7 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     base = messages.join(real, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("anc"), "score")
     lifts = [materialize(base, "chat-lift")]  # level k: the ancestor 2^k up, and the score of the 2^k messages from the node on
     n = lifts[0].count()
-    while 2 ** len(lifts) <= n and not lifts[-1].filter("anc is not null").isEmpty():
+    while 2 ** (len(lifts) - 1) < n and not lifts[-1].filter("anc is not null").isEmpty():
         low = lifts[-1]
         top = low.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("score2"))
         lifts.append(materialize(

@@ -115,7 +115,8 @@ def train(docs: DataFrame, positives: DataFrame, trainable: Column, prior: float
     ``positives`` holds the doc_ids of trusted positives; ``trainable`` says
     which documents may serve as unlabelled text. Both samples are chosen by a hash of the
     id, so that they are the same on every run, and are bounded by ``bags``
-    times the bag sizes (in expectation). None without positives.
+    times the bag sizes (in expectation). None if no positive is among the
+    documents.
     """
     n_positive, n_docs = positives.count(), docs.count()
     if not n_positive or not n_docs:
@@ -138,9 +139,11 @@ def train(docs: DataFrame, positives: DataFrame, trainable: Column, prior: float
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["positive", "text"])  # the same sums in the same order on every run
         positive = rows["positive"].to_numpy()
+        if not positive.any():
+            return pd.DataFrame({"bag": [], "name": [], "weight": []}).astype({"bag": "int32", "name": str, "weight": "float64"})
         texts = {kind: rows["text"][positive == kind].tolist() for kind in (0, 1)}
         near = 1 if sign > 0 else 0
-        names = choose_features(texts[near], texts[1 - near], features) if texts[1] else []
+        names = choose_features(texts[near], texts[1 - near], features)
         index, only = {name: i for i, name in enumerate(names)}, features.only(names)
         weights, bias = fit_nnpu([sorted(index[f] for f in only(text)) for text in rows["text"]], len(names), positive, prior, sign)
         return pd.DataFrame({"bag": int(rows["bag"].iloc[0]), "name": ["", *names], "weight": [bias, *weights]})

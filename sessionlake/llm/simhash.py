@@ -8,7 +8,7 @@ anchors within 2 (covering radius plus the threshold of one bit) of each
 block: its home and fifteen others. Whatever is within one bit of a block
 therefore visits that block's home, and comparing visitors with residents at
 each anchor finds every link. Only distinct fingerprints take part, and
-what an anchor hands on is not the pairs but a spanning set of their links.
+what an anchor hands on is not the pairs but edges with the same components.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ def _replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _links(fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links between residents and visitors of one cell.
+    """Edges with the components of the links between residents and visitors of one cell.
 
     Breadth first from each resident not yet reached; every row is compared
     from once, a resident with all rows not reached, a visitor with the
@@ -151,7 +151,7 @@ def _compare(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.Dat
 
 
 def _compare_whole(rows: pd.DataFrame, same: np.ndarray, threshold: int) -> pd.DataFrame:
-    """Links of complete cells; ``same[k]``: rows k and k + 1 share a cell."""
+    """Edges of complete cells; ``same[k]``: rows k and k + 1 share a cell."""
     out_a, out_b = [], []
     if len(rows):
         fp, home = rows["fp"].to_numpy(dtype=np.int64), rows["home"].to_numpy(dtype=bool)
@@ -170,10 +170,11 @@ def _compare_whole(rows: pd.DataFrame, same: np.ndarray, threshold: int) -> pd.D
 
 
 def near_links(fingerprints: DataFrame, *, threshold: int = THRESHOLD, cell_residents: int = CELL_RESIDENTS) -> DataFrame:
-    """Links (a, b) that connect all of column ``fp`` (distinct longs) that lie within ``threshold`` (at most 3) bits.
+    """Edges (a, b) with the components that links of at most ``threshold`` (at most 3) bits give column ``fp`` (distinct longs).
 
-    Per cell a spanning set stands for all links, so the result has no more
-    rows than replicas, while its components are those of all links. Anchors
+    Per cell, each row that links reach is tied to the row they reach it from
+    first, so the result has no more rows than replicas, while its components
+    are those of all links. Anchors
     with more than ``cell_residents`` residents are cut into a grid: residents
     go to one row of it, visitors to one column, so each pair still meets once.
     """

@@ -104,7 +104,9 @@ def _search_plain(queries: list[list[int]], query_ids: list[int], floor: np.ndar
         scores = sorted((-sum(a * b for a, b in zip(q, p)), i) for p, i in zip(points, ids) if i != own)[:k]
         for s, i in scores:
             if -s >= floor[n]:
-                row.append(n), out_i.append(i), out_s.append(-s)
+                row.append(n)
+                out_i.append(i)
+                out_s.append(max(-(2**63), min(2**63 - 1, -s)))
     return np.array(row, dtype=np.int64), np.array(out_i, dtype=np.int64), np.array(out_s, dtype=object)
 
 
@@ -129,7 +131,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, shard_rows: int =
     is null take no part). Candidates are all rows of the query's length but
     those with its own vec_id; ties go to the smaller vec_id. A repeated query
     id is asked once, with its smallest vector; repeated candidates count
-    each. Scores are exact 64-bit integers.
+    each. Scores are exact integers, held at the ends of the 64-bit range.
     """
     rows = materialize(vectors.filter("vector is not null and vec_id is not null").select("vec_id", "vector", F.size("vector").alias("dim"), is_query.alias("asks")), "topk-vectors")
     n_rows = rows.count()
