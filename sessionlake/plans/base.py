@@ -36,8 +36,11 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def query(sql: str | None = None):
-    """Register a plan ``f(t: Tables) -> DataFrame`` under its own name."""
+def query(sql: str | None = None, **types: str):
+    """Register a plan ``f(t: Tables) -> DataFrame`` under its own name; ``types`` are SQL types of result columns."""
+    if sql and types:
+        casts = ", ".join(f"{name}::{kind} AS {name}" for name, kind in types.items())
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql.strip()})"
 
     def register(f: Callable[[Tables], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: _plain(f(Tables(spark, sf_dir)))

@@ -29,7 +29,7 @@ def W02_top_brokers(t: Tables):
     return brokers.top_brokers(_trades(t), ["date", "code"])
 
 
-@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem)
+@query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos FROM lineitem)
 SELECT l_orderkey, 'buyers' AS side, pos, l_suppkey::VARCHAR AS broker, format('{:,.0f}', q * 1000 / 1000.0::DOUBLE) AS buyV, CASE WHEN q >= 0 THEN '+' ELSE '' END || format('{:,.0f}', q * 1000 / 1000.0::DOUBLE) AS net FROM n WHERE pos <= 3""")
 def W02_explode_sides(t: Tables):
     line = F.struct(
@@ -42,14 +42,14 @@ def W02_explode_sides(t: Tables):
     return brokers.format_rows(rows).select("l_orderkey", "side", "pos", "broker", "buyV", "net")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_retailprice, p_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 20) ON l_partkey = p_partkey")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_retailprice, p_name FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 20) ON l_partkey = p_partkey", l_linenumber="BIGINT")
 def J01_broker_with_prices(t: Tables):
     broker = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("code"))
     prices = t.part.filter("p_size > 20").select(F.col("p_partkey").alias("code"), "p_retailprice", "p_name")
     return brokers.broker_with_prices(broker, prices, ["code"]).withColumnRenamed("code", "l_partkey")
 
 
-@query("SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1")
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1", l_linenumber="BIGINT")
 def W01_first_per_key(t: Tables):
     return brokers.first_per_key(t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey"])
 
@@ -63,7 +63,7 @@ def _candidates(t: Tables):
     return brokers.candidates(rows.filter("l_returnflag = 'R'").drop("l_returnflag"), rows.filter("l_returnflag != 'R'").drop("l_returnflag"))
 
 
-@query(_CANDIDATES)
+@query(_CANDIDATES, list_no="BIGINT")
 def U01_candidates(t: Tables):
     return _candidates(t).select("date", "code", "list_no", "pos")
 

@@ -115,12 +115,12 @@ def _headlines(t: Tables):
     return t.documents.select(F.col("doc_id").alias("pos"), "source", published.alias("published"), text.keyword_score(F.col("text"), _RULES).alias("score"))
 
 
-@query(f"WITH {_SCORED} SELECT pos, score, strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM h ORDER BY score DESC, published DESC, pos LIMIT 5")
+@query(f"WITH {_SCORED} SELECT pos, score, strftime(published, '%Y-%m-%d %H:%M:%S') AS published FROM h ORDER BY score DESC, published DESC, pos LIMIT 5", score="BIGINT")
 def T01_top_news(t: Tables):
     return news.top_news(_headlines(t)).select("pos", "score", "published")
 
 
-@query(f"WITH {_SCORED} SELECT source, pos, score FROM h QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, published DESC, pos) <= 5")
+@query(f"WITH {_SCORED} SELECT source, pos, score FROM h QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, published DESC, pos) <= 5", score="BIGINT")
 def T01_top_news_by_source(t: Tables):
     return news.top_news(_headlines(t), by=["source"]).select("source", "pos", "score")
 

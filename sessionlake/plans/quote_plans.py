@@ -23,7 +23,7 @@ def X19_normalize_provider(t: Tables):
 
 
 @query("""SELECT o_orderkey, 'text' AS provider, o_totalprice AS price, CASE WHEN o_custkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN -1 WHEN o_orderkey % 3 = 0 AND o_custkey % 2 = 0 THEN 1 ELSE -1 END * (o_custkey + 1) AS change,
-CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 0.5 ELSE -0.5 END ELSE -0.5 END AS change_pct, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey * 1000 END AS volume FROM orders""")
+CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 0.5 ELSE -0.5 END ELSE -0.5 END AS change_pct, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey * 1000 END AS volume FROM orders""", change="DOUBLE", change_pct="DOUBLE")
 def X19_normalize_text_provider(t: Tables):
     sign = F.when(F.col("o_custkey") % 2 == 0, "").otherwise("-")
     record = t.orders.select(

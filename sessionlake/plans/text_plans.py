@@ -38,19 +38,19 @@ def _part_pages(t: Tables):
     return t.part.select("p_partkey", page.alias("html"))
 
 
-@query("SELECT p_partkey, 0 AS row_pos, p_brand AS market, p_partkey::VARCHAR AS code, p_name AS name, p_size::VARCHAR AS close, p_type || 'met' AS condition, '08-25 ' || p_type AS earliest_disposal FROM part")
+@query("SELECT p_partkey, 0 AS row_pos, p_brand AS market, p_partkey::VARCHAR AS code, p_name AS name, p_size::VARCHAR AS close, p_type || 'met' AS condition, '08-25 ' || p_type AS earliest_disposal FROM part", row_pos="BIGINT")
 def X03_table_after_heading(t: Tables):
     return html.table_after_heading(_part_pages(t), "html", "near list", html.NEAR_COLUMNS).drop("cells")
 
 
-@query("SELECT p_partkey, 0 AS row_pos, p_brand AS market, p_name AS code FROM part")
+@query("SELECT p_partkey, 0 AS row_pos, p_brand AS market, p_name AS code FROM part", row_pos="BIGINT")
 def X04_first_table(t: Tables):
     page = F.concat(F.lit('<select id="date-picker"><option>2026/08/20</option></select><TABLE><tr><td>'), "p_brand", F.lit("</td><td>"), "p_name", F.lit("</td></tr></table>"))
     return html.table_after_heading(t.part.select("p_partkey", page.alias("html")), "html", None, ("market", "code")).drop("cells")
 
 
-@query("""SELECT p_partkey, b.n AS n, 'run ' || (p_size % 5) || '/5' AS title, p_size % 5 AS current, 5 AS threshold, (p_size % 5) * 20.0 AS progress
-FROM part, (VALUES (0), (1), (2), (3)) b(n)""")
+@query("""SELECT p_partkey, b.n AS n, 'run ' || (p_size % 5) || '/5' AS title, p_size % 5 AS current, 5 AS threshold, (p_size % 5) * 20.0::DOUBLE AS progress
+FROM part, (VALUES (0), (1), (2), (3)) b(n)""", n="BIGINT", current="BIGINT", threshold="BIGINT")
 def X05_badge_progress(t: Tables):
     rows = html.table_after_heading(_part_pages(t), "html", "near list", html.NEAR_COLUMNS)
     marked = rows.select("p_partkey", F.posexplode(html.badges(F.col("cells"))).alias("n", "b"))
@@ -58,7 +58,7 @@ def X05_badge_progress(t: Tables):
     return marked.select("p_partkey", "n", "b.title", "b.current", "b.threshold", progress["progress"].alias("progress"))
 
 
-@query("""SELECT p_partkey, 0 AS n, p_type AS text, 'rise' AS color, false AS bold FROM part UNION ALL SELECT p_partkey, 1, 'met', 'text', true FROM part""")
+@query("""SELECT p_partkey, 0 AS n, p_type AS text, 'rise' AS color, false AS bold FROM part UNION ALL SELECT p_partkey, 1, 'met', 'text', true FROM part""", n="BIGINT")
 def X06_condition_segments(t: Tables):
     cell = F.concat(F.lit('<span style="color:#e74c3c">'), "p_type", F.lit('</span><b style="color:#FFF">met</b>'))
     return t.part.select("p_partkey", F.posexplode(html.condition_segments(cell)).alias("n", "s")).select("p_partkey", "n", "s.text", "s.color", "s.bold")
@@ -71,7 +71,7 @@ def X07_page_date(t: Tables):
     return t.orders.select("o_orderkey", html.page_date(page).alias("d")).select("o_orderkey", "d.*")
 
 
-_QUOTES = "SELECT o_orderkey, o_orderkey * 1000 + 0.25 AS value, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END * (o_custkey + 0.5) AS change, 0.75 AS change_pct"
+_QUOTES = "SELECT o_orderkey, o_orderkey * 1000 + 0.25::DOUBLE AS value, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END * (o_custkey + 0.5::DOUBLE) AS change, 0.75::DOUBLE AS change_pct"
 
 
 @query(_QUOTES + ", NULL::VARCHAR AS updated, 'markets' AS layout FROM orders UNION ALL " + _QUOTES + ", strftime(o_orderdate, '%m/%d %H:%M') AS updated, 'world' AS layout FROM orders")
@@ -84,7 +84,7 @@ def X08_labelled_quote(t: Tables):
     return read(markets, "markets").unionByName(read(world, "world")).select("o_orderkey", "q.*", "layout")
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN -1 ELSE 1 END AS sign FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN -1 ELSE 1 END AS sign FROM part", sign="BIGINT")
 def X09_trend_sign(t: Tables):
     cls = F.when(F.col("p_size") % 3 == 0, "c-trend-down").when(F.col("p_size") % 3 == 1, "c-trend-up").otherwise("flat")
     page = F.concat(F.lit('<ul><li class="a"><a><span>'), "p_name", F.lit(' index</span></a><b class="x '), cls, F.lit('">1.5</b></li></ul>'))
@@ -168,7 +168,7 @@ def F02_fmt_num(t: Tables):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, format('{:,.0f}', l_extendedprice / 1000.0::DOUBLE) AS lots,
-CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END || format('{:,.0f}', (l_quantity * 1000 + 600) / 1000.0::DOUBLE) AS net, format('{:g}', l_extendedprice) AS price FROM lineitem""")
+CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END || format('{:,.0f}', (l_quantity * 1000 + 600) / 1000.0::DOUBLE) AS net, format('{:g}', l_extendedprice) AS price FROM lineitem""", l_linenumber="BIGINT")
 def F03_fmt_lots(t: Tables):
     net = F.when(F.col("l_returnflag") == "R", -1).otherwise(1) * (F.col("l_quantity") * 1000 + 600)
     return t.lineitem.select(
@@ -217,7 +217,7 @@ _COUNTRIES = (("US", "America/New_York", "ET", ("The ",)), ("FR", "Europe/Paris"
 _has = "(contains(upper(text), '{}'))::INTEGER"
 
 
-@query("SELECT doc_id, 3 * (contains(u, 'THE')::INTEGER + contains(u, 'ELLE')::INTEGER) + 2 * (contains(u, 'TION')::INTEGER + contains(u, 'MENT')::INTEGER) AS score FROM (SELECT doc_id, upper(text) AS u FROM documents)")
+@query("SELECT doc_id, 3 * (contains(u, 'THE')::INTEGER + contains(u, 'ELLE')::INTEGER) + 2 * (contains(u, 'TION')::INTEGER + contains(u, 'MENT')::INTEGER) AS score FROM (SELECT doc_id, upper(text) AS u FROM documents)", score="BIGINT")
 def K01_keyword_score(t: Tables):
     return t.documents.select("doc_id", text.keyword_score(F.col("text"), _SCORES).alias("score"))
 
@@ -233,6 +233,6 @@ def K03_country_of(t: Tables):
     return t.documents.select("doc_id", found.alias("c")).select("doc_id", "c.country", "c.label")
 
 
-@query("SELECT doc_id, CASE WHEN contains(u, 'LICENSE') OR contains(u, '@') THEN 3 WHEN contains(u, 'ELLE') THEN 2 ELSE 1 END AS importance FROM (SELECT doc_id, upper(text) AS u FROM documents)")
+@query("SELECT doc_id, CASE WHEN contains(u, 'LICENSE') OR contains(u, '@') THEN 3 WHEN contains(u, 'ELLE') THEN 2 ELSE 1 END AS importance FROM (SELECT doc_id, upper(text) AS u FROM documents)", importance="BIGINT")
 def K04_importance_of(t: Tables):
     return t.documents.select("doc_id", text.importance_of(F.col("text"), ((3, ("LICENSE", "@")), (2, ("ELLE",)))).alias("importance"))

@@ -55,12 +55,12 @@ def _lists(t: Tables):
 
 
 @query("""SELECT owner, code, min_by(list_no, k) AS list_no, min_by(pos, k) AS pos FROM (SELECT o_custkey AS owner, o_orderkey % 13 AS code, o_orderkey AS pos, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS list_no,
-CASE WHEN o_orderstatus = 'O' THEN 1000000000000 ELSE 0 END + o_orderkey AS k FROM orders WHERE o_orderstatus IN ('F', 'O')) GROUP BY 1, 2""")
+CASE WHEN o_orderstatus = 'O' THEN 1000000000000 ELSE 0 END + o_orderkey AS k FROM orders WHERE o_orderstatus IN ('F', 'O')) GROUP BY 1, 2""", list_no="BIGINT")
 def U02_merge_watchlist(t: Tables):
     return watchlist.merge_watchlist(*_lists(t))
 
 
-@query("SELECT o_custkey AS owner, o_orderkey % 13 AS code, 1 AS list_no, min(o_orderkey) AS pos FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2")
+@query("SELECT o_custkey AS owner, o_orderkey % 13 AS code, 1 AS list_no, min(o_orderkey) AS pos FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2", list_no="BIGINT")
 def U02_replace_watchlist(t: Tables):
     return watchlist.merge_watchlist(*_lists(t), override=True)
 
