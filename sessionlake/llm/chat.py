@@ -50,22 +50,24 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     messages = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     real = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     base = messages.join(real, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("anc"), "score")
-    lifts = [materialize(base, "chat-lift")]  # level k: the ancestor 2^k up, and the score of the 2^k messages from the node on
-    n = lifts[0].count()
-    while 2 ** (len(lifts) - 1) < n and not lifts[-1].filter("anc is not null").isEmpty():
+    state = materialize(base, "chat-lift")
+    n = state.count()
+    # level k: the ancestor 2^k up of the messages that have one, and the score of the 2^k messages from each on;
+    # whole: the score of the whole branch above the messages that have none
+    lifts, whole = [state.filter("anc is not null")], state.filter("anc is null").select("tree", "node", "score")
+    while 2 ** (len(lifts) - 1) < n and not lifts[-1].isEmpty():
         low = lifts[-1]
-        top = low.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("score2"))
-        lifts.append(materialize(
-            low.join(top, ["tree", "anc"], "left").select("tree", "node", F.col("anc2").alias("anc"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")),
-            "chat-lift",
-        ))
-    parents = lifts[0].filter("anc is not null").select("tree", F.col("anc").alias("node")).distinct()
-    total = lifts[-1].filter("anc is null")  # whole branch summed; on a cycle there is always one more ancestor
-    leaves = total.join(parents, ["tree", "node"], "left_anti")
+        known = low.select("tree", "node", "anc", "score").unionByName(whole.withColumn("anc", F.lit(None).cast(base.schema["anc"].dataType)))
+        top = known.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("score2"))
+        state = materialize(low.join(top, ["tree", "anc"]).select("tree", "node", F.col("anc2").alias("anc"), (F.col("score") + F.col("score2")).alias("score")), "chat-lift")
+        lifts.append(state.filter("anc is not null"))
+        whole = whole.unionByName(state.filter("anc is null").select("tree", "node", "score"))
+    parents = lifts[0].select("tree", F.col("anc").alias("node")).distinct()
+    leaves = whole.join(parents, ["tree", "node"], "left_anti")  # on a cycle there is always one more ancestor
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))).filter(F.col("rank") <= best)
     path = ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"))
     for k, lift in enumerate(lifts):
-        above = path.join(lift.filter("anc is not null").select("tree", "node", "anc"), ["tree", "node"])
+        above = path.join(lift.select("tree", "node", "anc"), ["tree", "node"])
         path = path.unionByName(above.select("tree", "leaf", "rank", F.col("anc").alias("node"), (F.col("up") + 2**k).alias("up")))
         if k % 3 == 2:
             path = materialize(path, "chat-path")
