@@ -17,24 +17,29 @@ TOXIC_FROM, GOOD_FROM = 0.3, 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go. Null texts score as empty ones; without trusted examples nothing goes."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(pu.score(F.col("text"), model, toxicity.Features(), 0.0) < TOXIC_FROM)
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below a good text go. Null texts score as empty ones; without trusted examples nothing goes."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(pu.score(F.col("text"), model, quality.Features(), 1.0) >= GOOD_FROM)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays, that with the smallest doc_id; texts without words form one component."""
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of each source up to its target, once per epoch that takes them; those without words carry nothing and go."""
     return mixing.take_mix(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Placement of every piece of every document; the last stage, so its columns are its own."""
     return packing.pack(docs)
 
 
@@ -51,6 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
