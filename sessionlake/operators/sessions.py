@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def ohlcv(ticks: DataFrame, keys: Sequence[str], at: str = "ts", price: str = "price", volume: str = "volume", tie: str = "tick_id") -> DataFrame:
-    """First, highest, lowest and last price and summed volume per key; partial aggregates only."""
-    order = F.struct(at, tie)
+    """First, highest, lowest and last price and summed volume per key.
+
+    ``tie`` is a whole number. Time and tie make one decimal to order by, so
+    all aggregates have buffers of fixed width and hash without a sort of the
+    ticks; a missing time comes first.
+    """
+    micros = F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(2**56)))
+    order = micros.cast("decimal(18,0)") * F.lit(Decimal(2**64)) + F.coalesce(F.col(tie), F.lit(0)).cast("decimal(19,0)")
     return ticks.groupBy(*keys).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
         F.max_by(price, order).alias("close"), F.sum(volume).alias("volume"),
