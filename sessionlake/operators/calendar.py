@@ -23,11 +23,11 @@ def trading_calendar(spark: SparkSession, start: date, end: date, holidays: Sequ
     open_ = (F.weekday("d") < 5) & ~F.date_format("d", "yyyy-MM-dd").isin(*holidays) if holidays else F.weekday("d") < 5
     days = days.withColumn("is_trading_day", open_)
     traded = F.when(F.col("is_trading_day"), F.col("d"))
-    order = Window.orderBy("d")
+    order, back = Window.orderBy("d"), Window.orderBy(F.desc("d"))  # looking ahead goes backwards: a frame that only grows
     return (
         days.withColumn("prev_td", F.last(traded, True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("curr_td", F.last(traded, True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("next_td", F.first(traded, True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+        .withColumn("next_td", F.last(traded, True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
         .filter(F.col("d").between(F.lit(start), F.lit(end)))
     )
 

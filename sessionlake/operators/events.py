@@ -133,12 +133,20 @@ def expand_recurrence(df: DataFrame, start: str, end: str, at: str = "dtstart",
     step, unit = F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)), part("FREQ")
     until = F.coalesce(F.try_to_timestamp(F.regexp_replace(part("UNTIL"), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz"), F.try_to_timestamp(part("UNTIL"), F.lit("yyyyMMdd")).cast("timestamp_ntz"))
     limit = F.least(high - F.make_dt_interval(secs=F.lit(0.000001)), until)
-    gone = F.when(unit == "MONTHLY", F.months_between(limit, F.col(at))).when(unit == "YEARLY", F.months_between(limit, F.col(at)) / 12).otherwise(F.datediff(limit, F.col(at)) / F.when(unit == "WEEKLY", 7).otherwise(1))
-    last = F.least(F.floor(gone / step).cast("int") + 1, F.coalesce(part("COUNT").try_cast("int") - 1, F.lit(2**30)))
+
+    def steps_until(moment: Column) -> Column:
+        """Whole steps from the start to ``moment``, rounded down."""
+        months = F.months_between(moment, F.col(at))
+        units = F.when(unit == "MONTHLY", months).when(unit == "YEARLY", months / 12).otherwise(F.datediff(moment, F.col(at)) / F.when(unit == "WEEKLY", 7).otherwise(1))
+        return F.floor(units / step).cast("int")
+
+    # only the steps around the range are made, one more on either side; the filter below is exact
+    last = F.least(steps_until(limit) + 1, F.coalesce(part("COUNT").try_cast("int") - 1, F.lit(2**30)))
     n = F.when(text_rule == "", F.lit(0)).otherwise(last)
+    first = F.when(text_rule == "", F.lit(0)).otherwise(F.greatest(F.lit(0), steps_until(low) - 1))
     months = F.when(unit == "MONTHLY", step).when(unit == "YEARLY", step * 12).otherwise(0)
     days = F.when(unit == "DAILY", step).when(unit == "WEEKLY", step * 7).otherwise(0)
-    made = rows.filter(F.coalesce(n, F.lit(-1)) >= 0).withColumn("_i", F.explode(F.sequence(F.lit(0), n)))
+    made = rows.filter(F.coalesce(n, F.lit(-1)) >= first).withColumn("_i", F.explode(F.sequence(first, n)))
     made = made.withColumn("occurs", F.col(at) + F.make_ym_interval(months=F.col("_i") * months) + F.make_dt_interval(days=F.col("_i") * days))
     made = made.filter((F.col("occurs") >= low) & (F.col("occurs") < high) & (until.isNull() | (F.col("occurs") <= until))).drop("_i")
 
