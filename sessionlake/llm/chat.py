@@ -50,22 +50,25 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     messages = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     real = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     base = messages.join(real, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("anc"), "score")
-    state = materialize(base, "chat-lift")
-    n = state.count()
-    # level k: the ancestor 2^k up of the messages that have one, and the score of the 2^k messages from each on;
-    # whole: the score of the whole branch above the messages that have none
-    lifts, whole = [state.filter("anc is not null")], state.filter("anc is null").select("tree", "node", "score")
+    base = materialize(base, "chat-messages")
+    n = base.count()
+    # level k: the messages with an ancestor 2^k up, that ancestor, and the score of the 2^k messages from each on
+    lifts = [base.filter("anc is not null")]
     while 2 ** (len(lifts) - 1) < n and not lifts[-1].isEmpty():
         low = lifts[-1]
-        known = low.select("tree", "node", "anc", "score").unionByName(whole.withColumn("anc", F.lit(None).cast(base.schema["anc"].dataType)))
-        top = known.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("score2"))
-        state = materialize(low.join(top, ["tree", "anc"]).select("tree", "node", F.col("anc2").alias("anc"), (F.col("score") + F.col("score2")).alias("score")), "chat-lift")
-        lifts.append(state.filter("anc is not null"))
-        whole = whole.unionByName(state.filter("anc is null").select("tree", "node", "score"))
+        top = low.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("score2"))
+        lifts.append(materialize(low.join(top, ["tree", "anc"]).select("tree", "node", F.col("anc2").alias("anc"), (F.col("score") + F.col("score2")).alias("score")), "chat-lift"))
     parents = lifts[0].select("tree", F.col("anc").alias("node")).distinct()
-    leaves = whole.join(parents, ["tree", "node"], "left_anti")  # on a cycle there is always one more ancestor
-    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))).filter(F.col("rank") <= best)
-    path = ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up"))
+    leaves = base.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("total"))
+    # leaves only: climb by the largest spans first and add up the scores passed
+    for k, lift in reversed(list(enumerate(lifts))):
+        leaves = leaves.join(lift, ["tree", "node"], "left").select("tree", "leaf", F.coalesce("anc", "node").alias("node"), (F.col("total") + F.when(F.col("anc").isNotNull(), F.col("score")).otherwise(0.0)).alias("total"))
+        if k % 3 == 2:
+            leaves = materialize(leaves, "chat-leaves")
+    roots = base.filter("anc is null").select("tree", "node", "score")  # a climb that ends elsewhere came to a cycle
+    scored = leaves.join(roots, ["tree", "node"]).select("tree", F.col("leaf").alias("node"), (F.col("total") + F.col("score")).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node"))).filter(F.col("rank") <= best)
+    path = materialize(ranked.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up")), "chat-path")
     for k, lift in enumerate(lifts):
         above = path.join(lift.select("tree", "node", "anc"), ["tree", "node"])
         path = path.unionByName(above.select("tree", "leaf", "rank", F.col("anc").alias("node"), (F.col("up") + 2**k).alias("up")))
