@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -56,14 +56,18 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp`` (long) of every row; whole texts, null as empty."""
-
+def _prints(width: int):
     @F.pandas_udf("long")
     def fingerprints(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    return docs.select("doc_id", fingerprints("text").alias("fp"))
+    return fingerprints
+
+
+def with_fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``doc_id`` and ``fp`` (long) of every row; whole texts, null as empty."""
+
+    return docs.select("doc_id", _prints(width)("text").alias("fp"))
 
 
 def anchors(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,21 +219,33 @@ def near_duplicates(docs: DataFrame, *, width: int = SHINGLE, threshold: int = T
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of ``docs`` for each component, columns unchanged: the one with the smallest doc_id.
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``k_row``, the doc_id or, where it is null, a number made from the text above the usual ids, and ``k_text``, the text's hash."""
+    stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    return docs.withColumn("k_row", F.coalesce(F.col("doc_id").cast("long"), stand_in)).withColumn("k_text", F.xxhash64("text"))
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``found`` (k_row, k_text, root), columns unchanged: the one with the smallest doc_id.
 
-    A row with a null doc_id goes under a number made from its text, above
-    the usual ids. Of rows that repeat the winning id, the one that sorts
-    first by text and then by the other columns stays.
+    Of texts under the winning id the one with the smallest hash stays, and of
+    rows that repeat both, the one whose columns sort first. A null doc_id
+    goes as ``row_keys`` numbers it.
     """
-    stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn("k_row", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    found = near_duplicates(keyed.select(F.col("k_row").alias("doc_id"), "text"), width=width, threshold=threshold)
-    winners = materialize(found.select(F.col("component_id").alias("k_row")).distinct(), "simhash-winners")
-    repeated = materialize(keyed.groupBy("k_row").count().filter("count > 1").select("k_row"), "simhash-repeated")
-    kept = keyed.join(winners, "k_row", "left_semi")
+    winners = found.groupBy("root").agg(F.min(F.struct("k_row", "k_text")).alias("k")).select("k.*").distinct()
+    winners = materialize(winners, "simhash-winners")
+    keyed = row_keys(docs)
+    repeated = materialize(found.groupBy("k_row", "k_text").count().filter("count > 1").select("k_row", "k_text").join(winners, ["k_row", "k_text"], "left_semi"), "simhash-repeated")
+    kept = keyed.join(winners, ["k_row", "k_text"], "left_semi")
     if not repeated.isEmpty():
-        order = Window.partitionBy("k_row").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-        again = kept.join(repeated, "k_row", "left_semi").withColumn("k_place", F.row_number().over(order)).filter("k_place = 1").drop("k_place")
-        kept = kept.join(repeated, "k_row", "left_anti").unionByName(again)
+        row = F.struct("text", *[c for c in docs.columns if c != "text"])
+        again = kept.join(repeated, ["k_row", "k_text"], "left_semi").select("k_row", "k_text", row.alias("row")).groupBy("k_row", "k_text").agg(F.min("row").alias("row"))
+        kept = kept.join(repeated, ["k_row", "k_text"], "left_anti").select(*docs.columns).unionByName(again.select("row.*"))
     return kept.select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, *, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` for each component of linked fingerprints, columns unchanged: see ``keep_first``."""
+    prints = materialize(row_keys(docs).select("k_row", "k_text", _prints(width)("text").alias("fp")), "simhash-rows")
+    roots = connected_components(near_links(prints.select("fp").distinct(), threshold=threshold)).withColumnRenamed("node", "fp")
+    return keep_first(docs, prints.join(roots, "fp", "left").select("k_row", "k_text", F.coalesce("root", "fp").alias("root")))
