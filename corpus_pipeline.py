@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import mixing, packing, pu, quality, simhash, toxicity
+from sessionlake.llm import mixing, nearcopies, packing, pu, quality, toxicity
 from sessionlake.scratch import materialize
 
 #: Scores from which a document counts as toxic, and below which it counts as junk.
@@ -29,8 +29,8 @@ def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id; texts without words form one component."""
-    return simhash.keep_one(docs)
+    """One document of each component of texts at least 0.8 alike stays, that with the smallest doc_id; texts without words form one component."""
+    return nearcopies.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES = [
     ("packing", pack_bins),
 ]
 
-#: The classifiers and fingerprints have no SQL form; tests hold the stages against brute force.
+#: The classifiers and near copies have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
