@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 from .mixing import BLANKS, word_count
 
 #: Words in a bin, pieces of one source in a bin at most, and pieces that a shard should hold.
@@ -89,12 +90,11 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
         cluster = F.col("cluster").cast("string")
     else:
         cluster = F.md5(F.lower(F.translate("text", BLANKS, "")))
-    n = docs.count()
+    counted = materialize(docs.select("doc_id", "source", cluster.alias("cluster"), word_count(F.col("text")).alias("words")).filter("words > 0"), "pack-words")
+    n = counted.agg(F.sum(F.expr(f"(words - 1) div {capacity} + 1"))).first()[0] or 0
     shards = max(1, -(-n // shard_pieces))
     pieces = (
-        docs.select("doc_id", "source", cluster.alias("cluster"), word_count(F.col("text")).alias("words"))
-        .filter("words > 0")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((words - 1) div {capacity} as int)"))))
+        counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((words - 1) div {capacity} as int)"))))
         .withColumn("first_word", F.col("piece").cast("long") * capacity)
         .withColumn("piece_words", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("first_word")))
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)).cast("int"))
