@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import operator
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,19 +49,39 @@ def measures(text: str) -> dict[str, int]:
     out["commonest word"] = _step(seen.most_common(1)[0][1] / total if seen else 0)
     out["word length"] = min(15, len(text) // total)
     out["words"] = min(16, len(words).bit_length())
-    out["new words"] = len(words).bit_length() * 20 + round(10 * len(seen) / total)
+    out["new words"] = round(30 * math.log(len(seen) + 1) / math.log(len(words) + 1)) if words else 0  # hardly falls with length
     return out
 
 
+#: Measures that are odd at either end: their steps are counted downward too.
+_BOTH_WAYS = ("lower", "blank", "word length", "words", "new words")
+_STEPS = 1024
+
+
 class Features:
-    """The steps that a text's measures reach."""
+    """Every step up to the one that a measure reaches; for some measures also every step down to it."""
+
+    def ids(self, text: str) -> np.ndarray:
+        out = []
+        for n, (name, value) in enumerate(measures(text).items()):
+            out.append(np.arange(1, value + 1, dtype=np.int64) + 2 * n * _STEPS)
+            if name in _BOTH_WAYS:
+                out.append(np.arange(value, 32, dtype=np.int64) + (2 * n + 1) * _STEPS)
+        return np.concatenate(out) << 4
+
+    def adder(self, weights: dict[int, float]) -> Callable[[str], float]:
+        reached = {True: {}, False: {}}  # (measure, step) to the sum of the weights up or down to it
+        for name in sorted(weights):
+            n, step = divmod(name >> 4, _STEPS)
+            reached[n % 2 == 0].setdefault(n // 2, {})[step] = weights[name]
+        up = {n: np.cumsum([w.get(i, 0.0) for i in range(_STEPS)]) for n, w in reached[True].items()}
+        down = {n: np.cumsum([w.get(i, 0.0) for i in range(_STEPS)][::-1])[::-1] for n, w in reached[False].items()}
 
-    def __call__(self, text: str) -> set[str]:
-        return {f"{name}={value}" for name, value in measures(text).items() if value or name in ("words", "lower")}
+        def total(text: str) -> float:
+            values = list(measures(text).values())
+            return sum(float(sums[values[n]]) for n, sums in up.items()) + sum(float(sums[values[n]]) for n, sums in down.items())
 
-    def only(self, names: Iterable[str]) -> Callable[[str], set[str]]:
-        names = frozenset(names)
-        return lambda text: self(text) & names
+        return total
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: int = 5, held_out: int = 0) -> pu.Model | None:
@@ -72,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", folds: in
     training = pu.remainder(F.col("doc_id"), folds) != held_out
     known = labels.filter(F.col("doc_id").isNotNull())
     positives = known.filter(training & (F.col(label) == 1)).select("doc_id").distinct()
-    return pu.train(docs, positives, training, pu.class_prior(known, label, training), Features(), -1)
+    return pu.train(docs, positives, training, Features(), -1)
 
 
 def rate(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:

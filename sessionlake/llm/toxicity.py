@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain, repeat
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,44 +21,67 @@ from . import pu
 
 _WORD = re.compile(r"\w+")
 _STEMS = range(3, 8)
+_TWICE = 8  # bit of a feature that says its words stand twice or more; the lowest bits say how much of the word it is
 #: Words whose features a task remembers between texts.
 _MEMORY = 400_000
 
 
-def word_features(word: str) -> list[str]:
-    return ["=" + word, *("<" + word[:n] for n in _STEMS if len(word) >= n)]
+def word_features(word: str) -> tuple[int, ...]:
+    """Numbers of a word's beginnings, the shortest with the smallest remainder, and of the whole word."""
+    parts = [word[:n] for n in _STEMS if len(word) >= n]
+    hashes = [xxhash.xxh64_intdigest("<" + part) for part in parts] + [xxhash.xxh64_intdigest("=" + word)]
+    return tuple((h >> 5 << 4) + n for n, h in enumerate(hashes))
 
 
 class Features:
-    """What a text holds, and (``name*``) what it holds twice or more."""
-
-    def __call__(self, text: str) -> set[str]:
-        return self._marked(text, word_features)
-
-    def only(self, names: Iterable[str]) -> Callable[[str], set[str]]:
-        names = frozenset(names)
-        memory: dict[str, tuple[str, ...]] = {}
-
-        def known(word: str) -> tuple[str, ...]:
-            hits = memory.get(word)
-            if hits is None:
-                if len(memory) >= _MEMORY:
-                    memory.clear()
-                hits = memory[word] = tuple(f for f in word_features(word) if f in names or f + "*" in names)
-            return hits
-
-        return lambda text: self._marked(text, known) & names
-
-    @staticmethod
-    def _marked(text: str, of_word: Callable[[str], Iterable[str]]) -> set[str]:
-        once: set[str] = set()
-        twice: set[str] = set()
-        for word, times in Counter(_WORD.findall(text.lower())).items():
-            for name in of_word(word):
-                if times > 1 or name in once:
-                    twice.add(name + "*")
-                once.add(name)
-        return once | twice
+    """What a text holds, and (with the bit ``_TWICE``) what it holds twice or more."""
+
+    def __init__(self):
+        self._memory: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self):
+        return {"_memory": {}}
+
+    def ids(self, text: str) -> np.ndarray:
+        memory = self._memory
+        if len(memory) > _MEMORY:
+            memory.clear()
+        words = Counter(_WORD.findall(text.lower()))
+        each = []
+        for word in words:
+            known = memory.get(word)
+            if known is None:
+                known = memory[word] = word_features(word)
+            each.append(known)
+        n = sum(map(len, each))
+        flat = np.fromiter(chain.from_iterable(each), dtype=np.int64, count=n)
+        times = np.fromiter(chain.from_iterable(map(repeat, words.values(), map(len, each))), dtype=np.int64, count=n)
+        found, place = np.unique(flat, return_inverse=True)
+        return np.concatenate((found, found[np.bincount(place, weights=times, minlength=len(found)) > 1] + _TWICE))
+
+    def adder(self, weights: dict[int, float]) -> Callable[[str], float]:
+        known: dict[str, tuple[int, ...]] = {}
+        nothing: set[str] = set()  # words without any weight, by far the most
+
+        def total(text: str) -> float:
+            words = Counter(_WORD.findall(text.lower()))
+            times: dict[int, int] = {}
+            for word in words.keys() - nothing:
+                hits = known.get(word)
+                if hits is None:
+                    if len(known) + len(nothing) >= _MEMORY:
+                        known.clear()
+                        nothing.clear()
+                    hits = tuple(f for f in word_features(word) if f in weights or f + _TWICE in weights)
+                    if not hits:
+                        nothing.add(word)
+                        continue
+                    known[word] = hits
+                for f in hits:
+                    times[f] = times.get(f, 0) + words[word]
+            return sum(weights.get(f, 0.0) + (weights.get(f + _TWICE, 0.0) if n > 1 else 0.0) for f, n in sorted(times.items()))
+
+        return total
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 4, held_out: int = 2) -> pu.Model | None:
@@ -67,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int
     training = pu.remainder(F.col("doc_id"), folds) != held_out
     known = labels.filter(F.col("doc_id").isNotNull())
     positives = known.filter(training & (F.col(label) == 1)).select("doc_id").distinct()
-    return pu.train(docs, positives, training, pu.class_prior(known, label, training), Features(), 1)
+    return pu.train(docs, positives, training, Features(), 1)
 
 
 def flag(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
