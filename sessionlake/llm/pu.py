@@ -19,13 +19,13 @@ is scored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -44,7 +44,7 @@ class Model:
     """Averaged linear classifier: ``score = sigmoid(bias + sum of weights of the features present)``."""
 
     bias: float
-    weights: dict[int, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
 
 
 class Features(Protocol):
@@ -53,8 +53,11 @@ class Features(Protocol):
     def ids(self, text: str) -> np.ndarray:
         """Distinct features of a whole text."""
 
-    def adder(self, weights: dict[int, float]) -> Callable[[str], float]:
-        """Sum of the weights of a whole text's features."""
+    def names(self, texts: Iterable[str], ids: set[int]) -> dict[int, str]:
+        """Names of given features that stand in ``texts``."""
+
+    def adder(self, weights: dict[str, float]) -> Callable[[str], float]:
+        """Sum of the weights of a whole text's features, by name."""
 
 
 def risk_and_slopes(z: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
@@ -159,8 +162,8 @@ def _select(flat: np.ndarray, owner: np.ndarray, names: np.ndarray) -> tuple[np.
     return order[at[hit]] if len(names) else at[hit], owner[hit]
 
 
-def fit_bag(texts: list[str], is_p: np.ndarray, features: Features, sign: int) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Features, weights, bias and prior of one bag.
+def fit_bag(texts: list[str], is_p: np.ndarray, features: Features, sign: int) -> tuple[Model, float]:
+    """Classifier of one bag, and the prior it is fitted for.
 
     The prior comes from two halves that score each other, drawn towards GUESS
     where positives are few. The rarer class is the one that ``sign`` names,
@@ -189,7 +192,9 @@ def fit_bag(texts: list[str], is_p: np.ndarray, features: Features, sign: int) -
             priors.append(estimate_prior(z[others & is_p], z[others & ~is_p]))
     found = min(0.5, max(0.01, np.mean(priors or [guess]))) if sign > 0 else min(0.99, max(0.5, np.mean(priors or [guess])))
     prior = float(n_p * found + GUESS_WEIGHS * guess) / (n_p + GUESS_WEIGHS)
-    return *train(np.ones(len(is_p), dtype=bool), prior), prior
+    names, weights, bias = train(np.ones(len(is_p), dtype=bool), prior)
+    called = features.names((t for t, y in zip(texts, is_p) if y == (sign > 0)), set(names.tolist()))
+    return Model(bias, {called[n]: w for n, w in zip(names.tolist(), weights.tolist()) if w}), prior
 
 
 def _bag_sample(docs: DataFrame, positives: DataFrame, trainable: Column, bag_positives: int, bag_unlabelled: int, bag_bytes: int, bags: int) -> tuple[DataFrame, int] | None:
@@ -209,12 +214,17 @@ def _bag_sample(docs: DataFrame, positives: DataFrame, trainable: Column, bag_po
         trusted.filter(chance("positive") < bags * bag_positives / n_positive).select("k", "n_bytes", F.lit(1).alias("positive")),
         keys.filter(trainable & (chance("unlabelled") < bags * bag_unlabelled / n_docs)).select("k", "n_bytes").distinct().select("k", "n_bytes", F.lit(0).alias("positive")),
     ]
-    in_bag = Window.partitionBy("bag", "positive").orderBy("k")
     chosen = sides[0].unionByName(sides[1]).withColumn("bag", F.pmod(F.xxhash64("k", F.lit("bag")), F.lit(bags)).cast("int"))
-    chosen = chosen.withColumn("place", F.row_number().over(in_bag)).withColumn("before", F.sum("n_bytes").over(in_bag) - F.col("n_bytes"))
-    fits = (F.col("place") <= F.when(F.col("positive") == 1, bag_positives).otherwise(bag_unlabelled)) & (F.col("before") + F.col("n_bytes") <= bag_bytes)
-    chosen = materialize(chosen.filter(fits | (F.col("place") == 1)).select("k", "positive", "bag"), "pu-chosen")
-    texts = docs.select(row.alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "k")  # at most bags * (bag_positives + bag_unlabelled) keys
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]  # keys alone, in numbers that the chances above bound but for luck
+        for (_, positive), rows in pd.concat(held).groupby(["bag", "positive"]) if held else ():
+            rows = rows.sort_values("k")
+            fits = (np.arange(len(rows)) < (bag_positives if positive else bag_unlabelled)) & (rows["n_bytes"].cumsum() <= bag_bytes)
+            yield rows[fits | (np.arange(len(rows)) == 0)]
+
+    chosen = materialize(chosen.repartitionById(bags, "bag").mapInPandas(bound, chosen.schema), "pu-chosen")
+    texts = docs.select(row.alias("k"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.select("k", "positive", "bag")), "k")  # at most bags * (bag_positives + bag_unlabelled) keys
     return texts.dropDuplicates(["k", "positive"]).select("bag", "text", "positive"), bags
 
 
@@ -241,21 +251,18 @@ def train(docs: DataFrame, positives: DataFrame, trainable: Column, features: Fe
             rows = rows.sort_values(["positive", "text"])  # the same sums in the same order on every run
             is_p = rows["positive"].to_numpy() == 1
             if is_p.any():
-                names, weights, bias, prior = fit_bag(rows["text"].tolist(), is_p, features, sign)
-                yield pd.DataFrame({"bag": bag, "name": [0, *names], "weight": [bias, *weights], "is_bias": [True, *[False] * len(names)]})
+                model, _ = fit_bag(rows["text"].tolist(), is_p, features, sign)
+                yield pd.DataFrame({"bag": bag, "name": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
     # each bag is a partition of its own
-    parts = sample.repartitionById(bags, "bag").mapInPandas(fit, "bag int, name long, weight double, is_bias boolean").collect()  # at most bags * (KEPT_FEATURES + 1) rows
+    parts = sample.repartitionById(bags, "bag").mapInPandas(fit, "bag int, name string, weight double").collect()  # at most bags * (KEPT_FEATURES + 1) rows
     used = len({r["bag"] for r in parts})
     if not used:
         return None
-    model = Model(0.0)
+    total: dict[str, float] = {}
     for r in sorted(parts, key=lambda r: (r["name"], r["bag"])):
-        if r["is_bias"]:
-            model.bias += r["weight"] / used
-        elif r["weight"]:
-            model.weights[r["name"]] = model.weights.get(r["name"], 0.0) + r["weight"] / used
-    return model
+        total[r["name"]] = total.get(r["name"], 0.0) + r["weight"] / used
+    return Model(total.pop(""), total)
 
 
 def score(text: Column, model: Model | None, features: Features, otherwise: float) -> Column:

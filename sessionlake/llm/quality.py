@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import operator
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -55,7 +55,7 @@ def measures(text: str) -> dict[str, int]:
 
 #: Measures that are odd at either end: their steps are counted downward too.
 _BOTH_WAYS = ("lower", "blank", "word length", "words", "new words")
-_STEPS = 1024
+_STEPS = 64
 
 
 class Features:
@@ -69,17 +69,24 @@ class Features:
                 out.append(np.arange(value, 32, dtype=np.int64) + (2 * n + 1) * _STEPS)
         return np.concatenate(out) << 4
 
-    def adder(self, weights: dict[int, float]) -> Callable[[str], float]:
-        reached = {True: {}, False: {}}  # (measure, step) to the sum of the weights up or down to it
-        for name in sorted(weights):
-            n, step = divmod(name >> 4, _STEPS)
-            reached[n % 2 == 0].setdefault(n // 2, {})[step] = weights[name]
-        up = {n: np.cumsum([w.get(i, 0.0) for i in range(_STEPS)]) for n, w in reached[True].items()}
-        down = {n: np.cumsum([w.get(i, 0.0) for i in range(_STEPS)][::-1])[::-1] for n, w in reached[False].items()}
+    def names(self, texts: Iterable[str], ids: set[int]) -> dict[int, str]:
+        every, out = list(measures("")), {}
+        for f in ids:
+            n, step = divmod(f >> 4, _STEPS)
+            out[f] = f"{every[n // 2]} {'<=' if n % 2 else '>='} {step}"
+        return out
+
+    def adder(self, weights: dict[str, float]) -> Callable[[str], float]:
+        every = list(measures(""))
+        steps: dict[tuple[int, str], np.ndarray] = {}  # measure and direction to the weight of each step
+        for name, weight in weights.items():
+            measure, way, step = name.rsplit(" ", 2)
+            steps.setdefault((every.index(measure), way), np.zeros(_STEPS))[int(step)] = weight
+        sums = [(n, np.cumsum(w) if way == ">=" else np.cumsum(w[::-1])[::-1]) for (n, way), w in sorted(steps.items())]
 
         def total(text: str) -> float:
             values = list(measures(text).values())
-            return sum(float(sums[values[n]]) for n, sums in up.items()) + sum(float(sums[values[n]]) for n, sums in down.items())
+            return sum(float(of[values[n]]) for n, of in sums)
 
         return total
 

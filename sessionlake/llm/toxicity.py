@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import chain, repeat
 
 import numpy as np
@@ -59,27 +59,43 @@ class Features:
         found, place = np.unique(flat, return_inverse=True)
         return np.concatenate((found, found[np.bincount(place, weights=times, minlength=len(found)) > 1] + _TWICE))
 
-    def adder(self, weights: dict[int, float]) -> Callable[[str], float]:
-        known: dict[str, tuple[int, ...]] = {}
+    def names(self, texts: Iterable[str], ids: set[int]) -> dict[int, str]:
+        out = {}
+        for text in texts:
+            for word in set(_WORD.findall(text.lower())):
+                parts = [word[:n] for n in _STEMS if len(word) >= n] + ["=" + word]
+                for part, f in zip(parts, word_features(word)):
+                    if f in ids:
+                        out[f] = part
+                    if f + _TWICE in ids:
+                        out[f + _TWICE] = part + "*"
+        return out
+
+    def adder(self, weights: dict[str, float]) -> Callable[[str], float]:
+        twice = {name[:-1]: w for name, w in weights.items() if name.endswith("*")}
+        values = {part: (weights.get(part, 0.0), twice.get(part, 0.0)) for part in twice.keys() | {name for name in weights if not name.endswith("*")}}
+        known: dict[str, tuple[str, ...]] = {}
         nothing: set[str] = set()  # words without any weight, by far the most
 
         def total(text: str) -> float:
             words = Counter(_WORD.findall(text.lower()))
-            times: dict[int, int] = {}
+            times: dict[str, int] = {}
             for word in words.keys() - nothing:
                 hits = known.get(word)
                 if hits is None:
                     if len(known) + len(nothing) >= _MEMORY:
                         known.clear()
                         nothing.clear()
-                    hits = tuple(f for f in word_features(word) if f in weights or f + _TWICE in weights)
+                    hits = tuple(word[:n] for n in _STEMS if len(word) >= n and word[:n] in values)
+                    if "=" + word in values:
+                        hits += ("=" + word,)
                     if not hits:
                         nothing.add(word)
                         continue
                     known[word] = hits
-                for f in hits:
-                    times[f] = times.get(f, 0) + words[word]
-            return sum(weights.get(f, 0.0) + (weights.get(f + _TWICE, 0.0) if n > 1 else 0.0) for f, n in sorted(times.items()))
+                for part in hits:
+                    times[part] = times.get(part, 0) + words[word]
+            return sum(values[part][0] + (values[part][1] if n > 1 else 0.0) for part, n in sorted(times.items()))
 
         return total
 

@@ -103,11 +103,14 @@ def test_scores_add_up_the_features_of_the_whole_text(rows, kind, sign):
     features = kind()
     texts = [r[1] or "" for r in rows] + ["a$ b$ c$ c$", "WORD " * 50]
     every = sorted({i for t in texts for i in features.ids(t).tolist()})
-    weights = {name: sign * (n % 7) / 8 for n, name in enumerate(every)}
+    by_id = {name: sign * (n % 7) / 8 for n, name in enumerate(every)}
+    called = features.names(texts, set(every))
+    weights = {called[i]: w for i, w in by_id.items()}
+    assert len(weights) == len(every)
     total = features.adder(weights)
     for text in texts:
         ids = features.ids(text).tolist()
-        assert len(ids) == len(set(ids)) and math.isclose(total(text), sum(weights[i] for i in ids), abs_tol=1e-9)
+        assert len(ids) == len(set(ids)) and math.isclose(total(text), sum(by_id[i] for i in ids), abs_tol=1e-9)
     tail = kind()
     long = "plain words " * 40_000
     assert set(tail.ids(long + "zork").tolist()) - set(tail.ids(long).tolist())  # the last word of a long text counts
