@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, new_path
+from .bitmap import bitmap_of, is_set
 
 LEAST, AVERAGE_BITS, MOST = 1024, 12, 16384
 #: Bits of the bitmap of repeated chunk hashes. More repeats than bits only send more chunks to the store.
@@ -103,7 +104,7 @@ def _chunks(text: str | None) -> tuple[bytes, list[bytes]]:
     return media, [media[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
 
-def repeated_bitmap(docs: DataFrame, bits: int = BITMAP_BITS) -> bytes:
+def repeated_bitmap(docs: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     """Bitmap of the hashes of chunks that stand more than once in ``docs``: bit ``hash mod bits``.
 
     Its size is fixed. Wrongly set bits cost a detour through the store, no
@@ -115,17 +116,11 @@ def repeated_bitmap(docs: DataFrame, bits: int = BITMAP_BITS) -> bytes:
         return pd.Series([[xxhash.xxh64_intdigest(c) >> 1 for c in _chunks(t)[1]] for t in texts])
 
     repeated = docs.select(F.explode(hashes("text")).alias("h")).groupBy("h").count().filter("count > 1")
-    words = repeated.select((F.col("h") % bits).alias("bit")).groupBy(F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("mask"))
-    out = np.zeros(bits // 32, dtype="<u4")
-    found = words.toPandas()  # at most bits / 32 rows
-    out[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64).astype(np.uint32)
-    return out.tobytes()
+    return bitmap_of(repeated, "h", bits)
 
 
-def _store(batches: Iterator[pd.DataFrame], bitmap: bytes) -> Iterator[pd.DataFrame]:
+def _store(batches: Iterator[pd.DataFrame], marks: np.ndarray) -> Iterator[pd.DataFrame]:
     """Chunk lists with their own chunks, and the chunks for the store."""
-    marks = np.frombuffer(bitmap, dtype="<u4")
-    bits = len(marks) * 32
     pack = zstandard.ZstdCompressor(level=3).compress
     columns = ["kind", "doc_id", "media_sha256", "list", "data", "digest"]
     for batch in batches:
@@ -133,10 +128,9 @@ def _store(batches: Iterator[pd.DataFrame], bitmap: bytes) -> Iterator[pd.DataFr
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             media, chunks = _chunks(text)
             own, items = [], []
-            for chunk in chunks:
-                bit = (xxhash.xxh64_intdigest(chunk) >> 1) % bits
+            hashes = np.array([xxhash.xxh64_intdigest(c) >> 1 for c in chunks], dtype=np.int64)
+            for chunk, shared in zip(chunks, is_set(marks, hashes).tolist()):
                 digest = hashlib.sha256(chunk).digest()
-                shared = bool(int(marks[bit // 32]) >> (bit % 32) & 1)
                 items.append({"digest": digest, "length": len(chunk), "shared": shared})
                 if not shared:
                     own.append(chunk)
@@ -169,8 +163,8 @@ def store(docs: DataFrame, *, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataF
     the store), doc_id, media_sha256, list (digest, length, shared), data.
     chunks: digest, data; each digest once.
     """
-    bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(docs, bits))  # bits / 8 bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _store(b, bitmap.value), _STORED)
+    marks = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(docs, bits))  # bits / 8 bytes
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _store(b, marks.value), _STORED)
     path = new_path(docs.sparkSession, "media")
     rows.write.partitionBy("kind").parquet(path)
     spark = docs.sparkSession

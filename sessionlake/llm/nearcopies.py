@@ -1,17 +1,24 @@
-"""Near copies by exact similarity of word shingles.
+"""Near copies: SimHash anchors find the candidates, exact similarity decides.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word
-shingles is at least 0.8. Candidates come from MinHash bands: texts that agree
-in all five values of one of 24 bands meet in that band's bucket, which a pair
-at 0.8 misses in 7 of 100,000 cases and a closer pair less often. Every
-candidate is then decided by its exact similarity. Texts with one set of
-shingles are one node, so exact copies make no pairs. In each bucket all texts
-are compared with its first one; only what these links leave in different
-components is compared in pairs.
+shingles is at least 0.8. That is far more than three bits of a fingerprint,
+so a text gets a fingerprint of eight words instead of one, from its distinct
+two-word shingles, of which an edit touches least. Each word is covered as in
+``simhash``: two blocks of 31 bits, every block at its home anchor and at the
+fifteen others within covering radius plus one bit. Texts that meet at one of
+the sixteen homes, and differ in no more than 22 bits of another word, are
+candidates. How many near copies meet is stated in ``meeting_chance``.
+
+Every candidate is decided by its exact similarity. Texts with one set of
+shingles are one node, so exact copies make no pairs. At each anchor all texts
+are compared with one resident, the one with most company in all, which is
+what a group of copies was made from if that is there; only what these links
+leave in different components is compared in pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
+from . import bitmap
 from .components import connected_components
-from .simhash import keep_first, row_keys, shingle_hashes
+from .simhash import keep_first, majority, replicate, row_keys, shingle_hashes
 
 SHINGLE = 5
 #: Similarity from which two texts are near copies, as a fraction of whole numbers.
 ALIKE, OF = 4, 5
-BANDS, BAND_VALUES = 24, 5
+#: Words of a wide fingerprint, its shingles, and differing bits of one word up to which two texts are compared.
+PRINT_WORDS, PRINT_SHINGLE, CHECK_BITS = 8, 2, 22
 #: Pairs of one text that meet one copy of its shingles.
 PAIRS_A_COPY = 512
 
-_random = np.random.default_rng(42)
-_MASKS = _random.integers(0, 1 << 63, BANDS * BAND_VALUES, dtype=np.uint64)[:, None]
-_FACTORS = (_random.integers(0, 1 << 63, BANDS * BAND_VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, PRINT_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,27 +49,32 @@ def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, width))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One long per band; texts that agree in a band's values have the same."""
-    least = np.full(BANDS * BAND_VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(shingles), 1024):
-        np.minimum(least, ((shingles[None, i : i + 1024] ^ _MASKS) * _FACTORS).min(axis=1), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for values in least.reshape(BANDS, BAND_VALUES).T:
-        keys = (keys ^ values) * _MIX
-        keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64)
+def wide_print(text: str | None) -> np.ndarray:
+    """Fingerprint of PRINT_WORDS words of 64 bits: the majority of as many mixed hashes of each distinct shingle."""
+    mixed = shingle_set(text, PRINT_SHINGLE)[:, None] * _FACTORS
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+    return majority(mixed ^ (mixed >> np.uint64(29)))
+
+
+def meeting_chance(similarity: float, blocks: int = 2 * PRINT_WORDS) -> float:
+    """Chance that two sets of equal size meet at an anchor, by the Jaccard similarity of their distinct PRINT_SHINGLE-word shingles.
+
+    A bit differs with chance p = angle / pi. Two blocks meet if one lies
+    within 2 of the other's home: always up to one differing bit, and where a
+    bit towards a home is among the differing ones for two or three (chance
+    of either side about 6 of 32).
+    """
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    exactly = lambda d: math.comb(31, d) * p**d * (1 - p) ** (31 - d)
+    return 1 - (1 - exactly(0) - exactly(1) - 6 / 32 * (exactly(2) + exactly(3))) ** blocks
 
 
 def _sketch(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        node, size, bands = [], [], []
-        for text in batch["text"]:
-            shingles = shingle_set(text, width)
-            node.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-            size.append(len(shingles))
-            bands.append(band_keys(shingles) if len(shingles) else np.zeros(0, dtype=np.int64))
-        yield pd.DataFrame({"k_row": batch["k_row"], "k_text": batch["k_text"], "node": node, "size": size, "bands": bands})
+        sets = [shingle_set(text, width) for text in batch["text"]]
+        prints = [wide_print(text) if len(shingles) else [] for text, shingles in zip(batch["text"], sets)]
+        node = np.array([xxhash.xxh3_64_intdigest(shingles.tobytes()) for shingles in sets], dtype=np.uint64).view(np.int64)
+        yield pd.DataFrame({"k_row": batch["k_row"], "k_text": batch["k_text"], "node": node, "prints": prints})
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -71,8 +83,10 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).select("a", "b", "part")
     copies = sets.join(parts, sets.node == parts.b).select("b", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("shingles").alias("of_b"))
     both = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(copies, ["b", "part"])
+    x, y = F.size("of_a"), F.size("of_b")
+    may_be = ALIKE * F.greatest(x, y) <= OF * F.least(x, y)  # sets of other sizes cannot be alike
     # intersection / union >= ALIKE / OF, in whole numbers
-    return both.filter((ALIKE + OF) * F.size(F.array_intersect("of_a", "of_b")) >= ALIKE * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+    return both.filter(F.when(may_be, (ALIKE + OF) * F.size(F.array_intersect("of_a", "of_b")) >= ALIKE * (x + y))).select("a", "b")
 
 
 def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
@@ -80,43 +94,53 @@ def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
 
     root is the same for all texts that links of the exact similarity join;
     texts without words have one root, texts shorter than a shingle are one
-    shingle. (k_row, k_text) must tell texts apart.
+    shingle. (k_row, k_text) must tell texts apart. Texts are told apart by
+    64-bit hashes of their sets of shingles.
     """
     prints = materialize(
-        keyed.select("k_row", "k_text", "text").mapInPandas(lambda batches: _sketch(batches, width), "k_row long, k_text long, node binary, size int, bands array<long>"),
+        keyed.select("k_row", "k_text", "text").mapInPandas(lambda batches: _sketch(batches, width), "k_row long, k_text long, node long, prints array<long>"),
         "near-prints",
     )
-    nodes = prints.filter("size > 0").groupBy("node", "size").agg(F.first("bands").alias("bands"))
-    bands = materialize(nodes.select("node", "size", F.explode("bands").alias("band")), "near-bands")
-    shared = materialize(bands.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("texts")).filter("texts > 1").select("band", "first"), "near-shared")
-    met = materialize(bands.join(shared, "band"), "near-met")  # only texts with company
-    sizes = met.select(F.col("first").alias("b"), "band").distinct()
-    sizes = sizes.join(met.filter("node = first").select("band", F.col("size").alias("of_first")), "band").select("b", "of_first").distinct()
-    fits = lambda x, y: (ALIKE * F.greatest(x, y) <= OF * F.least(x, y))  # noqa: E731 - sets of other sizes cannot be alike
-    stars = met.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"), "size").distinct().join(sizes, "b")
-    stars = materialize(stars.filter(fits(F.col("size"), F.col("of_first"))).select("a", "b"), "near-stars")
+    nodes = materialize(prints.filter(F.size("prints") > 0).groupBy("node").agg(F.first("prints").alias("prints")), "near-nodes")
+    cells = materialize(replicate(nodes), "near-cells")
+    company = cells.groupBy("anchor").agg(F.count("*").alias("texts"), F.max("home").alias("lived")).filter("lived and texts > 1").select("anchor", "texts")
+    met = materialize(cells.join(company, "anchor"), "near-met")
+    weights = met.filter("home").groupBy("node").agg(F.sum("texts").alias("weight"))
+    first = met.filter("home").join(weights, "node").groupBy("anchor").agg(F.max_by(F.struct("node", "check"), F.struct("weight", "node")).alias("first"))
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= CHECK_BITS
+    stars = met.join(first, "anchor").filter((F.col("node") != F.col("first.node")) & near("check", "first.check"))
+    stars = materialize(stars.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct(), "near-stars")
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
 
-    company = materialize(prints.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_row", "k_text")).alias("k")).select("node", "k.*"), "near-company")
-    texts = keyed.select("k_row", "k_text", "text").join(company, ["k_row", "k_text"]).groupBy("node").agg(F.first("text").alias("text"))
+    wanted = materialize(prints.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_row", "k_text")).alias("k")).select("node", "k.*"), "near-wanted")
+    texts = bitmap.semi_join(keyed.select("k_row", "k_text", "text"), wanted, ["k_row", "k_text"]).dropDuplicates(["k_row", "k_text"]).join(wanted, ["k_row", "k_text"])
     sets = materialize(texts.select("node", shingles("text").alias("shingles")), "near-sets")
 
     links = materialize(_alike(stars, sets), "near-links")
     roots = connected_components(links).withColumnRenamed("root", "top")
     left = met.join(roots, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    split = left.groupBy("band").agg(F.min("top").alias("x"), F.max("top").alias("y")).filter("x != y").select("band")
-    rest = materialize(left.filter("node != first").join(split, "band", "left_semi").select("band", "node", "size", "top"), "near-rest")
-    other = rest.select("band", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("top").alias("top_b"))
-    pairs = rest.withColumnRenamed("node", "a").join(other, "band").filter((F.col("top") < F.col("top_b")) & fits(F.col("size"), F.col("size_b"))).select("a", "b").distinct()
+    split = left.groupBy("anchor").agg(F.min("top").alias("x"), F.max("top").alias("y")).filter("x != y").select("anchor")
+    rest = left.join(split, "anchor", "left_semi").join(first, "anchor").filter("node != first.node")
+    rest = materialize(rest.select("anchor", "node", "check", "home", "top"), "near-rest")
+    a = rest.filter("home").select("anchor", F.col("node").alias("a"), F.col("check").alias("check_a"), F.col("top").alias("top_a"))
+    b = rest.select("anchor", F.col("node").alias("b"), F.col("check").alias("check_b"), F.col("top").alias("top_b"), "home")
+    once = ~F.col("home") | (F.col("a") < F.col("b"))
+    pairs = a.join(b, "anchor").filter((F.col("top_a") != F.col("top_b")) & once & near("check_a", "check_b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _alike(materialize(pairs, "near-pairs"), sets)
     roots = connected_components(links.unionByName(more))
     return prints.join(roots, "node", "left").select("k_row", "k_text", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, *, width: int = SHINGLE) -> DataFrame:
-    """One row of ``docs`` (``doc_id``, ``text``) for each component of near copies, columns unchanged: see ``simhash.keep_first``."""
+    """One row of ``docs`` (``doc_id``, ``text``) for each component of near copies, columns unchanged: see ``simhash.keep_first``.
+
+    Null texts count as empty; texts without words form one component; rows
+    with a null doc_id take part; repeated rows are copies. An empty table
+    gives an empty table.
+    """
     keyed = row_keys(docs)
     return keep_first(docs, near_copies(keyed, width=width))

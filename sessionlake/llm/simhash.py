@@ -5,7 +5,8 @@ most one bit of their first 31 bits or of their next 31. Each block of 31 bits
 is covered by the perfect Hamming code: every block lies within radius 1 of
 exactly one code word, its home anchor. A fingerprint is replicated to the
 anchors within 2 (covering radius plus the threshold of one bit) of each
-block: its home and fifteen others. Whatever is within one bit of a block
+block: its home and fifteen others. Anchors that are no one's home are left
+out where the replicas are made. Whatever is within one bit of a block
 therefore visits that block's home, and comparing visitors with residents at
 each anchor finds every link. Only distinct fingerprints take part, and
 what an anchor hands on is not the pairs but edges with the same components.
@@ -21,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmap
 from .components import connected_components
 from ..scratch import materialize
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 3
 _BLOCK = 31
-#: Residents of one anchor that one task compares; anchors with more are cut into a grid of cells.
-CELL_RESIDENTS = 8192
+#: Residents, and rows in all, of one anchor that one task compares; anchors with more are cut into a grid of cells.
+CELL_ROWS = 8192
 _POSITIONS = np.arange(1, _BLOCK + 1, dtype=np.int64)
 
 
@@ -44,16 +46,18 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(last)].tolist(), last.tolist())), dtype=np.uint64, count=len(last))
 
 
+def majority(words: np.ndarray) -> np.ndarray:
+    """Signed 64-bit words of the bits that are set in over half of the rows of ``words`` (n, w)."""
+    counts = np.zeros(64 * words.shape[1], dtype=np.int64)
+    for i in range(0, len(words), 255):  # as many as a byte counts
+        part = np.ascontiguousarray(words[i : i + 255], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(words), bitorder="little").view("<i8")
+
+
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     """Signed 64-bit SimHash: a bit is set where over half of the hashes have it; 0 without words."""
-    hashes = shingle_hashes(text, width)
-    if not len(hashes):
-        return 0
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 16384):
-        bits = np.unpackbits(hashes[i : i + 16384].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+    return int(majority(shingle_hashes(text, width)[:, None])[0])
 
 
 def _prints(width: int):
@@ -89,13 +93,48 @@ def anchors(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out_rows), np.concatenate(out_anchor), np.concatenate(out_home)
 
 
-def _replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each fingerprint at every anchor of both blocks; the block's number is the anchor's lowest bit."""
-    for batch in batches:
-        fp = batch["fp"].to_numpy(dtype=np.int64)
-        for block in (0, 1):
-            rows, anchor, home = anchors((fp >> (_BLOCK * block)) & ((1 << _BLOCK) - 1))
-            yield pd.DataFrame({"anchor": anchor * 2 + block, "fp": fp[rows], "home": home})
+def _places(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each 31-bit block of fingerprints (n, w): rows, keys of their anchors, whether it is the home, and the word to check by.
+
+    The key has the block's number as its lowest part. A block is checked by
+    the word after its own, which tells more of the rest.
+    """
+    words = prints.shape[1]
+    for block in range(2 * words):
+        rows, anchor, home = anchors((prints[:, block // 2] >> (_BLOCK * (block % 2))) & ((1 << _BLOCK) - 1))
+        yield rows, anchor * (2 * words) + block, home, prints[:, (block // 2 + 1) % words]
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64)
+
+
+def _as_words(batch: pd.DataFrame) -> np.ndarray:
+    return np.array(batch["prints"].tolist(), dtype=np.int64).reshape(len(batch), -1)
+
+
+def replicate(prints: DataFrame, bits: int = bitmap.BITS) -> DataFrame:
+    """(anchor, node, check, home) of each ``node`` at its anchors, for ``prints`` (node long, prints array of longs).
+
+    Visits to anchors that are no one's home find nothing. A bitmap of all
+    homes drops them before they are shuffled, as far as its fixed size goes.
+    """
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield bitmap.words_of(np.concatenate([_slots(keys[home]) % bits for _, keys, home, _ in _places(_as_words(batch))] or [np.zeros(0, dtype=np.int64)]))
+
+    marks = prints.sparkSession.sparkContext.broadcast(bitmap.collect_words(prints.select("prints").mapInPandas(homes, "word long, mask long"), bits))  # bits / 8 bytes
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            node = batch["node"].to_numpy(dtype=np.int64)
+            for rows, keys, home, check in _places(_as_words(batch)):
+                keep = home | bitmap.is_set(marks.value, _slots(keys))
+                rows = rows[keep]
+                yield pd.DataFrame({"anchor": keys[keep], "node": node[rows], "check": check[rows], "home": home[keep]})
+
+    return prints.select("node", "prints").mapInPandas(deal, "anchor long, node long, check long, home boolean")
 
 
 def _links(fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,28 +212,30 @@ def _compare_whole(rows: pd.DataFrame, same: np.ndarray, threshold: int) -> pd.D
     return pd.DataFrame({"a": np.concatenate(out_a or [none]), "b": np.concatenate(out_b or [none])})
 
 
-def near_links(fingerprints: DataFrame, *, threshold: int = THRESHOLD, cell_residents: int = CELL_RESIDENTS) -> DataFrame:
+def near_links(fingerprints: DataFrame, *, threshold: int = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Edges (a, b) with the components that links of at most ``threshold`` (at most 3) bits give column ``fp`` (distinct longs).
 
     Per cell, each row that links reach is tied to the row they reach it from
     first, so the result has no more rows than replicas, while its components
-    are those of all links. Anchors
-    with more than ``cell_residents`` residents are cut into a grid: residents
-    go to one row of it, visitors to one column, so each pair still meets once.
+    are those of all links. Anchors with more than ``cell_rows`` rows are cut
+    into a grid: every row goes to one column of it, residents also to one
+    line, so each pair still meets and no cell holds more than about two such
+    numbers, whether residents or visitors crowd the anchor.
     """
     if threshold > 3:
         raise ValueError("two blocks with one bit each cover three differing bits at most")
-    replicas = fingerprints.select("fp").mapInPandas(_replicate, "anchor long, fp long, home boolean")
+    replicas = materialize(replicate(fingerprints.select(F.col("fp").alias("node"), F.array("fp").alias("prints"))), "simhash-replicas")
     crowded = (
-        replicas.filter("home").groupBy("anchor").count().filter(F.col("count") > cell_residents)
-        .select("anchor", F.ceil(F.col("count") / cell_residents).cast("int").alias("grid"))
+        replicas.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("residents")).filter((F.col("n") > cell_rows) & (F.col("residents") > 0))
+        .select("anchor", F.ceil(F.col("residents") / cell_rows).cast("int").alias("lines"), F.ceil(F.col("n") / cell_rows).cast("int").alias("columns"))
     )
     crowded = materialize(crowded, "simhash-crowded")
-    place = F.pmod(F.xxhash64("fp"), F.col("grid")).cast("int")
-    grid = replicas.join(crowded, "anchor", "left").withColumn("grid", F.coalesce("grid", F.lit(1))).withColumn("place", place)
-    in_column = "transform(sequence(0, grid - 1), x -> struct(x as i, place as j, home and x = place as home))"
-    in_row = "transform(filter(sequence(0, grid - 1), x -> home and x != place), x -> struct(place as i, x as j, true as home))"
-    cells = grid.select("anchor", "fp", F.explode(F.expr(f"concat({in_column}, {in_row})")).alias("cell")).select("anchor", "cell.*", "fp")
+    grid = replicas.select("anchor", F.col("node").alias("fp"), "home").join(crowded, "anchor", "left").withColumns({"lines": F.coalesce("lines", F.lit(1)), "columns": F.coalesce("columns", F.lit(1))})
+    place = lambda purpose, of: F.pmod(F.xxhash64("fp", F.lit(purpose)), F.col(of)).cast("int")
+    grid = grid.withColumns({"line": place("line", "lines"), "column": place("column", "columns")})
+    in_column = "transform(sequence(0, lines - 1), x -> struct(x as i, column as j, home and x = line as home))"
+    in_line = "transform(filter(sequence(0, columns - 1), x -> home and x != column), x -> struct(line as i, x as j, true as home))"
+    cells = grid.select("anchor", "fp", F.explode(F.expr(f"concat({in_column}, {in_line})")).alias("cell")).select("anchor", "cell.*", "fp")
     parts = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cells.select("anchor", "i", "j", "fp", "home").repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "fp")
     return dealt.mapInPandas(lambda batches: _compare(batches, threshold), "a long, b long")
@@ -220,7 +261,7 @@ def near_duplicates(docs: DataFrame, *, width: int = SHINGLE, threshold: int = T
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``k_row``, the doc_id or, where it is null, a number made from the text above the usual ids, and ``k_text``, the text's hash."""
+    """``docs`` with ``k_row``, the doc_id (a whole number) or, where it is null, a number made from the text above the usual ids, and ``k_text``, the text's hash."""
     stand_in = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
     return docs.withColumn("k_row", F.coalesce(F.col("doc_id").cast("long"), stand_in)).withColumn("k_text", F.xxhash64("text"))
 
@@ -230,18 +271,25 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     Of texts under the winning id the one with the smallest hash stays, and of
     rows that repeat both, the one whose columns sort first. A null doc_id
-    goes as ``row_keys`` numbers it.
+    goes as ``row_keys`` numbers it. Rows that neither lose nor repeat stay
+    where they are; only the others' keys decide, by a join.
     """
-    winners = found.groupBy("root").agg(F.min(F.struct("k_row", "k_text")).alias("k")).select("k.*").distinct()
-    winners = materialize(winners, "simhash-winners")
+    key = ["k_row", "k_text"]
+    least = found.groupBy("root").agg(F.min(F.struct(*key)).alias("k"))
+    winners = materialize(least.select("k.*").distinct(), "simhash-winners")
+    counted = found.groupBy(*key).count()
+    losers = counted.join(winners, key, "left_anti").select(*key)
+    repeated = materialize(counted.filter("count > 1").select(*key).join(winners, key, "left_semi"), "simhash-repeated")
+    moved = losers.unionByName(repeated).select(F.xxhash64(*key).alias("key"))
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap.bitmap_of(moved, "key"))  # bitmap.BITS / 8 bytes
     keyed = row_keys(docs)
-    repeated = materialize(found.groupBy("k_row", "k_text").count().filter("count > 1").select("k_row", "k_text").join(winners, ["k_row", "k_text"], "left_semi"), "simhash-repeated")
-    kept = keyed.join(winners, ["k_row", "k_text"], "left_semi")
+    in_question = bitmap.may_hold(marks, F.xxhash64(*key))
+    kept = keyed.filter(in_question).join(winners, key, "left_semi")
     if not repeated.isEmpty():
         row = F.struct("text", *[c for c in docs.columns if c != "text"])
-        again = kept.join(repeated, ["k_row", "k_text"], "left_semi").select("k_row", "k_text", row.alias("row")).groupBy("k_row", "k_text").agg(F.min("row").alias("row"))
-        kept = kept.join(repeated, ["k_row", "k_text"], "left_anti").select(*docs.columns).unionByName(again.select("row.*"))
-    return kept.select(*docs.columns)
+        again = kept.join(repeated, key, "left_semi").select(*key, row.alias("row")).groupBy(*key).agg(F.min("row").alias("row"))
+        kept = kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(again.select("row.*").select(*docs.columns))
+    return keyed.filter(~in_question).select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def keep_one(docs: DataFrame, *, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

@@ -75,7 +75,7 @@ def test_links_connect_what_three_bits_connect(spark, cell):
     prints |= {hub ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(0, 64, 5)}  # crowded anchors
     prints = sorted(prints)
     signed = [p - (p >> 63 << 64) for p in prints]
-    links = simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp long"), cell_residents=cell).collect()
+    links = simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp long"), cell_rows=cell).collect()
     index = {p: i for i, p in enumerate(signed)}
     parent = list(range(len(prints)))
 
