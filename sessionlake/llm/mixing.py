@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within its source the documents stand
+Every document gets a hash-random key, from its id and its text. Within its source the documents stand
 in key order; the leading bits of the key cut that order into ranges, so a
 source with a third of all rows is spread over as many tasks as it needs.
 Range sums, a prefix over the ranges and a running sum inside each range give
@@ -10,6 +10,7 @@ ever holding a source. The budget is then cut at the exact word.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +25,24 @@ BROADCAST_SOURCES = 50_000
 _KEY_DIGITS = 4  # hex digits of the key that number the finest ranges
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: Copies of a repeated row that are listed at once.
+COPIES_AT_ONCE = 4096
 
 
 def word_count(text: Column) -> Column:
-    r"""Number of ``[^\x20\x09-\x0D]+`` runs; null counts 0.
+    r"""Number of ``[^\x20\x09-\x0D]+`` runs; null counts 0."""
 
-    Runs shrink to one letter each, then the blanks go: no array of words is
-    built, however long the text.
-    """
-    marks = F.regexp_replace(text, r"[^\x20\x09-\x0D]+", "w")
-    return F.coalesce(F.length(F.translate(marks, BLANKS, "")).cast("long"), F.lit(0).cast("long"))
+    @F.pandas_udf("long")
+    def counts(texts: pd.Series) -> pd.Series:
+        # bytes.split parts at the six ASCII blanks and at nothing else
+        return pd.Series([len(t.encode("utf-8", "replace").split()) if t else 0 for t in texts], dtype="int64")
+
+    return counts(text)
 
 
-def mix_key(doc_id: Column, seed: int) -> Column:
+def mix_key(doc_id: Column, text: Column, seed: int) -> Column:
     """Hash-random sort key: hex text, the same on every run."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(text).cast("string")))
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -73,25 +77,26 @@ def mix(docs: DataFrame, *, seed: int = 0, max_epochs: int = MAX_EPOCHS, range_r
     In: ``doc_id``, ``text``, ``source``; other columns are ignored. Out, one
     row per row of ``docs``: doc_id, source, size, source_size, target,
     epochs (whole passes over the source), rest (words of the last, partial
-    pass taken from this document) and taken = epochs * size + rest.
+    pass taken from this document), key (its place in the order) and taken =
+    epochs * size + rest.
 
     Null and blank texts have size 0 and are taken 0 words; null sources form
-    one source; null ids share a key; repeated rows are separate rows, each
-    with its own place in the order. An empty table gives an empty table.
-    Reruns agree: the key depends on ``seed`` and ``doc_id`` only, ties follow
-    the size.
+    one source; null and repeated ids are told apart by their texts. Rows that
+    repeat both stand one after the other, each with its own place in the
+    order: they are counted before the shuffle and listed again at the end,
+    so a row that repeats without end crowds no range. An empty table gives
+    an empty table. Reruns agree: the key depends on ``seed``, ``doc_id`` and
+    ``text`` only.
     """
-    sized = materialize(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), seed).alias("key")),
-        "mix-sizes",
-    )
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    sized = materialize(sized.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")), "mix-sizes")
     rows = sized.count()
     digits = 0
     while digits < _KEY_DIGITS and 16**digits * range_rows < rows:
         digits += 1
-    bucketed = sized.withColumn("range", F.substring("key", 1, digits))
+    bucketed = sized.withColumn("range", F.substring("key", 1, digits)).withColumn("weighs", F.col("size") * F.col("copies"))
 
-    ranges = bucketed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    ranges = bucketed.groupBy("source", "range").agg(F.sum("weighs").alias("range_size"))
     ranges = materialize(ranges, "mix-ranges")
     by_source = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.withColumn("offset", F.coalesce(F.sum("range_size").over(by_source), F.lit(0)))
@@ -102,15 +107,17 @@ def mix(docs: DataFrame, *, seed: int = 0, max_epochs: int = MAX_EPOCHS, range_r
 
     running = Window.partitionBy("source", "range").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        bucketed.withColumn("inside", F.coalesce(F.sum("size").over(running), F.lit(0)))
+        bucketed.withColumn("inside", F.coalesce(F.sum("weighs").over(running), F.lit(0)))
         .join(facts, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("range") == F.col("f_range")))
+        .withColumn("lot", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES_AT_ONCE})")))
+        .withColumn("copy", F.explode(F.expr(f"sequence(lot * {COPIES_AT_ONCE}, least(copies, (lot + 1) * {COPIES_AT_ONCE}) - 1)")))
         .withColumn("budget", F.floor("target"))
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("left", F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("inside"))
+        .withColumn("left", F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("offset") - F.col("inside") - F.col("copy") * F.col("size"))
         .withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left"))).cast("long"))
     )
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "epochs", "rest",
+        "doc_id", "source", "size", "source_size", "target", "epochs", "rest", "key",
         (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"),
     )
 
@@ -124,10 +131,11 @@ def take_mix(docs: DataFrame, *, seed: int = 0, max_epochs: int = MAX_EPOCHS) ->
     takes is a prefix of its key order, so one row per source says it all:
     the whole epochs, the last document of the partial pass and how much of
     it. Texts are therefore never shuffled. Rows that repeat that last
-    document are all cut alike.
+    document, id and text, are all cut alike. Null texts and sources go as in
+    ``mix``; an empty table gives an empty table.
     """
     spot = F.struct("key", "size", "doc_id")
-    plan = mix(docs, seed=seed, max_epochs=max_epochs).withColumn("key", mix_key(F.col("doc_id"), seed))
+    plan = mix(docs, seed=seed, max_epochs=max_epochs)
     cuts = materialize(
         plan.groupBy(F.col("source").alias("c_source")).agg(
             F.max("epochs").alias("c_epochs"),
@@ -138,7 +146,7 @@ def take_mix(docs: DataFrame, *, seed: int = 0, max_epochs: int = MAX_EPOCHS) ->
     )
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
-    sized = docs.withColumn("c_here", F.struct(mix_key(F.col("doc_id"), seed).alias("key"), word_count(F.col("text")).alias("size"), "doc_id"))
+    sized = docs.withColumn("c_here", F.struct(mix_key(F.col("doc_id"), F.col("text"), seed).alias("key"), word_count(F.col("text")).alias("size"), "doc_id"))
     last = (
         F.when(F.col("c_spot").isNull() | (F.col("c_here") > F.col("c_spot")), F.lit(0))
         .when(F.col("c_here") == F.col("c_spot"), F.col("c_rest"))

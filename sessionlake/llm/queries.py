@@ -24,7 +24,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.placements(packing.pack(_table(spark, sf_dir, "documents")))
 
 
 def op4_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import re
 from collections import defaultdict
 
+import xxhash
 from sessionlake.llm import mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -32,7 +33,8 @@ def expected(rows):
     sizes, members = defaultdict(int), defaultdict(list)
     for r in rows:
         sizes[r[3]] += size(r[1])
-        key = hashlib.md5(f"0:{'null' if r[0] is None else r[0]}".encode()).hexdigest()
+        text = 42 if r[1] is None else xxhash.xxh64_intdigest(r[1].encode(), seed=42)  # Spark's hash of a null is its seed
+        key = hashlib.md5(f"0:{'null' if r[0] is None else r[0]}:{text - (text >> 63 << 64)}".encode()).hexdigest()
         members[r[3]].append((key, size(r[1]), (r[0] is not None, r[0] or 0), r[0]))
     targets, out = by_rounds(sizes), []
     for source, docs in members.items():
@@ -95,3 +97,17 @@ def test_reruns_agree_and_extra_columns_and_empty_tables_do_no_harm(docs, wide,
     assert first == ordered(map(tuple, mixing.mix(docs.repartition(7)).collect())) == ordered(map(tuple, mixing.mix(wide).collect()))
     assert mixing.mix(no_docs).collect() == [] and mixing.take_mix(no_docs).collect() == []
     assert mixing.take_mix(wide).columns == wide.columns
+
+
+def test_one_row_repeated_and_one_id_on_many_texts(spark):
+    """A third of the rows repeat one row, a third share a null id; every copy has its own place."""
+    table = [(1, "a b c", "hot")] * 10_000 + [(None, f"text {i} of none", "hot") for i in range(3000)] + [(i, "x y", "cold") for i in range(10, 3000)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+    got = mixing.mix(docs, range_rows=500).collect()
+    assert len(got) == len(table) and all(0 <= r.taken <= 3 * r.size for r in got)
+    for source in ("hot", "cold"):
+        rows = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) < 1
+    copies = [r.rest for r in got if r.doc_id == 1]
+    assert copies == sorted(copies, reverse=True) and sum(0 < x < 3 for x in copies) <= 1
+    assert len({r.key for r in got if r.doc_id is None}) == 3000

@@ -1,5 +1,7 @@
 import random
+from collections import Counter, defaultdict
 
+import pytest
 from sessionlake.llm import nearcopies, simhash
 
 from .conftest import DOCS, prose
@@ -49,6 +51,46 @@ def test_stage_keeps_one_of_each_group_at_any_similarity(spark):
     assert got != sorted(r.doc_id for r in simhash.keep_one(docs).collect())
 
 
+def test_wide_fingerprints_meet_as_often_as_stated():
+    """Of pairs at every similarity from 0.8 up at least as many meet at an anchor as ``meeting_chance`` says for it."""
+    rng = random.Random(2)
+    for places in (1, 3, 5):
+        met, chance = [], []
+        for _ in range(60):
+            a = prose(rng, 120)
+            b = edited(rng, a, places)
+            prints = [nearcopies.wide_print(t)[None, :] for t in (a, b)]
+            x, y = ([set(keys.tolist()) for _, keys, _, _ in simhash._places(p)] for p in prints)
+            homes = [[{k for k, h in zip(keys.tolist(), home.tolist()) if h} for _, keys, home, _ in simhash._places(p)] for p in prints]
+            met.append(any(homes[0][n] & y[n] or homes[1][n] & x[n] for n in range(2 * nearcopies.PRINT_WORDS)))
+            sets = [set(nearcopies.shingle_set(t, nearcopies.PRINT_SHINGLE).tolist()) for t in (a, b)]
+            chance.append(nearcopies.meeting_chance(len(sets[0] & sets[1]) / len(sets[0] | sets[1])))
+        assert sum(met) >= sum(chance) - 6
+    assert nearcopies.meeting_chance(1.0) == 1.0 and 0.75 < nearcopies.meeting_chance(0.8) < 0.8 and nearcopies.meeting_chance(0.9) > 0.98
+
+
+@pytest.mark.parametrize("sf,least", [("sf0.001", 1.0), ("sf0.01", 0.99)])
+def test_given_tables_against_all_pairs(spark, sf, least):
+    """Groups by exact similarity of every pair that shares a shingle."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = docs.collect()
+    sets, holders, shared = [plain_set(r.text) for r in rows], defaultdict(list), Counter()
+    for i, own in enumerate(sets):
+        for shingle in own:
+            shared.update((j, i) for j in holders[shingle])
+            holders[shingle].append(i)
+    groups = list(range(len(rows)))
+    empty = [i for i, own in enumerate(sets) if not own]
+    pairs = [(a, b) for (a, b), n in shared.items() if 9 * n >= 4 * (len(sets[a]) + len(sets[b]))] + [(empty[0], i) for i in empty[1:]]
+    for a, b in pairs:
+        if groups[a] != groups[b]:
+            old, new = max(groups[a], groups[b]), min(groups[a], groups[b])
+            groups = [new if g == old else g for g in groups]
+    want = {min(rows[i].doc_id for i in range(len(rows)) if groups[i] == g) for g in set(groups)}
+    got = {r.doc_id for r in nearcopies.keep_one(docs).select("doc_id").collect()}
+    assert want <= got and len(got - want) <= (1 - least) * (len(rows) - len(want)) and len(want) < len(rows)
+
+
 def test_stage_finds_what_the_fingerprints_miss(spark):
     import corpus_pipeline
 

@@ -1,7 +1,9 @@
+import hashlib
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sessionlake.llm import packing
 
@@ -36,28 +38,54 @@ def test_best_fit_matches_the_naive_search():
 
 
 def test_every_word_is_packed_once_and_no_rule_is_broken(docs, rows):
-    got = packing.pack(docs, capacity=100, per_source=2, shard_pieces=64).collect()
-    words = Counter()
+    bins = packing.pack(docs, capacity=100, per_source=2, shard_pieces=64).collect()
+    words, cut = Counter(), {}
     for r in rows:
         words[r[0]] += len((r[1] or "").split())
+        cut.setdefault(r[0], []).append((r[1] or "").split())
     packed = Counter()
-    bins = defaultdict(list)
-    for r in got:
-        packed[r.doc_id] += r.piece_words
-        bins[r.shard, r.bin].append(r)
+    for b in bins:
+        assert b.words == len(b.text.split()) == sum(p.piece_words for p in b.pieces) <= 100
+        assert [p.offset for p in b.pieces] == [sum(p.piece_words for p in b.pieces[:n]) for n in range(len(b.pieces))]
+        assert max(Counter(p.source for p in b.pieces).values()) <= 2
+        assert max(Counter(p.cluster for p in b.pieces if p.cluster is not None).values(), default=1) == 1
+        at = 0
+        for p in b.pieces:  # the boundaries cut the packed text into the pieces and nothing else
+            own = b.text[p.start - 1 : p.start - 1 + p.length]
+            assert b.text[at : p.start - 1] == (packing.SEPARATOR if at else "")
+            assert any(own.split() == whole[p.first_word : p.first_word + p.piece_words] for whole in cut[p.doc_id])
+            packed[p.doc_id] += p.piece_words
+            at = p.start - 1 + p.length
+        assert at == len(b.text)
     assert packed == Counter({k: v for k, v in words.items() if v})
-    for pieces in bins.values():
-        pieces.sort(key=lambda r: r.offset)
-        assert [r.offset for r in pieces] == [sum(p.piece_words for p in pieces[:n]) for n in range(len(pieces))]
-        assert sum(r.piece_words for r in pieces) <= 100
-        assert max(Counter(r.source for r in pieces).values()) <= 2
-        assert max(Counter(r.cluster for r in pieces if r.cluster is not None).values(), default=1) == 1
 
 
-def test_given_clusters_empty_tables_and_extra_columns(docs, wide, no_docs):
-    from pyspark.sql import functions as F
+def test_placements_read_the_packed_text(docs):
+    bins = packing.pack(docs, capacity=100)
+    got = packing.placements(bins).collect()
+    want = [(p.doc_id, p.piece, p.piece_words, b.shard, b.bin, p.offset, hashlib.md5(b.text[p.start - 1 : p.start - 1 + p.length].encode()).hexdigest()) for b in bins.collect() for p in b.pieces]
+    assert sorted(map(repr, ((r.doc_id, r.piece, r.piece_words, r.shard, r.bin, r.offset, r.text_md5) for r in got))) == sorted(map(repr, want)) and want
+
+
+def test_one_row_repeated_ten_thousand_times(spark):
+    """Copies never share a bin, and are dealt to all shards."""
+    docs = spark.createDataFrame([(7, "the same row", "s")], "doc_id long, text string, source string").crossJoin(spark.range(10_000)).drop("id")
+    got = packing.pack(docs, shard_pieces=500).select("shard", "bin", F.size("pieces").alias("n")).collect()
+    per_shard = Counter(r.shard for r in got)
+    assert len(got) == 10_000 and {r.n for r in got} == {1}
+    assert len(per_shard) == 21 and max(per_shard.values()) < 700
+
 
+def test_large_ids_stay_exact_beside_nulls(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "a b", "s"), (None, "c d", None)], "doc_id long, text string, source string")
+    assert {(r.doc_id, r.source) for r in packing.placements(packing.pack(docs)).collect()} == {(big, "s"), (None, None)}
+
+
+def test_given_clusters_empty_tables_and_extra_columns(docs, wide, no_docs):
     one = packing.pack(docs.withColumn("cluster", F.lit("same"))).collect()
-    assert len({(r.shard, r.bin) for r in one}) == len(one)
+    assert all(len(r.pieces) == 1 for r in one)
+    none = packing.pack(docs.withColumn("cluster", F.lit(None).cast("string"))).collect()
+    assert len(none) < len(one)
     assert packing.pack(no_docs).collect() == []
-    assert sorted(map(str, packing.pack(wide).collect())) == sorted(map(str, packing.pack(docs).collect()))
+    assert packing.placements(packing.pack(wide)).count() == packing.placements(packing.pack(docs)).count()

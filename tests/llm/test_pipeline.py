@@ -3,9 +3,10 @@ import random
 import pytest
 
 import corpus_pipeline as pipeline
-from sessionlake.llm import mixing, simhash
+from sessionlake.llm import mixing
 
 from .conftest import DOCS, prose
+from .test_nearcopies import plain_groups
 
 
 @pytest.fixture(scope="module")
@@ -48,23 +49,16 @@ def test_stages(spark, folder):
     junk = {i for i, (q, _) in said.items() if not q} - toxic
     good = said.keys() - toxic - junk
     assert clean(ids(out["quality"]), junk) < 0.05 and clean(ids(out["quality"]), good) > 0.99
-    # one document of each group: by brute force over fingerprints
+    # one document of each group: by brute force over the sets of shingles
     rows = out["quality"].collect()
-    prints = [simhash.fingerprint(r.text) & (2**64 - 1) for r in rows]
-    groups = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and groups[a] != groups[b]:
-                old, new = max(groups[a], groups[b]), min(groups[a], groups[b])
-                groups = [new if g == old else g for g in groups]
     least = {}
-    for r, g in zip(rows, groups):
+    for r, g in zip(rows, plain_groups([r.text for r in rows])):
         least[g] = min(least.get(g, r.doc_id), r.doc_id)
     assert sorted(r.doc_id for r in out["near-duplicates"].collect()) == sorted(least.values())
     assert len(least) < len(rows)
     words = lambda df: sum(len((r.text or "").split()) for r in df.collect())
     planned = sum(r.taken for r in mixing.mix(out["near-duplicates"]).collect())
-    assert words(out["mixing"]) == planned == sum(r.piece_words for r in out["packing"].collect())
+    assert words(out["mixing"]) == planned == sum(r.words for r in out["packing"].collect()) == words(out["packing"])
     assert sorted(map(str, pipeline.run(spark, path).collect())) == sorted(map(str, out["packing"].collect()))
 
 
