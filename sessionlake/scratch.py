@@ -14,17 +14,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's shared folder for this application.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a
-    temporary folder of the driver stands in for it.
+    Only where ``spark.checkpoint.dir`` is unset and one machine does all the
+    work (tests) a temporary folder of the driver stands in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own_folder.setdefault("base", tempfile.mkdtemp(prefix="spark-sessionlake-"))
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if "base" not in _own_folder:
+            _own_folder["base"] = tempfile.mkdtemp(prefix="spark-sessionlake-")
+        base = _own_folder["base"]
     folder = f"{base.rstrip('/')}/sessionlake-{spark.sparkContext.applicationId}"
     if _own_folder.get("registered") != folder:
         _own_folder["registered"] = folder
@@ -33,7 +39,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _tables.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
+def tables_made() -> int:
+    """How many tables the driver has made here; numbers of tables for ``free``."""
+    return len(_tables)
+
+
+def free(spark: SparkSession, first: int, end: int) -> None:
+    """Delete the tables made from number ``first`` to before ``end``, once nothing reads them any more."""
+    for n in range(first, end):
+        if _tables[n]:
+            _remove(spark, _tables[n])
+            _tables[n] = ""
 
 
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
@@ -48,7 +68,7 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
-    """Drop this application's intermediate tables when the driver ends, if its session still lives."""
+    """Delete a folder of intermediate tables, if the session still lives."""
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
