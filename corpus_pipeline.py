@@ -10,37 +10,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.llm import mixing, nearcopies, packing, pu, quality, toxicity
-from sessionlake.scratch import materialize
+from sessionlake.scratch import free, materialize, tables_made
 
 #: Scores from which a document counts as toxic, and below which it counts as junk.
 TOXIC_FROM, GOOD_FROM = 0.3, 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go. Null texts score as empty ones; without trusted examples nothing goes."""
+    """Documents that score as toxic go.
+
+    Null and empty texts score as empty ones; a null id has no label; repeated
+    rows score alike and stay or go together; an empty table stays empty;
+    extra columns are kept and never looked at. Without trusted examples
+    nothing goes.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(pu.score(F.col("text"), model, toxicity.Features(), 0.0) < TOXIC_FROM)
 
 
 def drop_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below a good text go. Null texts score as empty ones; without trusted examples nothing goes."""
+    """Documents that score below a good text go; odd rows and tables as in ``drop_toxic``."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(pu.score(F.col("text"), model, quality.Features(), 1.0) >= GOOD_FROM)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts at least 0.8 alike stays, that with the smallest doc_id; texts without words form one component."""
+    """One document of each component of texts at least 0.8 alike stays, that with the smallest doc_id.
+
+    Texts without words, null ones included, form one component. Rows with a
+    null id go behind all others; of rows that repeat id and text the one
+    whose columns sort first stays. An empty table stays empty; extra columns
+    are kept.
+    """
     return nearcopies.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of each source up to its target, once per epoch that takes them; those without words carry nothing and go."""
+    """Documents of each source up to its target, once per epoch that takes them.
+
+    Those without words, null texts included, carry nothing and go. Null
+    sources are one source; null and repeated ids are told apart by text;
+    rows that repeat both are taken and cut alike. An empty table stays empty;
+    extra columns are kept.
+    """
     return mixing.take_mix(docs)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Placement of every piece of every document; the last stage, so its columns are its own."""
-    return packing.pack(docs)
+    """Bins of packed text with the boundaries of their pieces, and the ids in them; the last stage, so its columns are its own.
+
+    Every word goes into one bin; repeated rows into different ones. Null
+    texts have no pieces, null ids stay null, null sources are one source. An
+    empty table gives no bins; extra columns are ignored.
+    """
+    return packing.pack(docs).withColumn("doc_ids", F.col("pieces.doc_id"))
 
 
 STAGES = [
@@ -56,10 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order, each written and read again; a stage's tables are freed once its successor is written."""
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_made()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        free(spark, made, tables_made() - 1)
     return docs
 
 
