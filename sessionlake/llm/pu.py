@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 
 #: Bounds of one bag (trusted positives, unlabelled texts, bytes of each kind) and the number of bags.
-BAG_POSITIVES, BAG_UNLABELLED, BAG_BYTES, BAGS = 1000, 3000, 24 << 20, 8
+BAG_POSITIVES, BAG_UNLABELLED, BAG_BYTES, BAGS = 500, 1500, 12 << 20, 16
 #: Features that a classifier keeps at most, and at least where there are so many; share of chance findings allowed among them.
 KEPT_FEATURES, LEAST_FEATURES, CHANCE_SHARE = 2048, 12, 0.1
 STEPS, RATE, L2 = 300, 0.05, 1e-4
