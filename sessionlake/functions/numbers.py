@@ -58,14 +58,16 @@ def fmt_net_lots(shares: Column) -> Column:
 
 
 def fmt_broker_price(price: Column) -> Column:
-    """six significant digits without trailing zeros, for prices from 0.0001 to below a million."""
-    whole = F.greatest(F.lit(1), F.floor(F.log10(F.greatest(F.abs(price), F.lit(1e-4)))).cast("int") + 1)
-    text = None
-    for digits in range(1, 7):  # the number of decimals depends on the size
-        shown = F.replace(F.format_number(price, 6 - digits), F.lit(","), F.lit(""))
-        text = F.when(whole == digits, shown) if text is None else text.when(whole == digits, shown)
-    trimmed = F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-    return F.coalesce(trimmed, F.lit(MISSING))
+    """six significant digits without trailing zeros; with an exponent below 0.0001 and from a million up, as ``%g`` shows them."""
+    number = price.cast("double")
+    shown = lambda pattern: F.call_function("format_number", number, F.lit(pattern))  # noqa: E731 - exact binary value, half to even
+    parts = F.split(shown("0.#####E00"), "E")
+    power = F.get(parts, F.lit(1)).try_cast("int")
+    sign = F.when(power >= 0, "e+").otherwise("e")
+    out = F.when(number.isNull(), MISSING).when(F.isnan(number), "nan").when(number == float("inf"), "inf").when(number == float("-inf"), "-inf")
+    for n in range(-4, 6):  # the number of decimals depends on the size after rounding
+        out = out.when(power == n, shown("0." + "#" * (5 - n) if n < 5 else "0"))
+    return out.otherwise(F.concat(F.get(parts, F.lit(0)), sign, F.get(parts, F.lit(1))))
 
 
 def change(price: Column, previous: Column) -> Column:

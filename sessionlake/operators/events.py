@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, numbers, text
+from .numbering import number_rows
 
 DAYS_AHEAD = 14
 NOTE_LENGTH = 200
@@ -26,9 +28,10 @@ def classify_events(events: DataFrame, terms=text.TERMS, dst: bool = False) -> D
         "_values": text.labelled_values(F.col("_link.rest")),
     })
     base = base.withColumn("_times", dates.event_times(F.col("date"), F.when(~F.col("all_day"), F.col("time")), F.col("_country.country"), dst))
+    note = F.nullif(F.substring("_link.rest", 1, NOTE_LENGTH), F.lit(""))
     return base.select(
-        "date", "time", "all_day", "title", F.nullif(F.substring("_link.rest", 1, NOTE_LENGTH), F.lit("")).alias("description"),
-        F.col("_link.link").alias("source_url"), "category", "_country.*", "_times.*", "importance", "_values.*",
+        "date", "time", "all_day", "title", note.alias("description"), note.alias("note"), F.col("_link.link").alias("source_url"),
+        "category", text.name_of(F.col("category")).alias("category_name"), "_country.*", "_times.*", "importance", "_values.*",
         numbers.surprise(F.col("_values.actual"), F.col("_values.forecast")).alias("comparison"),
     )
 
@@ -51,16 +54,19 @@ def sort_events(df: DataFrame, tie: str = "title") -> DataFrame:
 def number_events(df: DataFrame, calendar: Sequence[str] = (), tie: str = "title") -> DataFrame:
     """``event_no`` "ev-<date>-<n>": n counts the events of a calendar in the order of date, time and title.
 
-    Without ``calendar`` columns the whole table is one calendar: ranges of
-    dates are counted apart, and the dates before give each its offset.
+    Without ``calendar`` columns the whole table is one calendar. Ranges of
+    that order are counted apart, so neither a long calendar nor a date that
+    holds many events meets in one task. Events without a date get none.
     """
-    by_day = Window.partitionBy(*calendar, "date").orderBy(F.col("time").asc_nulls_first(), tie)
-    counts = df.groupBy(*calendar, "date").count()
-    before = Window.partitionBy(*calendar).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*calendar, "date", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))  # one row per date
-    numbered = df.withColumn("_n", F.row_number().over(by_day)).join(offsets, [*calendar, "date"])
-    number = (F.col("_before") + F.col("_n")).cast("string")
-    return numbered.withColumn("event_no", F.concat(F.lit("ev-"), F.date_format("date", "yyyy-MM-dd"), F.lit("-"), number)).select(*df.columns, "event_no")
+    order = [F.col("date"), F.col("time").asc_nulls_first(), F.col(tie)]
+    placed = number_rows(df.filter("date is not null"), *[F.col(c).asc_nulls_first() for c in calendar], *order, name="_place")
+    if calendar:
+        first = placed.groupBy(*calendar).agg(F.min("_place").alias("_first"))  # one row per calendar
+        same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in calendar]
+        placed = placed.alias("p").join(first.alias("f"), same).select("p.*", "_first")
+    number = F.col("_place") - (F.col("_first") if calendar else F.lit(0)) + 1
+    made = F.concat(F.lit("ev-"), F.date_format("date", "yyyy-MM-dd"), F.lit("-"), number.cast("string"))
+    return placed.withColumn("event_no", made).select(*df.columns, "event_no").unionByName(df.filter("date is null").withColumn("event_no", F.lit(None).cast("string")))
 
 
 def filter_events(df: DataFrame, today: Column, quick: Sequence[str] = (), countries: Sequence[str] = (), categories: Sequence[str] = (), search: str = "") -> DataFrame:
@@ -109,46 +115,65 @@ def calendar_grid(events: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
+# Seconds and months of one step of a rule; the parts of a rule that a plain sequence has.
+_SECONDS = {"SECONDLY": 1, "MINUTELY": 60, "HOURLY": 3600, "DAILY": 86_400, "WEEKLY": 604_800}
+_MONTHS = {"MONTHLY": 1, "YEARLY": 12}
 _PLAIN = ("FREQ", "INTERVAL", "UNTIL", "COUNT")
-_UNITS = {"DAILY": "day", "WEEKLY": "week", "MONTHLY": "month", "YEARLY": "year"}
+
+
+def _read_rule(rule: Column, at: Column) -> Column:
+    """struct of a rule's kind (once, plain, general), the seconds and months of a step, its end and its count; null where not given.
+
+    Of repeated parts the first counts. A rule that cannot be read (no known
+    FREQ, an INTERVAL or COUNT that is no positive number, an UNTIL that is no
+    time) is none: the event occurs once.
+    """
+    parts = F.filter(F.split(F.upper(F.coalesce(rule, F.lit(""))), ";"), lambda p: F.trim(p) != "")
+    given = lambda name: F.substring_index(F.get(F.filter(parts, lambda p: F.startswith(p, F.lit(name + "="))), F.lit(0)), "=", -1)
+    lookup = lambda table, key: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+    freq, interval, until, count = map(given, _PLAIN)
+    step, times = F.when(interval.isNull(), 1).otherwise(interval.try_cast("int")), count.try_cast("int")
+    ends = F.coalesce(*[F.try_to_timestamp(F.regexp_replace(until, "Z$", ""), F.lit(form)) for form in ("yyyyMMdd'T'HHmmss", "yyyyMMdd")]).cast("timestamp_ntz")
+    seconds, months = lookup(_SECONDS, freq) * step, lookup(_MONTHS, freq) * step
+    readable = F.coalesce((step > 0) & (seconds.isNotNull() | months.isNotNull()) & (until.isNull() | ends.isNotNull()) & (count.isNull() | F.coalesce(times > 0, F.lit(False))), F.lit(False))
+    simple = F.size(F.array_except(F.transform(parts, lambda p: F.substring_index(p, "=", 1)), F.array(*[F.lit(x) for x in _PLAIN]))) == 0
+    skips = months.isNotNull() & (F.dayofmonth(at) > 28) & count.isNotNull()  # months without the day do not count
+    return F.struct(
+        F.when(~readable, "once").when(simple & ~skips, "plain").otherwise("general").alias("_kind"),
+        F.coalesce(seconds, F.lit(0)).cast("long").alias("_seconds"), F.coalesce(months, F.lit(0)).alias("_months"), ends.alias("_until"), times.alias("_count"),
+    )
 
 
 def expand_recurrence(df: DataFrame, start: str, end: str, at: str = "dtstart", rule: str = "rrule") -> DataFrame:
     """One row per occurrence between the dates ``start`` and ``end``; adds ``occurs`` (timestamp without zone).
 
-    DAILY, WEEKLY, MONTHLY and YEARLY with INTERVAL, UNTIL and COUNT are
-    sequences of built-in columns. Rules with other parts, and monthly or
-    yearly ones from the 29th on (whose short months have no occurrence), go
-    through the recurrence library in batches. No rule means one occurrence.
+    Every FREQ with INTERVAL, UNTIL and COUNT is a sequence of built-in
+    columns; months without the day of the start have no occurrence. Rules
+    with other parts, and those where such months bear on a COUNT, go through
+    the recurrence library in batches. No rule, or none that can be read,
+    means one occurrence; a null start none.
     """
     low, high = F.lit(start).cast("date").cast("timestamp_ntz"), F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
-    text_rule = F.coalesce(F.col(rule), F.lit(""))
-    names = F.transform(F.filter(F.split(text_rule, ";"), lambda p: p != ""), lambda p: F.substring_index(p, "=", 1))
-    part = lambda name: F.nullif(F.regexp_extract(text_rule, rf"(?:^|;){name}=([^;]*)", 1), F.lit(""))
-    units = F.create_map(*[x for k, v in _UNITS.items() for x in (F.lit(k), F.lit(v))])
-    late = F.rlike(text_rule, F.lit("FREQ=(MONTHLY|YEARLY)")) & (F.dayofmonth(at) > 28)
-    plain = (F.size(F.array_except(names, F.array(*[F.lit(x) for x in _PLAIN]))) == 0) & ~late & ((text_rule == "") | units[part("FREQ")].isNotNull())
-
-    rows = df.filter(plain & F.col(at).isNotNull())
-    step, unit = F.coalesce(part("INTERVAL").try_cast("int"), F.lit(1)), part("FREQ")
-    until = F.coalesce(F.try_to_timestamp(F.regexp_replace(part("UNTIL"), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz"), F.try_to_timestamp(part("UNTIL"), F.lit("yyyyMMdd")).cast("timestamp_ntz"))
-    limit = F.least(high - F.make_dt_interval(secs=F.lit(0.000001)), until)
+    # the generator has the rule read once, not again for every use of its parts
+    read = df.filter(F.col(at).isNotNull()).select("*", F.inline(F.array(_read_rule(F.col(rule), F.col(at)))))
+    begins = F.col(at).cast("timestamp_ntz")
+    limit = F.least(high - F.make_dt_interval(secs=F.lit(0.000001)), F.col("_until"))
 
     def steps_until(moment: Column) -> Column:
         """Whole steps from the start to ``moment``, rounded down."""
-        months = F.months_between(moment, F.col(at))
-        units = F.when(unit == "MONTHLY", months).when(unit == "YEARLY", months / 12).otherwise(F.datediff(moment, F.col(at)) / F.when(unit == "WEEKLY", 7).otherwise(1))
-        return F.floor(units / step).cast("int")
+        by_month = F.months_between(moment, begins) / F.col("_months")
+        return F.floor(F.when(F.col("_months") > 0, by_month).otherwise(F.timestamp_diff("SECOND", begins, moment) / F.col("_seconds"))).cast("long")
 
     # only the steps around the range are made, one more on either side; the filter below is exact
-    last = F.least(steps_until(limit) + 1, F.coalesce(part("COUNT").try_cast("int") - 1, F.lit(2**30)))
-    n = F.when(text_rule == "", F.lit(0)).otherwise(last)
-    first = F.when(text_rule == "", F.lit(0)).otherwise(F.greatest(F.lit(0), steps_until(low) - 1))
-    months = F.when(unit == "MONTHLY", step).when(unit == "YEARLY", step * 12).otherwise(0)
-    days = F.when(unit == "DAILY", step).when(unit == "WEEKLY", step * 7).otherwise(0)
-    made = rows.filter(F.coalesce(n, F.lit(-1)) >= first).withColumn("_i", F.explode(F.sequence(first, n)))
-    made = made.withColumn("occurs", F.col(at) + F.make_ym_interval(months=F.col("_i") * months) + F.make_dt_interval(days=F.col("_i") * days))
-    made = made.filter((F.col("occurs") >= low) & (F.col("occurs") < high) & (until.isNull() | (F.col("occurs") <= until))).drop("_i")
+    plain = F.col("_kind") == "plain"
+    last = F.when(plain, F.least(steps_until(limit) + 1, F.col("_count").cast("long") - 1)).otherwise(F.lit(0).cast("long"))
+    first = F.when(plain, F.greatest(F.lit(0).cast("long"), steps_until(low) - 1)).otherwise(F.lit(0).cast("long"))
+    steps = read.filter("_kind != 'general'").select("*", F.inline(F.array(F.struct(first.alias("_first"), last.alias("_last"))))).filter("_last >= _first")
+    made = steps.withColumn("_i", F.explode(F.sequence("_first", "_last")))
+    made = made.withColumn("occurs", begins + F.make_ym_interval(months=(F.col("_i") * F.col("_months")).cast("int")) + F.make_dt_interval(secs=(F.col("_i") * F.col("_seconds")).cast("decimal(18,6)")))
+    inside = (F.col("occurs") >= low) & (F.col("occurs") < high) & (~plain | F.col("_until").isNull() | (F.col("occurs") <= F.col("_until")))
+    whole = (F.col("_months") == 0) | (F.dayofmonth("occurs") == F.dayofmonth(begins))
+    made = made.filter(inside & (whole | ~plain)).select(*df.columns, "occurs")
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from dateutil.rrule import rrulestr
@@ -158,12 +183,12 @@ def expand_recurrence(df: DataFrame, start: str, end: str, at: str = "dtstart",
             found = []
             for text_value, begins in zip(batch[rule], batch[at]):
                 try:
-                    series = rrulestr(text_value.replace("Z", ""), dtstart=begins.to_pydatetime())
+                    series = rrulestr(re.sub(r"(?i)(UNTIL=[^;]*?)Z", r"\1", text_value), dtstart=begins.to_pydatetime())
                     found.append([x for x in series.between(first, after, inc=True) if x < after])
-                except ValueError:  # not a rule: one occurrence
+                except (ValueError, TypeError, KeyError):  # not a rule: one occurrence
                     found.append([begins] if first <= begins < after else [])
             yield batch.assign(occurs=found).explode("occurs").dropna(subset=["occurs"]).astype({"occurs": "datetime64[us]"})
 
     schema = T.StructType([*df.schema.fields, T.StructField("occurs", T.TimestampNTZType())])
-    general = df.filter(~plain & F.col(at).isNotNull()).mapInPandas(occurrences, schema)
+    general = read.filter("_kind = 'general'").select(*df.columns).mapInPandas(occurrences, schema)
     return made.unionByName(general)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import change, parse_int, parse_number, py_round, reconcile_sign
 
-# Order of the quote providers, and the record that stands in when none answers.
+# Order of the quote providers, the record that stands in when none answers, and the names of each quote, as given.
 PROVIDERS = ("yahoo", "finmind", "wantgoo", "fixture")
 FALLBACK = {
     "provider": "fixture", "provider_name": "fixtures/fallback", "symbol": "臺指期 (離線快照)", "price": 45203.0, "change": 65.0,
@@ -89,11 +89,15 @@ def prefer_source(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> D
     return joined.select(*keys, F.coalesce("_a", "_b").alias("_v")).select(*keys, *[F.col("_v")[c].alias(c) for c in values])
 
 
-def first_available(records: DataFrame, keys: Sequence[str], order: Sequence[str] = PROVIDERS, preferred: str | None = None, tie: str | None = None) -> DataFrame:
+def first_available(
+    records: DataFrame, keys: Sequence[str], order: Sequence[str] = PROVIDERS, preferred: str | None = None, tie: str | None = None,
+    saved: DataFrame | None = None, saved_keys: Sequence[str] = (), saved_at: str = "collected_at",
+) -> DataFrame:
     """Per key the record of the first provider with a price; ``preferred`` goes to the front, unknown providers last.
 
-    A key whose records all lack a price keeps one, flagged ``is_fallback``,
-    with the constant record's numbers.
+    A key whose records all lack a price is flagged ``is_fallback``. It takes
+    the numbers of the last ``saved`` record with a price, that of the same
+    ``saved_keys`` (some of the keys), or, without one, of the constant record.
     """
     order = [*([preferred] if preferred in order else []), *(p for p in order if p != preferred)]
     rank = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in order]), F.col("provider")), F.lit(0)), F.lit(len(order) + 1))
@@ -101,8 +105,13 @@ def first_available(records: DataFrame, keys: Sequence[str], order: Sequence[str
     best = F.struct(F.col("price").isNull().alias("lacks"), rank.alias("rank"), *([F.col(tie).alias("tie")] if tie else []), F.col("provider").alias("p"))
     out = records.groupBy(*keys).agg(F.min_by(F.struct(*values), best).alias("_v"))
     missing = F.col("_v.price").isNull()
-    picked = {c: F.when(missing, F.lit(FALLBACK[c]).cast(records.schema[c].dataType)).otherwise(F.col("_v")[c]) if c in FALLBACK else F.col("_v")[c] for c in values}
-    return out.select(*keys, *[picked[c].alias(c) for c in values], missing.alias("is_fallback"))
+    stand_in = {c: F.lit(FALLBACK[c]).cast(records.schema[c].dataType) for c in values if c in FALLBACK}
+    if saved is not None:
+        kept = [c for c in stand_in if c in saved.columns and c != "provider"]
+        last = saved.filter("price is not null").groupBy(*saved_keys).agg(F.max_by(F.struct(*kept), saved_at).alias("_s"))
+        out = out.join(last, list(saved_keys), "left")
+        stand_in |= {c: F.when(F.col("_s").isNotNull(), F.col("_s")[c].cast(records.schema[c].dataType)).otherwise(stand_in[c]) for c in kept}
+    return out.select(*keys, *[F.when(missing, stand_in[c]).otherwise(F.col("_v")[c]).alias(c) if c in stand_in else F.col("_v")[c].alias(c) for c in values], missing.alias("is_fallback"))
 
 
 def pick_contract(df: DataFrame, by: Sequence[str] = (), name_part: str = "臺指", suffix: str = "-M") -> DataFrame:

@@ -48,9 +48,9 @@ def T02_sort_events(t: Tables):
 
 
 @query(f"""WITH {_EVENTS} SELECT strftime(date, '%Y-%m-%d') AS date, CASE WHEN date = DATE '2024-01-10' THEN 'today' WHEN date = DATE '2024-01-11' THEN 'tomorrow' WHEN date <= DATE '2024-01-14' THEN 'this_week' ELSE 'next_week' END AS relative,
-date = DATE '2024-01-10' AS is_today, string_agg(coalesce(time, '-') || ' ' || title, ';' ORDER BY coalesce(time, ''), title) AS listed FROM e WHERE importance = 3 GROUP BY date""")
+date = DATE '2024-01-10' AS is_today, string_agg(coalesce(time, '-') || ' ' || title, ';' ORDER BY coalesce(time, ''), title) AS listed FROM e GROUP BY date""")
 def A07_agenda(t: Tables):
-    days = events.agenda(_events(t).filter("importance = 3"), F.lit(_TODAY))
+    days = events.agenda(_events(t), F.lit(_TODAY))
     listed = F.array_join(F.transform("events", lambda e: F.concat(F.coalesce(e["time"], F.lit("-")), F.lit(" "), e["title"])), ";")
     return days.select("date", "relative", "is_today", listed.alias("listed"))
 
@@ -86,7 +86,10 @@ def R03_expand_recurrence(t: Tables):
     return events.expand_recurrence(rows, "1997-03-01", "1997-04-30").select("o_orderkey", "occurs")
 
 
-@query()
+@query("""WITH d AS (SELECT o_orderkey, o_orderdate + INTERVAL 9 HOUR AS s FROM orders),
+x AS (SELECT o_orderkey, s, unnest(generate_series(TIMESTAMP '1997-03-01', TIMESTAMP '1997-03-31', INTERVAL 1 DAY)) AS day FROM d),
+y AS (SELECT o_orderkey, s, day, day + (s - date_trunc('day', s)) AS occurs FROM x)
+SELECT o_orderkey, strftime(occurs, '%Y-%m-%d %H:%M:%S') AS occurs FROM y WHERE occurs >= s AND CASE WHEN o_orderkey % 2 = 0 THEN isodow(day) IN (1, 4) ELSE day::DATE = last_day(day::DATE) END""")
 def R03_expand_recurrence_general(t: Tables):
     """Rules beyond plain sequences: weekdays, and month ends that short months lack."""
     rule = F.when(F.col("o_orderkey") % 2 == 0, "FREQ=WEEKLY;BYDAY=MO,TH").otherwise("FREQ=MONTHLY;BYMONTHDAY=-1")
@@ -94,7 +97,13 @@ def R03_expand_recurrence_general(t: Tables):
     return events.expand_recurrence(rows, "1997-03-01", "1997-03-31").select("o_orderkey", "occurs")
 
 
-@query()
+@query("""WITH e AS (SELECT *, event_id % 5 = 0 AS d, event_id % 2 = 0 AS us, date_trunc('minute', ts) AS m, '市場預期: ' || value || '%' || chr(10) || '前值: 1%' AS body FROM events)
+SELECT strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS time, d AS all_day, CASE WHEN us THEN '美國 GDP ' ELSE '日本 CPI ' END || event_id AS title, body AS description, body AS note,
+'https://example.com/' || event_id AS source_url, 'macro' AS category, '總經' AS category_name, CASE WHEN us THEN 'US' ELSE 'JP' END AS country, CASE WHEN us THEN '🇺🇸' ELSE '🇯🇵' END AS flag,
+CASE WHEN us THEN 'America/New_York' ELSE 'Asia/Tokyo' END AS timezone, CASE WHEN us THEN 'ET' ELSE 'JST' END AS label,
+CASE WHEN d THEN strftime(ts, '%Y-%m-%dT00:00:00Z') ELSE strftime(m - INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%SZ') END AS datetime_utc, CASE WHEN d THEN '全天' ELSE strftime(m, '%H:%M TPE') END AS time_tpe_str,
+CASE WHEN d THEN '全天' WHEN us THEN strftime(m - INTERVAL 12 HOUR, '%H:%M') || CASE WHEN (m - INTERVAL 12 HOUR)::DATE < m::DATE THEN '-1' ELSE '' END || ' ET' ELSE strftime(m + INTERVAL 1 HOUR, '%H:%M JST') END AS time_origin_str,
+3 AS importance, value || '%' AS forecast, '1%' AS previous, NULL AS actual, 'pending' AS comparison FROM e""", importance="BIGINT", actual="VARCHAR")
 def E01_classify_events(t: Tables):
     """The whole event record, from calendar rows made of ``events``."""
     rows = t.events.select(

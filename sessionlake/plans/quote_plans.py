@@ -65,6 +65,18 @@ def J10_first_available(t: Tables):
     return quotes.first_available(records, ["user_id", "tick"], order=("click", "view", "purchase"), preferred="view", tie="event_id")
 
 
+@query("""WITH r AS (SELECT user_id, date_trunc('hour', ts) AS tick, event_type AS provider, event_id, ts, CASE WHEN event_id % 3 > 0 THEN value END AS price FROM events),
+b AS (SELECT user_id, tick, min(provider) FILTER (WHERE price IS NOT NULL) AS p, arg_min(price, (provider, event_id)) FILTER (WHERE price IS NOT NULL) AS price FROM r GROUP BY 1, 2),
+s AS (SELECT user_id, arg_max(value, (ts, event_id)) AS saved FROM events WHERE event_id % 5 = 0 GROUP BY 1)
+SELECT user_id, strftime(tick, '%Y-%m-%d %H:%M:%S') AS tick, coalesce(p, 'fixture') AS provider, coalesce(price, saved, 45203.0) AS price, price IS NULL AS is_fallback FROM b LEFT JOIN s USING (user_id)""")
+def J10_first_available_saved(t: Tables):
+    """Keys without any price take the user's last saved record: every fifth event."""
+    records = t.events.select("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("tick"), F.col("event_type").alias("provider"), F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("price"), "event_id")
+    saved = t.events.filter("event_id % 5 = 0").select("user_id", F.col("value").alias("price"), F.struct("ts", "event_id").alias("collected_at"))
+    picked = quotes.first_available(records, ["user_id", "tick"], order=("click", "error", "purchase", "signup", "view"), tie="event_id", saved=saved, saved_keys=["user_id"])
+    return picked.select("user_id", "tick", "provider", "price", "is_fallback")
+
+
 @query("""WITH c AS (SELECT p_brand, p_partkey AS pos, p_name AS name, (p_size % 2)::VARCHAR AS market_type, CASE WHEN p_partkey % 3 > 0 THEN p_retailprice::VARCHAR ELSE '' END AS last_price
   FROM part WHERE p_partkey % 4 < 3 AND contains(p_name, 'e')),
 f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p_brand, market_type ORDER BY pos) = 1)

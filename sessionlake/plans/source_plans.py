@@ -52,9 +52,10 @@ def S02_append_snapshots(t: Tables):
 def S03_read_documents(t: Tables):
     path = new_path(t.spark, "documents")
     row = F.struct("c_nationkey", "c_custkey", "c_acctbal")
-    per_nation = t.customer.groupBy("c_nationkey").agg(F.to_json(F.collect_list(row)).alias("value")).select("value")
+    # documents of bounded size: a nation's customers in parts
+    per_nation = t.customer.groupBy("c_nationkey", (F.col("c_custkey") % 4).alias("part")).agg(F.to_json(F.collect_list(row)).alias("value")).select("value")
     invalid = t.region.select(F.when(F.col("r_regionkey") % 2 == 0, "").otherwise("[{").alias("value"))
-    per_nation.unionByName(invalid).write.option("maxRecordsPerFile", 1).text(path)
+    per_nation.unionByName(invalid).coalesce(4).write.option("maxRecordsPerFile", 1).text(path)
     return documents.read_documents(t.spark, path, "c_nationkey int, c_custkey long, c_acctbal double")
 
 
@@ -77,9 +78,10 @@ def S05_read_ics(t: Tables):
         F.lit("BEGIN:VEVENT\r\nDTSTART:"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"), F.lit("\r\n"), fold, F.lit("\r\nDESCRIPTION:"),
         F.replace("props", F.lit(","), F.lit("\\,")), F.lit("\r\nRRULE:FREQ=DAILY\r\nEND:VEVENT\r\n"),
     )
-    # one calendar per symbol and hour
-    calendars = t.events.groupBy("event_type", F.date_trunc("hour", "ts")).agg(F.array_join(F.collect_list(lines), "").alias("ics"))
-    return calendars.select(F.inline(documents.parse_ics(F.col("ics"))))
+    # calendars of bounded size, many to a file: the reader takes whole files
+    path = new_path(t.spark, "calendars")
+    t.events.select(lines.alias("value"), "event_id").repartition(8, "event_id").select("value").write.option("lineSep", "\r\n").text(path)
+    return documents.read_ics(t.spark, path)
 
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS title, CASE WHEN doc_id % 3 > 0 THEN 'https://example.com/' || doc_id END AS url,
@@ -90,9 +92,14 @@ def S06_parse_article(t: Tables):
     return t.documents.select("doc_id", article.alias("a")).select("doc_id", "a.title", "a.url", F.length("a.body").alias("body_chars"), F.md5("a.body").alias("body_md5"))
 
 
-@query("SELECT page_id, url, length(html) AS html_chars, md5(html) AS html_md5 FROM pages")
+@query("SELECT page_id, length(html) AS html_chars, md5(html) AS html_md5 FROM pages")
 def S07_read_pages(t: Tables):
-    return t.pages.select("page_id", "url", F.length("html").alias("html_chars"), F.md5("html").alias("html_md5"))
+    """Pages as files, a page each; its number stands in front of it."""
+    path = new_path(t.spark, "pages")
+    t.pages.select(F.concat(F.col("page_id").cast("string"), F.lit("|"), "html").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\u001e").text(path)
+    read = documents.read_pages(t.spark, path).withColumn("html", F.regexp_replace("html", "\u001e$", ""))  # the writer ends a record with its separator
+    page = F.substr(F.col("html"), F.position(F.lit("|"), F.col("html")) + 1)
+    return read.select(F.substring_index("html", "|", 1).cast("long").alias("page_id"), F.length(page).alias("html_chars"), F.md5(page).alias("html_md5"))
 
 
 @query("SELECT event_id, 'E' || user_id AS code, (props->>'k')::BIGINT AS k FROM events WHERE event_id % 5 < 3")
@@ -150,10 +157,10 @@ def R01_stream_sessions(t: Tables):
     schema = "tick_id long, collected_at timestamp_ntz, symbol string, price double, provider string, open double, prev_close double, high double, low double"
     path = new_path(t.spark, "stream-in")
     _ticks(t).select(*[c.split()[0] for c in schema.split(", ")]).write.parquet(path)
-    table = "sessions_" + path.rsplit("-", 1)[1]
+    out = new_path(t.spark, "stream-out")
     states = stream.session_states(stream.read_ticks(t.spark, path, schema, "parquet"))
-    stream.run_available(states, new_path(t.spark, "stream-state"), table)
-    return t.spark.table(table).select("symbol", F.to_date("session_ts").alias("session_date"), "open", "prev_close", "high", "low", "latest.price", "n_points")
+    stream.run_available(states, new_path(t.spark, "stream-state"), out)
+    return stream.newest_sessions(t.spark, out).select("symbol", F.to_date("session_ts").alias("session_date"), "open", "prev_close", "high", "low", "latest.price", "n_points")
 
 
 @query(_ASSEMBLED)
@@ -162,10 +169,10 @@ def R02_late_ticks(t: Tables):
     schema = "tick_id long, collected_at timestamp_ntz, symbol string, price double, provider string, open double, prev_close double, high double, low double"
     path = new_path(t.spark, "late-in")
     _ticks(t).select(*[c.split()[0] for c in schema.split(", ")]).withColumn("_order", F.xxhash64("tick_id")).repartition(6, "_order").drop("_order").write.parquet(path)
-    table = "late_" + path.rsplit("-", 1)[1]
+    out = new_path(t.spark, "late-out")
     states = stream.session_states(stream.read_ticks(t.spark, path, schema, "parquet", files_per_trigger=2), watermark=None)
-    stream.run_available(states, new_path(t.spark, "late-state"), table)
-    return t.spark.table(table).select("symbol", F.to_date("session_ts").alias("session_date"), "open", "prev_close", "high", "low", "latest.price", "n_points")
+    stream.run_available(states, new_path(t.spark, "late-state"), out)
+    return stream.newest_sessions(t.spark, out).select("symbol", F.to_date("session_ts").alias("session_date"), "open", "prev_close", "high", "low", "latest.price", "n_points")
 
 
 _SCALED = f"""

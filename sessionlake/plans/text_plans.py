@@ -26,7 +26,7 @@ def X02_strip_trackers(t: Tables):
 
 
 def _part_pages(t: Tables):
-    """One page per part: a near-restricted list of one row, with a detail row that has fewer cells."""
+    """One page per part: a near-restricted list of one row, with a detail row that has fewer cells; dealt to all cores, which parse them."""
     td = lambda c, more="": F.concat(F.lit(f"<td{more}>"), c, F.lit("</td>"))
     condition = F.concat(F.lit('<td><span style="color:#e74c3c">'), "p_type", F.lit('</span><b style="color:#FFF">met</b></td>'))
     badge = F.concat(F.lit('<td><div title="run '), F.col("p_size") % 5, F.lit("/5\"></div></td>"))
@@ -35,7 +35,7 @@ def _part_pages(t: Tables):
         td(F.col("p_brand")), td(F.col("p_partkey").cast("string")), td(F.concat(F.lit(" "), "p_name", F.lit(" "))), td(F.col("p_size").cast("string")), condition,
         td(F.concat(F.lit("08-25 "), "p_type")), badge, badge, badge, badge, F.lit("</tr><tr><td colspan=10>detail</td></tr></tbody></table></body></html>"),
     )
-    return t.part.select("p_partkey", page.alias("html"))
+    return t.part.repartition(t.spark.sparkContext.defaultParallelism).select("p_partkey", page.alias("html"))
 
 
 @query("SELECT p_partkey, 0 AS row_pos, p_brand AS market, p_partkey::VARCHAR AS code, p_name AS name, p_size::VARCHAR AS close, p_type || 'met' AS condition, '08-25 ' || p_type AS earliest_disposal FROM part", row_pos="BIGINT")
@@ -91,6 +91,17 @@ def X09_trend_sign(t: Tables):
     return t.part.select("p_partkey", html.trend_sign(page, " index").alias("sign"))
 
 
+@query("SELECT o_orderkey, o_orderkey + 0.25::DOUBLE AS value, (o_custkey + 0.5::DOUBLE) * sign AS change, 0.75::DOUBLE * sign AS change_pct FROM (SELECT *, CASE WHEN o_custkey % 3 = 0 THEN -1 ELSE 1 END AS sign FROM orders)")
+def X09_signed_quote(t: Tables):
+    """The page's text has no signs; its trend class gives them."""
+    cls = F.when(F.col("o_custkey") % 3 == 0, "c-trend-down").otherwise("c-trend-up")
+    value, diff = F.concat("o_orderkey", F.lit(".25")), F.concat("o_custkey", F.lit(".5"))
+    page = F.concat(F.lit('<ul><li class="'), cls, F.lit('"><b>Index (A)\n\n</b>'), value, F.lit("\n"), diff, F.lit("\n(0.75%)</li></ul>"))
+    plain = html.labelled_quote(F.regexp_replace(page, "<[^>]+>", ""), "Index (A)", "markets")
+    rows = t.orders.repartition(t.spark.sparkContext.defaultParallelism).select("o_orderkey", page.alias("html"), plain.alias("q"))
+    return rows.select("o_orderkey", html.signed_quote(F.col("html"), F.col("q"), "Index (A)").alias("s")).select("o_orderkey", "s.value", "s.change", "s.change_pct")
+
+
 @query("SELECT p_partkey, p_partkey || '.' || p_size AS not_found, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '0' END AS found FROM part")
 def X10_group_sections(t: Tables):
     second = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("0")
@@ -213,7 +224,7 @@ def F12_direction(t: Tables):
 
 _SCORES = ((3, ("THE", "ELLE")), (2, ("TION", "MENT", "xyz")))
 _CLASSES = (("anglo", ("THE ", " AND ")), ("gallic", ("ELLE", "AUX")), ("hispanic", ("LLA", "QUE")))
-_COUNTRIES = (("US", "America/New_York", "ET", ("The ",)), ("FR", "Europe/Paris", "CET", ("elle", "eaux")), ("ES", "Europe/Madrid", "CET", ("mente",)))
+_COUNTRIES = (("US", "u", "America/New_York", "ET", ("The ",)), ("FR", "f", "Europe/Paris", "CET", ("elle", "eaux")), ("ES", "e", "Europe/Madrid", "CET", ("mente",)))
 _has = "(contains(upper(text), '{}'))::INTEGER"
 
 

@@ -41,8 +41,20 @@ def stream_sessions(states: DataFrame, checkpoint: str, upsert: Callable[[DataFr
     return states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert)
 
 
-def run_available(states: DataFrame, checkpoint: str, table: str) -> StreamingQuery:
-    """Process what is there in one run and put the whole result in a table of the session (``complete`` mode)."""
-    query = states.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """An upsert for ``stream_sessions``: the changed sessions of each batch under ``path``; a batch that runs again replaces its own."""
+    return lambda changed, batch: changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def newest_sessions(spark: SparkSession, path: str, symbol: str = "symbol") -> DataFrame:
+    """The last state of every session that ``keep_batches`` has stored under ``path``."""
+    stored = spark.read.parquet(path)
+    columns = [c for c in stored.columns if c not in (symbol, "session_ts", "batch")]
+    return stored.groupBy(symbol, "session_ts").agg(F.max_by(F.struct(*columns), "batch").alias("_v")).select(symbol, "session_ts", "_v.*")
+
+
+def run_available(states: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
+    """Process what is there, batch after batch, and store the changed sessions of each under ``path``."""
+    query = stream_sessions(states, checkpoint, keep_batches(path)).trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -9,14 +9,15 @@ BADGES = "".join(f'<td title="run {n} {n}/5"><div></div></td>' for n in (3, 4))
 PAGE = f"""<html><head><script>var t = "<table>";</script></head><body><p>適用 08/22 交易日</p>
 <select><option>2026/08/20 (四)</option><option selected>2026/08/21 (五)</option></select>
 <div>&#128308; 差1次就處置 (1 檔)</div>
-<table><tbody><tr><td>上市</td><td>⏸3490</td><td> 單井 </td><td>95.1</td>
+<table><tbody><tr><td>上市</td><td>⏸7100</td><td> 石橋 </td><td>95.1</td>
 <td><span style="color:#e74c3c">近6日</span><b style="color: #FFF;font-weight:bold">已達</b><i style="color:#123456">?</i><u style="top:0">no</u></td>
 <td>08-25 第2次2分</td>{BADGES}</tr><tr><td colspan="10">detail</td></tr></tbody></table>
 <div><b>目前</b><i>處置中</i></div>
 <table><tr><th>x</th></tr>
-<tr><td>上市</td><td>1101</td><td>A</td><td>5分</td><td>a</td><td>b</td><td>c</td><td></td><td>r</td><td>extra</td></tr>
-<tr><td>上櫃</td><td>3293</td><td>B</td><td>20分</td><td>a</td><td>b</td><td>c</td><td>0</td><td>r</td></tr>
-<tr><td>上櫃</td><td>2455</td><td>C</td><td></td><td>a</td><td>b</td><td>c</td><td>3天</td><td>r</td></tr></table></body></html>"""
+<tr><td>board one</td><td>7001</td><td>A</td><td>5分</td><td>a</td><td>b</td><td>c</td><td></td><td>r</td><td>extra</td></tr>
+<tr><td>board two</td><td>7002</td><td>B</td><td>20分</td><td>a</td><td>b</td><td>c</td><td>in 0 days</td><td>r</td></tr>
+<tr><td>board two</td><td>7003</td><td>C</td><td></td><td>a</td><td>b</td><td>c</td><td>12天</td><td>r</td></tr>
+<tr><td>board two</td><td>7004</td><td>D</td><td></td><td>a</td><td>b</td><td>c</td><td>1</td><td>r</td></tr></table></body></html>"""
 
 
 def pages(spark):
@@ -27,7 +28,7 @@ def test_near_list(spark):
     rows = html.table_after_heading(pages(spark), "html", "差1次就處置", html.NEAR_COLUMNS).withColumn("badges", html.badges(F.col("cells"))).collect()
     assert len(rows) == 1
     r = rows[0]
-    assert (r.id, r.market, r.code, r["name"], r.close, r.earliest_disposal) == (1, "上市", "⏸3490", "單井", "95.1", "08-25 第2次2分")
+    assert (r.id, r.market, r.code, r["name"], r.close, r.earliest_disposal) == (1, "上市", "⏸7100", "石橋", "95.1", "08-25 第2次2分")
     assert [(b.short, b.current, b.threshold) for b in r.badges] == [("3①", 3, 5), ("5", 4, 5), ("6", 2, 6), ("12", None, None)]
     assert [(s.text, s.color, s.bold) for s in r.cells[4].segments] == [("近6日", "rise", False), ("已達", "text", True), ("?", "muted", False)]
 
@@ -36,12 +37,12 @@ def test_restricted_list_with_a_split_heading(spark):
     rows = html.table_after_heading(pages(spark), "html", "目前處置中", html.RESTRICTED_COLUMNS)
     found = rows.withColumn("left", dates.days_left(F.col("trading_days_left"))).orderBy("row_pos")
     grouped = watchlist.split_restricted(found.drop("trading_days_text"), "left", "trading_days_left")
-    assert [(r.code, r.left, r.restricted_group) for r in grouped.orderBy("row_pos").collect()] == [("1101", None, "hidden"), ("3293", 0, "exiting"), ("2455", 3, "rest")]
+    assert [(r.code, r.left, r.restricted_group) for r in grouped.orderBy("row_pos").collect()] == [("7001", None, "hidden"), ("7002", 0, "exiting"), ("7003", 12, "rest"), ("7004", 1, "rest")]
     assert html.table_after_heading(pages(spark), "html", "差2次處置", html.NEAR_COLUMNS).count() == 0
 
 
 def test_first_table_and_dates(spark):
-    assert html.table_after_heading(pages(spark), "html", None, ("market", "code")).first().code == "⏸3490"
+    assert html.table_after_heading(pages(spark), "html", None, ("market", "code")).first().code == "⏸7100"
     d = pages(spark).filter("id = 1").select(html.page_date(F.col("html")).alias("d")).first().d
     assert (d.applies_to, d.selected, d.listed) == ("08/22", "2026/08/21 (五)", None)
     other = spark.range(1).select(html.page_date(F.lit("x 漲停當日 2026/08/20 y")).alias("d")).first().d
@@ -73,6 +74,24 @@ def test_trend(spark):
     assert [r.s for r in rows] == [1, -1, 1, 1, 1, 1]
 
 
+def test_deep_and_broken_pages(spark):
+    """Nesting without end, stray end tags and cut-off markup give rows or none, never an error."""
+    table = "<table><tr><td>a</td><td>b</td></tr></table>"
+    odd = ["<p>" * 100_000 + "near" + table, "<i>" * 50_000 + "</b>" * 50_000 + "near" + table, "near" + table + "<div", "<table><tr><td>near", "</table>" * 9 + "near<table></table>", "<div><b>ne</b><i>ar</i></div>" + table]
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, html string")
+    got = {r.id: (r.x, r.y) for r in html.table_after_heading(df, "html", "near", ("x", "y")).collect()}
+    assert got == {0: ("a", "b"), 1: ("a", "b"), 2: ("a", "b"), 5: ("a", "b")}
+    deep = spark.createDataFrame([("<u>" * 30_000 + '<b style="color:#555">x</b>',), ('<div class="c-trend-down">' + "<p>" * 30_000 + "idx",)], "h string")
+    rows = deep.select(html.condition_segments(F.col("h")).alias("s"), html.trend_sign(F.col("h"), "idx").alias("t")).collect()
+    assert [(x.text, x.color) for x in rows[0].s] == [("x", "muted")] and [r.t for r in rows] == [1, 1]
+
+
+def test_nested_tables_and_rows(spark):
+    page = "<table><tr><td>a<table><tr><td>in</td></tr></table></td><td>b</td></tr></table>"
+    rows = html.table_after_heading(spark.createDataFrame([(page,)], "html string"), "html", None, ("x", "y")).collect()
+    assert [(r.x, r.y) for r in rows] == [("ain", "in")]  # the cells inside a cell are the row's too
+
+
 def test_broker_page(spark):
     body = '{"1515": {"buyers": [{"name": " A ", "net": 5000, "buyV": 6000, "sellV": 1000, "buyP": 12.50, "sellP": null}], "daytraders": [{"name": "D", "buyV": 1, "sellV": 1, "total": 2500}]}}'
     page = f'<script src="x"></script><script id="all-broker-data" type="application/json">{body}</script><script id="all-prices-data">oops</script>'

@@ -1,5 +1,6 @@
 """Numbers, dates, text rules, calendars and matching on stated cases."""
 
+import math
 from datetime import date, datetime
 from difflib import SequenceMatcher
 
@@ -184,3 +185,50 @@ def test_late_ticks_drop_from_the_stream_but_not_from_the_batch(spark, tmp_path)
     assert seen == {3: 1, 20: 2}  # the late tick of the 3rd came after the watermark
     batch = spark.read.schema(schema).parquet(str(tmp_path / "in" / "*")).withColumn("session_date", dates.session_date(F.col("collected_at")))
     assert {r.session_date.day: r.n_points for r in sessions.assemble_session(batch).collect()} == {3: 2, 20: 2}
+
+
+def test_broker_prices_of_any_size(spark):
+    prices = [0.0, 1234567.0, 999999.9, 0.00001234, 1e-4, 9.9999996e-5, 100000.5, 12345.65, 1e100, -3.5e-300, 120.5, -1234567.5, math.inf, -math.inf, math.nan]
+    got = spark.createDataFrame([(i, p) for i, p in enumerate(prices)], "i int, p double").select("i", numbers.fmt_broker_price(F.col("p")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [f"{p:g}" for p in prices]
+    assert one(spark, numbers.fmt_broker_price(F.lit(None).cast("double"))) == numbers.MISSING
+
+
+def test_rules_that_cannot_be_read_occur_once(spark):
+    start = datetime(2026, 8, 13, 9)
+    odd = ["FREQ=DAILY;INTERVAL=0", "FREQ=DAILY;INTERVAL=-1", "FREQ=DAILY;INTERVAL=x", "FREQ=DAILY;COUNT=0", "FREQ=DAILY;COUNT=z", "FREQ=DAILY;UNTIL=soon", "FREQ=NEVER", "INTERVAL=2", "no rule", ";;", "", None, "FREQ=WEEKLY;BYDAY=XX", "FREQ=DAILY;INTERVAL=0;BYDAY=MO"]
+    rows = spark.createDataFrame([(i, start, r) for i, r in enumerate(odd)] + [(99, None, "FREQ=DAILY")], "id int, dtstart timestamp_ntz, rrule string")
+    got = events.expand_recurrence(rows, "2026-08-01", "2026-08-31").collect()
+    assert sorted((r.id, r.occurs) for r in got) == [(i, start) for i in range(len(odd))]
+
+
+def test_short_months_and_hours(spark):
+    rows = spark.createDataFrame(
+        [(1, datetime(2026, 1, 31, 9), "FREQ=MONTHLY"), (2, datetime(2026, 3, 1, 22), "freq=hourly;interval=3;COUNT=3"), (3, datetime(2026, 1, 31, 9), "FREQ=MONTHLY;COUNT=2"), (4, datetime(2026, 3, 1), "FREQ=DAILY;FREQ=WEEKLY;COUNT=2")],
+        "id int, dtstart timestamp_ntz, rrule string",
+    )
+    got = sorted((r.id, r.occurs) for r in events.expand_recurrence(rows, "2026-01-01", "2026-04-30").collect())
+    assert got == [
+        (1, datetime(2026, 1, 31, 9)), (1, datetime(2026, 3, 31, 9)), (2, datetime(2026, 3, 1, 22)), (2, datetime(2026, 3, 2, 1)), (2, datetime(2026, 3, 2, 4)),
+        (3, datetime(2026, 1, 31, 9)), (3, datetime(2026, 3, 31, 9)), (4, datetime(2026, 3, 1)), (4, datetime(2026, 3, 2)),
+    ]
+
+
+def test_event_numbers_per_calendar(spark):
+    rows = [("a", date(2026, 1, 2), None, "x"), ("a", date(2026, 1, 1), "10:00", "y"), (None, date(2026, 1, 5), "09:00", "z"), ("a", None, "08:00", "no date"), (None, date(2026, 1, 5), None, "w")]
+    df = spark.createDataFrame(rows, "cal string, date date, time string, title string")
+    got = {r.title: r.event_no for r in events.number_events(df, ["cal"]).collect()}
+    assert got == {"y": "ev-2026-01-01-1", "x": "ev-2026-01-02-2", "w": "ev-2026-01-05-1", "z": "ev-2026-01-05-2", "no date": None}
+
+
+def test_saved_record_stands_in(spark):
+    df = spark.createDataFrame([(1, "a", "yahoo", None), (2, "b", "yahoo", None), (3, "a", "yahoo", 7.0)], "k int, symbol string, provider string, price double")
+    saved = spark.createDataFrame([("a", 5.0, 1), ("a", 6.0, 2), ("a", None, 3)], "symbol string, price double, collected_at int")
+    got = {r.k: (r.provider, r.price, r.is_fallback) for r in quotes.first_available(df, ["k", "symbol"], saved=saved, saved_keys=["symbol"]).collect()}
+    assert got == {1: ("fixture", 6.0, True), 2: ("fixture", 45203.0, True), 3: ("yahoo", 7.0, False)}
+
+
+def test_category_names(spark):
+    assert one(spark, text.name_of(text.first_rule(F.lit("FOMC")))) == "央行" and one(spark, text.name_of(F.lit("none"))) is None
+    simple = text.first_rule(F.lit("結算"), text.SIMPLE_CATEGORY_RULES, "general")
+    assert one(spark, text.name_of(simple, text.SIMPLE_CATEGORY_NAMES)) == "期貨結算"
