@@ -42,12 +42,15 @@ def branches(messages: DataFrame, best: int = 1) -> DataFrame:
     """The ``best`` root-to-leaf paths of each tree.
 
     In: ``tree``, ``node``, ``parent`` (null or unknown: a root), ``score``
-    (null: 0); nodes are unique in their tree. Out, one row per message of a
-    chosen path: tree, leaf, rank (from 1), node, up (0 at the leaf). Branches
-    rank by the sum of their scores, ties by leaf. Messages on a cycle of
-    parents hang on no root and are left out.
+    (null: 0). Out, one row per message of a chosen path: tree, leaf, rank
+    (from 1), node, up (0 at the leaf). Branches rank by the sum of their
+    scores, ties by leaf. Of rows that repeat a node that with the smallest
+    parent, then score, counts. Messages without tree or node are left out,
+    and so are those on a cycle of parents, which hang on no root. Extra
+    columns are ignored; an empty table gives an empty table.
     """
-    messages = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    scored = messages.filter("tree is not null and node is not null").select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    messages = scored.groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "node", "m.*")
     real = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     base = messages.join(real, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("anc"), "score")
     base = materialize(base, "chat-messages")
@@ -83,7 +86,9 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     In: tree, leaf, position, role, text (null: empty). Out: tree, leaf,
     formatted, and loss_spans, the (start, length) in code points, from 1, of
     each text that the loss counts. One conversation is one string, so its
-    turns meet in one row.
+    turns meet in one row. Null roles count as empty, null trees form one
+    group, turns that share a position stand in the order of their text.
+    Extra columns are ignored; an empty table gives an empty table.
     """
     order = Window.partitionBy("tree", "leaf").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     head = F.concat(F.lit(START), escape_role(F.coalesce("role", F.lit(""))), F.lit("\n"))
@@ -122,15 +127,15 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     In: conv_id, turn, role, text. Turns reply to the turn before them in the
     order of turn (null first), role, text; repeated rows are turns of their
     own. Null roles and texts count as empty; rows with a null conv_id form
-    one conversation. Extra columns are ignored; an empty table gives an
+    one conversation, apart from that of an empty id. Extra columns are ignored; an empty table gives an
     empty table.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = materialize(conversations.select(F.col("conv_id").alias("tree"), F.row_number().over(order).alias("node"), "role", "text"), "chat-turns")
-    # joins on the tree need a value where the id is null
-    keyed = rows.withColumn("tree", F.coalesce(F.col("tree").cast("string"), F.lit("")))
+    # joins on the tree need a value where the id is null: every id gets a sign in front, none has none
+    keyed = rows.withColumn("tree", F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("")))
     replies = keyed.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(None).cast("double").alias("score"))
     paths = branches(replies).select("tree", "leaf", "node", (-F.col("up")).alias("position"))
     turns = paths.join(keyed, ["tree", "node"])
     kind = conversations.schema["conv_id"].dataType
-    return format_turns(turns).withColumn("tree", F.when(F.col("tree") != "", F.col("tree")).cast(kind))
+    return format_turns(turns).withColumn("tree", F.when(F.col("tree") != "", F.substring("tree", 2, 2_000_000_000)).cast(kind))

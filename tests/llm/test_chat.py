@@ -81,3 +81,15 @@ def test_query_rows(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     assert got[-1].n_turns == 2 and got[-1].loss_chars == len(said) and got[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert got[-1].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+
+
+def test_null_and_empty_ids_are_two_conversations(spark):
+    rows = [("", 0, "user", "a"), ("", 1, "assistant", "b"), (None, 0, "user", "c"), (None, 1, "assistant", "d"), ("=", 0, "user", "e")]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).select("tree", chat.read_turns(F.col("formatted")).alias("t")).collect()
+    assert {r.tree: [t.text for t in r.t] for r in got} == {"": ["a", "b"], None: ["c", "d"], "=": ["e"]}
+
+
+def test_repeated_nodes_count_once(spark):
+    rows = [(1, 1, None, 0.0), (1, 2, 1, 5.0), (1, 2, 1, 5.0), (1, 3, 1, 9.0), (1, 3, 2, 9.0), (None, 1, None, 1.0), (1, None, 1, 1.0)]
+    got = chat.branches(spark.createDataFrame(rows, "tree int, node int, parent int, score double")).collect()
+    assert sorted((r.tree, r.leaf, r.node, r.up) for r in got) == [(1, 3, 1, 1), (1, 3, 3, 0)]
