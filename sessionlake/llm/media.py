@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, new_path
+from .batches import of_texts
 from .bitmap import bitmap_of, is_set
 
 LEAST, AVERAGE_BITS, MOST = 1024, 12, 16384
@@ -164,7 +165,7 @@ def store(docs: DataFrame, *, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataF
     chunks: digest, data; each digest once.
     """
     marks = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(docs, bits))  # bits / 8 bytes
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _store(b, marks.value), _STORED)
+    rows = of_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda b: _store(b, marks.value), _STORED)
     path = new_path(docs.sparkSession, "media")
     rows.write.partitionBy("kind").parquet(path)
     spark = docs.sparkSession

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
+from .batches import of_texts
 
 #: Rows that one range of a source's key order should hold.
 RANGE_ROWS = 20_000
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, *, seed: int = 0, max_epochs: int = MAX_EPOCHS, range_r
     an empty table. Reruns agree: the key depends on ``seed``, ``doc_id`` and
     ``text`` only.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
+    sized = of_texts(docs).select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), F.col("text"), seed).alias("key"))
     sized = materialize(sized.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("copies")), "mix-sizes")
     rows = sized.count()
     digits = 0

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 from . import bitmap
+from .batches import of_texts
 from .components import connected_components
 from .simhash import keep_first, majority, replicate, row_keys, shingle_hashes
 
@@ -71,10 +72,12 @@ def meeting_chance(similarity: float, blocks: int = 2 * PRINT_WORDS) -> float:
 
 def _sketch(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [shingle_set(text, width) for text in batch["text"]]
-        prints = [wide_print(text) if len(shingles) else [] for text, shingles in zip(batch["text"], sets)]
-        node = np.array([xxhash.xxh3_64_intdigest(shingles.tobytes()) for shingles in sets], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"k_row": batch["k_row"], "k_text": batch["k_text"], "node": node, "prints": prints})
+        node, prints = [], []
+        for text in batch["text"]:
+            shingles = shingle_set(text, width)
+            node.append(xxhash.xxh3_64_intdigest(shingles.tobytes()))
+            prints.append(wide_print(text) if len(shingles) else [])
+        yield pd.DataFrame({"k_row": batch["k_row"], "k_text": batch["k_text"], "node": np.array(node, dtype=np.uint64).view(np.int64), "prints": prints})
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -98,7 +101,7 @@ def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
     64-bit hashes of their sets of shingles.
     """
     prints = materialize(
-        keyed.select("k_row", "k_text", "text").mapInPandas(lambda batches: _sketch(batches, width), "k_row long, k_text long, node long, prints array<long>"),
+        of_texts(keyed).select("k_row", "k_text", "text").mapInPandas(lambda batches: _sketch(batches, width), "k_row long, k_text long, node long, prints array<long>"),
         "near-prints",
     )
     nodes = materialize(prints.filter(F.size("prints") > 0).groupBy("node").agg(F.first("prints").alias("prints")), "near-nodes")
@@ -115,11 +118,14 @@ def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
 
-    wanted = materialize(prints.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_row", "k_text")).alias("k")).select("node", "k.*"), "near-wanted")
-    texts = bitmap.semi_join(keyed.select("k_row", "k_text", "text"), wanted, ["k_row", "k_text"]).dropDuplicates(["k_row", "k_text"]).join(wanted, ["k_row", "k_text"])
-    sets = materialize(texts.select("node", shingles("text").alias("shingles")), "near-sets")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """node and shingles of all texts in ``pairs``; only their texts are shuffled."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        wanted = materialize(prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_row", "k_text")).alias("k")).select("node", "k.*"), "near-wanted")
+        texts = bitmap.semi_join(keyed.select("k_row", "k_text", "text"), wanted, ["k_row", "k_text"]).dropDuplicates(["k_row", "k_text"]).join(wanted, ["k_row", "k_text"])
+        return materialize(texts.select("node", shingles("text").alias("shingles")), "near-sets")
 
-    links = materialize(_alike(stars, sets), "near-links")
+    links = materialize(_alike(stars, sets_of(stars)), "near-links")
     roots = connected_components(links).withColumnRenamed("root", "top")
     left = met.join(roots, "node", "left").withColumn("top", F.coalesce("top", "node"))
     split = left.groupBy("anchor").agg(F.min("top").alias("x"), F.max("top").alias("y")).filter("x != y").select("anchor")
@@ -130,7 +136,8 @@ def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
     once = ~F.col("home") | (F.col("a") < F.col("b"))
     pairs = a.join(b, "anchor").filter((F.col("top_a") != F.col("top_b")) & once & near("check_a", "check_b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _alike(materialize(pairs, "near-pairs"), sets)
+    pairs = materialize(pairs, "near-pairs")
+    more = _alike(pairs, sets_of(pairs))
     roots = connected_components(links.unionByName(more))
     return prints.join(roots, "node", "left").select("k_row", "k_text", F.coalesce("root", "node").alias("root"))
 

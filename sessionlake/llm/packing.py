@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import of_texts
 from .mixing import BLANKS, word_count
 
 #: Words in a bin, pieces of one source in a bin at most, and pieces and bytes that a shard should hold.
@@ -147,7 +148,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
     kind = dict(docs.dtypes)
     piece = _PIECE.format(**kind)
     no_id = F.lit("0").cast(kind["doc_id"])  # pandas has no null for whole numbers
-    rows = docs.select(F.coalesce("doc_id", no_id).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "source", cluster.alias("cluster"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = of_texts(docs).select(F.coalesce("doc_id", no_id).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "source", cluster.alias("cluster"), F.monotonically_increasing_id().alias("row"), "text")
     pieces = rows.mapInPandas(lambda batches: _pieces(batches, capacity), f"{piece.replace(', source', ', known boolean, source')}, row long, text string")
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "row"), F.lit(shards)).cast("int"))
     placed = ", ".join(f"{name}: {kind}" for name, kind in (x.split(" ") for x in piece.split(", ")))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
+from . import batches
 
 #: Bounds of one bag (trusted positives, unlabelled texts, bytes of each kind) and the number of bags.
 BAG_POSITIVES, BAG_UNLABELLED, BAG_BYTES, BAGS = 500, 1500, 12 << 20, 16
@@ -240,13 +241,13 @@ def train(docs: DataFrame, positives: DataFrame, trainable: Column, features: Fe
     classifier is fitted on this bounded sample of rows, whatever the size of
     the corpus. None if no positive is among the documents.
     """
-    found = _bag_sample(docs, positives, trainable, bag_positives, bag_unlabelled, bag_bytes, bags)
+    found = _bag_sample(batches.of_texts(docs), positives, trainable, bag_positives, bag_unlabelled, bag_bytes, bags)
     if found is None:
         return None
     sample, bags = found
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in batches if len(b)]
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in parts if len(b)]
         for bag, rows in pd.concat(held).groupby("bag") if held else ():
             rows = rows.sort_values(["positive", "text"])  # the same sums in the same order on every run
             is_p = rows["positive"].to_numpy() == 1

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmap
+from .batches import of_texts
 from .components import connected_components
 from ..scratch import materialize
 
@@ -71,7 +72,7 @@ def _prints(width: int):
 def with_fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``doc_id`` and ``fp`` (long) of every row; whole texts, null as empty."""
 
-    return docs.select("doc_id", _prints(width)("text").alias("fp"))
+    return of_texts(docs).select("doc_id", _prints(width)("text").alias("fp"))
 
 
 def anchors(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,6 +295,6 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, *, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """One row of ``docs`` for each component of linked fingerprints, columns unchanged: see ``keep_first``."""
-    prints = materialize(row_keys(docs).select("k_row", "k_text", _prints(width)("text").alias("fp")), "simhash-rows")
+    prints = materialize(row_keys(of_texts(docs)).select("k_row", "k_text", _prints(width)("text").alias("fp")), "simhash-rows")
     roots = connected_components(near_links(prints.select("fp").distinct(), threshold=threshold)).withColumnRenamed("node", "fp")
     return keep_first(docs, prints.join(roots, "fp", "left").select("k_row", "k_text", F.coalesce("root", "fp").alias("root")))

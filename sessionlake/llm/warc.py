@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import materialize, new_path
+from .batches import of_texts
 
 #: Bounds of one archive, of its dictionary and of the records that the dictionary is built from.
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 4096, 64 << 20
@@ -149,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str, *, least_payload: int = 0) ->
     seconds = seconds.select(F.coalesce("page_id", F.lit(-(2**63))).alias("s_id"), F.col("digest").alias("s_digest"), "first_id").distinct()
     keyed = pages.select("page_id", "url", "html", F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("s_id"), digest.alias("s_digest"))
     rows = keyed.join(seconds, ["s_id", "s_digest"], "left").select("page_id", "url", "html", F.col("first_id").isNotNull().alias("revisit"), F.col("first_id").alias("refers_to"))
-    rows = rows.sortWithinPartitions("page_id")
+    rows = of_texts(rows).sortWithinPartitions("page_id")
     return materialize(rows.mapInPandas(lambda b: _write(b, folder), "path string, records long, bytes long"), "warc-written")
 
 
