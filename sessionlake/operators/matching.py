@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 CUTOFF = 0.6
 
 
@@ -27,17 +29,29 @@ def fuzzy_names(tokens: DataFrame, names: DataFrame, keys: Sequence[str] = ("dat
     """Per distinct token the most similar distinct name of the same keys, if its ratio reaches ``cutoff``.
 
     The ratio is Ratcliff-Obershelp with the name first; ties go to the larger
-    name. Candidates share characters: twice the shared number over both
-    lengths bounds the ratio from above, so nothing is lost by asking only
-    for pairs whose bound reaches the cutoff. The ratio alone runs in Python.
+    name. Twice the number of shared characters over both lengths bounds the
+    ratio from above, so of n characters at least n * cutoff / (2 - cutoff)
+    are shared with any name that counts. Two texts with that many in common
+    share one among the rarest of each; only those meet in the join, and
+    nothing is lost. The ratio alone runs in Python.
     """
     def lettered(df: DataFrame, column: str) -> DataFrame:
-        return df.select(*keys, column).filter(F.length(column) > 0).distinct().select(*keys, column, F.explode(_characters(F.col(column))).alias("_letter"))
-
-    shared = lettered(tokens, "token").join(lettered(names, "name"), [*keys, "_letter"])
-    near_length = 2 * F.least(F.length("token"), F.length("name")) >= cutoff * (F.length("token") + F.length("name"))
-    pairs = shared.filter(near_length).groupBy(*keys, "token", "name").count()
-    pairs = pairs.filter(2 * F.col("count") >= cutoff * (F.length("token") + F.length("name")) - 1e-9)
+        return df.select(*keys, F.col(column).alias("text")).filter(F.length("text") > 0).distinct().withColumn("letters", _characters(F.col("text")))
+
+    sides = [materialize(lettered(df, column), "fuzzy-letters") for df, column in ((tokens, "token"), (names, "name"))]
+    letters = [side.select(*keys, "text", F.explode("letters").alias("letter")) for side in sides]
+    rarity = letters[0].unionByName(letters[1]).groupBy("letter").count()
+
+    def rarest(side: DataFrame, each: DataFrame) -> DataFrame:
+        ranked = each.join(rarity, "letter").groupBy(*keys, "text").agg(F.sort_array(F.collect_list(F.struct("count", "letter"))).alias("ranked"))  # as many as the text has letters
+        kept = F.size("ranked") - F.ceil(F.size("ranked") * (cutoff / (2 - cutoff)) - 1e-9).cast("int") + 1
+        return ranked.select(*keys, "text", F.explode(F.slice("ranked", F.lit(1), kept)).alias("r")).select(*keys, "text", F.col("r.letter").alias("letter")).join(side, [*keys, "text"])
+
+    one, other = (rarest(side, each) for side, each in zip(sides, letters))
+    met = one.withColumnsRenamed({"text": "token", "letters": "of_token"}).join(other.withColumnsRenamed({"text": "name", "letters": "of_name"}), [*keys, "letter"])
+    total = F.size("of_token") + F.size("of_name")
+    near_length = 2 * F.least(F.size("of_token"), F.size("of_name")) >= cutoff * total - 1e-9
+    pairs = met.filter(near_length & (2 * F.size(F.array_intersect("of_token", "of_name")) >= cutoff * total - 1e-9)).select(*keys, "token", "name").distinct()
 
     @F.pandas_udf("double")
     def ratio(name: pd.Series, token: pd.Series) -> pd.Series:

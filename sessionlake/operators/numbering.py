@@ -13,10 +13,13 @@ def number_rows(df: DataFrame, *order: Column | str, name: str = "row_number") -
 
     Range partitions are sorted and written once; the row counts of the
     partitions before give each its offset, so no task sees more than its
-    range. The offsets have one row per partition.
+    range. Equal rows are told apart by where they were read, so that any
+    number of them spreads over ranges too. The offsets have one row per
+    partition.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    order = (*order, "n_read")
+    ranged = df.withColumn("n_read", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("n_read")
     ranged = materialize(ranged.withColumn("n_place", F.monotonically_increasing_id()), "number-ranges")
     part, inside = F.shiftright("n_place", 33), F.col("n_place").bitwiseAND(F.lit((1 << 33) - 1))
     counts = ranged.groupBy(part.alias("n_part")).count()

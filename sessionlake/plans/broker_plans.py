@@ -30,7 +30,7 @@ def W02_top_brokers(t: Tables):
 
 
 @query("""WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS pos FROM lineitem)
-SELECT l_orderkey, 'buyers' AS side, pos, l_suppkey::VARCHAR AS broker, format('{:,.0f}', q * 1000 / 1000.0::DOUBLE) AS buyV, CASE WHEN q >= 0 THEN '+' ELSE '' END || format('{:,.0f}', q * 1000 / 1000.0::DOUBLE) AS net FROM n WHERE pos <= 3""")
+SELECT l_orderkey, 'buyers' AS side, pos, l_suppkey::VARCHAR AS broker, format('{:,.0f}', q * 1000 / 1000.0::DOUBLE) AS buyV, CASE WHEN q >= 0 THEN '+' ELSE '' END || format('{:,.0f}', q * 1000 / 1000.0::DOUBLE) AS net FROM n WHERE pos <= 15""")
 def W02_explode_sides(t: Tables):
     line = F.struct(
         "l_linenumber", "l_partkey", "l_suppkey",
@@ -38,7 +38,7 @@ def W02_explode_sides(t: Tables):
     )
     nested = t.lineitem.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(line)), lambda r: r["x"]).alias("buyers"))
     detail = nested.select("l_orderkey", F.struct("buyers", F.array().cast(nested.schema["buyers"].dataType).alias("sellers"), F.lit(None).cast(nested.schema["buyers"].dataType).alias("daytraders")).alias("detail"))
-    rows = brokers.explode_sides(detail, "detail", (("buyers", 3), ("sellers", 3), ("daytraders", 2)))
+    rows = brokers.explode_sides(detail, "detail")
     return brokers.format_rows(rows).select("l_orderkey", "side", "pos", "broker", "buyV", "net")
 
 

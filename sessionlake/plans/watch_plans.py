@@ -35,11 +35,11 @@ _LISTS = "CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN
 
 
 @query(f"""SELECT c_custkey AS code, CASE WHEN r <= 2 THEN 'alert' WHEN r <= 4 THEN 'candidate' ELSE 'other' END AS watch_class
-FROM customer LEFT JOIN (SELECT o_custkey, min({_LISTS}) AS r FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON c_custkey = o_custkey""")
+FROM customer LEFT JOIN (SELECT o_custkey, min({_LISTS}) AS r FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
 def J06_classify_watchlist(t: Tables):
     p = F.col("o_orderpriority")
     name = F.when(p == "1-URGENT", "one_away").when(p == "2-HIGH", "exiting").when(p == "3-MEDIUM", "found").when(p == "4-NOT SPECIFIED", "not_found").otherwise("elsewhere")
-    listed = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("code"), name.alias("list_name"))
+    listed = t.orders.select(F.col("o_custkey").alias("code"), name.alias("list_name"))
     return watchlist.classify_watchlist(t.customer.select(F.col("c_custkey").alias("code")), listed).select("code", "watch_class")
 
 
@@ -51,16 +51,16 @@ def J07_watch_only(t: Tables):
 
 def _lists(t: Tables):
     orders = t.orders.select(F.col("o_custkey").alias("owner"), (F.col("o_orderkey") % 13).alias("code"), F.col("o_orderkey").alias("pos"), "o_orderstatus")
-    return orders.filter("o_orderstatus = 'F'").drop("o_orderstatus"), orders.filter("o_orderstatus = 'O'").drop("o_orderstatus")
+    return orders.filter("o_orderstatus = 'F'").drop("o_orderstatus"), orders.filter("o_orderstatus != 'F'").drop("o_orderstatus")
 
 
-@query("""SELECT owner, code, min_by(list_no, k) AS list_no, min_by(pos, k) AS pos FROM (SELECT o_custkey AS owner, o_orderkey % 13 AS code, o_orderkey AS pos, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS list_no,
-CASE WHEN o_orderstatus = 'O' THEN 1000000000000 ELSE 0 END + o_orderkey AS k FROM orders WHERE o_orderstatus IN ('F', 'O')) GROUP BY 1, 2""", list_no="BIGINT")
+@query("""SELECT owner, code, min_by(list_no, k) AS list_no, min_by(pos, k) AS pos FROM (SELECT o_custkey AS owner, o_orderkey % 13 AS code, o_orderkey AS pos, CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END AS list_no,
+CASE WHEN o_orderstatus <> 'F' THEN 1000000000000 ELSE 0 END + o_orderkey AS k FROM orders) GROUP BY 1, 2""", list_no="BIGINT")
 def U02_merge_watchlist(t: Tables):
     return watchlist.merge_watchlist(*_lists(t))
 
 
-@query("SELECT o_custkey AS owner, o_orderkey % 13 AS code, 1 AS list_no, min(o_orderkey) AS pos FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2", list_no="BIGINT")
+@query("SELECT o_custkey AS owner, o_orderkey % 13 AS code, 1 AS list_no, min(o_orderkey) AS pos FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2", list_no="BIGINT")
 def U02_replace_watchlist(t: Tables):
     return watchlist.merge_watchlist(*_lists(t), override=True)
 

@@ -79,6 +79,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def write_outputs(df: DataFrame, path: str, by: str = "date", form: str = "parquet") -> None:
     """A dataset partitioned by date, and beside it a one-row build record (rows, first and last date)."""
-    df.repartition(by).write.mode("overwrite").partitionBy(by).format(form).save(f"{path}/data")
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).format(form).save(f"{path}/data")
     record = df.sparkSession.read.format(form).load(f"{path}/data").agg(F.count(F.lit(1)).alias("row_count"), F.min(by).alias("first"), F.max(by).alias("last"))
     record.coalesce(1).write.mode("overwrite").json(f"{path}/build")

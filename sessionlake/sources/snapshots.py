@@ -23,10 +23,10 @@ def read_snapshots(spark: SparkSession, path: str, schema: str = SNAPSHOT) -> Da
 
 
 def append_snapshots(df: DataFrame, path: str, session: str = "session_date") -> None:
-    """Append ticks to the folders of their sessions; rows are dealt by session first, so a batch adds few files."""
-    df.repartition(session).write.mode("append").partitionBy(session).json(path)
+    """Append ticks to the folders of their sessions; rows are dealt by session first, so a batch adds few files, but a long session is split."""
+    df.hint("rebalance", session).write.mode("append").partitionBy(session).json(path)
 
 
 def compact_snapshots(spark: SparkSession, path: str, target: str, schema: str = SNAPSHOT, session: str = "session_date") -> None:
     """Rewrite many small appends as one columnar table partitioned by session."""
-    read_snapshots(spark, path, schema).repartition(session).write.mode("overwrite").partitionBy(session).parquet(target)
+    read_snapshots(spark, path, schema).hint("rebalance", session).write.mode("overwrite").partitionBy(session).parquet(target)
