@@ -43,7 +43,7 @@ def word_count(text: Column) -> Column:
 
 def mix_key(doc_id: Column, text: Column, seed: int) -> Column:
     """Hash-random sort key: hex text, the same on every run."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(text).cast("string")))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:

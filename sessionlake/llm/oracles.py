@@ -5,7 +5,7 @@ ORACLES: dict[str, str] = {}
 ORACLES["op1_mix_sources"] = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),

@@ -110,7 +110,11 @@ class _Archive:
             self._start()
         size = self.out.tell()
         self.out.close()
-        self.fs.move(self.draft, self.path)  # a task that runs again replaces the file by an equal one
+        try:  # a task that runs again replaces the file by an equal one
+            self.fs.move(self.draft, self.path)
+        except OSError:  # a store that does not move onto a file that is there
+            self.fs.delete_file(self.path)
+            self.fs.move(self.draft, self.path)
         return size
 
 
@@ -150,7 +154,7 @@ def write_archives(pages: DataFrame, folder: str, *, least_payload: int = 0) ->
     seconds = seconds.select(F.coalesce("page_id", F.lit(-(2**63))).alias("s_id"), F.col("digest").alias("s_digest"), "first_id").distinct()
     keyed = pages.select("page_id", "url", "html", F.coalesce(F.col("page_id").cast("long"), F.lit(-(2**63))).alias("s_id"), digest.alias("s_digest"))
     rows = keyed.join(seconds, ["s_id", "s_digest"], "left").select("page_id", "url", "html", F.col("first_id").isNotNull().alias("revisit"), F.col("first_id").alias("refers_to"))
-    rows = of_texts(rows).sortWithinPartitions("page_id")
+    rows = of_texts(rows).sortWithinPartitions("page_id", "url", "html")  # one order, however often a task runs
     return materialize(rows.mapInPandas(lambda b: _write(b, folder), "path string, records long, bytes long"), "warc-written")
 
 
@@ -218,7 +222,10 @@ def round_trip(pages: DataFrame, *, least_payload: int = 0) -> DataFrame:
     """Write archives to the shared folder, read them back, and resolve each revisit by its response.
 
     page_id, payload_bytes, payload_digest, record_type and refers_to for
-    every row of ``pages``. An empty table gives an empty table.
+    every row of ``pages``. A null html is an empty payload; a null id is
+    written as such, revisits the smallest id of its payload, or is a response
+    if there is none; repeated rows are records of their own. Extra columns
+    are ignored. An empty table gives an empty table.
     """
     spark = pages.sparkSession
     folder = new_path(spark, "warc-archives")

@@ -3,7 +3,6 @@ import math
 import re
 from collections import defaultdict
 
-import xxhash
 from sessionlake.llm import mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -33,8 +32,8 @@ def expected(rows):
     sizes, members = defaultdict(int), defaultdict(list)
     for r in rows:
         sizes[r[3]] += size(r[1])
-        text = 42 if r[1] is None else xxhash.xxh64_intdigest(r[1].encode(), seed=42)  # Spark's hash of a null is its seed
-        key = hashlib.md5(f"0:{'null' if r[0] is None else r[0]}:{text - (text >> 63 << 64)}".encode()).hexdigest()
+        text = hashlib.md5((r[1] or "").encode()).hexdigest()
+        key = hashlib.md5(f"0:{'null' if r[0] is None else r[0]}:{text}".encode()).hexdigest()
         members[r[3]].append((key, size(r[1]), (r[0] is not None, r[0] or 0), r[0]))
     targets, out = by_rounds(sizes), []
     for source, docs in members.items():
