@@ -38,8 +38,8 @@ SHINGLE = 5
 ALIKE, OF = 4, 5
 #: Words of a wide fingerprint, its shingles, and differing bits of one word up to which two texts are compared.
 PRINT_WORDS, PRINT_SHINGLE, CHECK_BITS = 8, 2, 22
-#: Pairs of one text that meet one copy of its shingles.
-PAIRS_A_COPY = 512
+#: Shingles of the texts that are compared in one task at once.
+BLOCK_SHINGLES = 500_000
 
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, PRINT_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -80,16 +80,38 @@ def _sketch(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFram
         yield pd.DataFrame({"k_row": batch["k_row"], "k_text": batch["k_text"], "node": np.array(node, dtype=np.uint64).view(np.int64), "prints": prints})
 
 
+def _decide(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of ``pairs`` those whose sets are at least ALIKE / OF similar, in whole numbers."""
+    shingles = dict(zip(sets["node"].tolist(), sets["shingles"]))
+    kept = []
+    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+        x, y = shingles[a], shingles[b]
+        if len(x) > len(y):
+            x, y = y, x
+        if ALIKE * len(y) <= OF * len(x):  # sets of other sizes cannot be alike
+            shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            kept.append((ALIKE + OF) * shared >= ALIKE * (len(x) + len(y)))
+        else:
+            kept.append(False)
+    return pairs.loc[np.array(kept, dtype=bool), ["a", "b"]]
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose sets are at least ALIKE / OF similar; a frequent b meets several copies of its set."""
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_COPY).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).select("a", "b", "part")
-    copies = sets.join(parts, sets.node == parts.b).select("b", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("shingles").alias("of_b"))
-    both = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a").join(copies, ["b", "part"])
-    x, y = F.size("of_a"), F.size("of_b")
-    may_be = ALIKE * F.greatest(x, y) <= OF * F.least(x, y)  # sets of other sizes cannot be alike
-    # intersection / union >= ALIKE / OF, in whole numbers
-    return both.filter(F.when(may_be, (ALIKE + OF) * F.size(F.array_intersect("of_a", "of_b")) >= ALIKE * (x + y))).select("a", "b")
+    """Of ``pairs`` (a, b) those whose sets are similar enough.
+
+    The sets of texts that pairs connect meet in one group, each once, however
+    many pairs it is in; of more than BLOCK_SHINGLES in all the pairs are dealt
+    to a grid of blocks, and a set goes to the blocks that ask for it.
+    """
+    joined = connected_components(pairs).join(sets.select("node", F.size("shingles").alias("size")), "node")
+    blocks = joined.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    places = materialize(joined.join(blocks, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "near-places")
+    one, other = (places.select(F.col("node").alias(end), *((["root"]) if end == "a" else []), F.col("block").alias(f"of_{end}")) for end in ("a", "b"))
+    dealt = pairs.join(one, "a").join(other, "b").select("root", F.least("of_a", "of_b").alias("i"), F.greatest("of_a", "of_b").alias("j"), "a", "b")
+    dealt = materialize(dealt, "near-dealt")
+    wanted = dealt.select("root", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = wanted.join(sets, "node").select(F.col("root").alias("h_root"), F.col("i").alias("h_i"), F.col("j").alias("h_j"), "node", "shingles")
+    return held.groupBy("h_root", "h_i", "h_j").cogroup(dealt.groupBy("root", "i", "j")).applyInPandas(_decide, "a long, b long")
 
 
 def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
@@ -116,7 +138,7 @@ def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width).view(np.int64) for t in texts])
+        return pd.Series([np.sort(shingle_set(t, width).view(np.int64)) for t in texts])
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """node and shingles of all texts in ``pairs``; only their texts are shuffled."""

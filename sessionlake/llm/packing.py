@@ -24,7 +24,7 @@ from .batches import of_texts
 from .mixing import BLANKS, word_count
 
 #: Words in a bin, pieces of one source in a bin at most, and pieces and bytes that a shard should hold.
-CAPACITY, PER_SOURCE, SHARD_PIECES, SHARD_BYTES = 2048, 3, 4096, 16 << 20
+CAPACITY, PER_SOURCE, SHARD_PIECES, SHARD_BYTES = 2048, 3, 2048, 8 << 20
 #: Stands between the pieces of a bin.
 SEPARATOR = "\n\n"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -155,6 +155,11 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(of_u[best] / of_p[best])
 
 
+def _among(ids: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether each id is one of the sorted ``names``."""
+    return names[np.minimum(np.searchsorted(names, ids), len(names) - 1)] == ids if len(names) else np.zeros(len(ids), dtype=bool)
+
+
 def _select(flat: np.ndarray, owner: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``names`` of the features that are among them, and their texts."""
     order = np.argsort(names)
@@ -170,7 +175,11 @@ def fit_bag(texts: list[str], is_p: np.ndarray, features: Features, sign: int) -
     where positives are few. The rarer class is the one that ``sign`` names,
     so the prior is at most 1/2 for sign 1 and at least 1/2 for sign -1.
     """
-    each = [features.ids(t) for t in texts]
+    # a feature of the rarer class stands in two of its texts at least, which leaves out most of them at once
+    seen = np.sort(np.concatenate([features.ids(t) for t, y in zip(texts, is_p) if y == (sign > 0)] or [np.zeros(0, dtype=np.int64)]))
+    often = np.unique(seen[1:][seen[1:] == seen[:-1]])
+    del seen
+    each = [ids[_among(ids, often)] for ids in map(features.ids, texts)]
     owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
     flat = np.concatenate(each) if each else np.zeros(0, dtype=np.int64)
     guess, n_p = GUESS if sign > 0 else 1 - GUESS, int(is_p.sum())
@@ -247,12 +256,15 @@ def train(docs: DataFrame, positives: DataFrame, trainable: Column, features: Fe
     sample, bags = found
 
     def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [b for b in parts if len(b)]
-        for bag, rows in pd.concat(held).groupby("bag") if held else ():
-            rows = rows.sort_values(["positive", "text"])  # the same sums in the same order on every run
-            is_p = rows["positive"].to_numpy() == 1
+        of_bag: dict[int, list[tuple[int, str]]] = {}
+        for part in parts:
+            for bag, text, positive in part.itertuples(index=False, name=None):
+                of_bag.setdefault(bag, []).append((positive, text))
+        for bag, rows in of_bag.items():
+            rows.sort()  # the same sums in the same order on every run
+            is_p = np.array([positive == 1 for positive, _ in rows])
             if is_p.any():
-                model, _ = fit_bag(rows["text"].tolist(), is_p, features, sign)
+                model, _ = fit_bag([text for _, text in rows], is_p, features, sign)
                 yield pd.DataFrame({"bag": bag, "name": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
     # each bag is a partition of its own

@@ -23,7 +23,7 @@ _WORD = re.compile(r"\w+")
 _STEMS = range(3, 8)
 _TWICE = 8  # bit of a feature that says its words stand twice or more; the lowest bits say how much of the word it is
 #: Words whose features a task remembers between texts.
-_MEMORY = 100_000
+_MEMORY = 50_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
