@@ -39,7 +39,7 @@ ALIKE, OF = 4, 5
 #: Words of a wide fingerprint, its shingles, and differing bits of one word up to which two texts are compared.
 PRINT_WORDS, PRINT_SHINGLE, CHECK_BITS = 8, 2, 22
 #: Shingles of the texts that are compared in one task at once.
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 200_000
 
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, PRINT_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
