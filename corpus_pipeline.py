@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.llm import mixing, nearcopies, packing, pu, quality, toxicity
-from sessionlake.scratch import free, materialize, tables_made
+from sessionlake.scratch import materialize, owned
 
 #: Scores from which a document counts as toxic, and below which it counts as junk.
 TOXIC_FROM, GOOD_FROM = 0.3, 0.3
@@ -79,11 +79,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written and read again; a stage's tables are freed once its successor is written."""
-    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_made()
+    """All stages in order, each written and read again; a stage's tables and its input are freed once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        free(spark, made, tables_made() - 1)
+        with owned() as inside:
+            kept = stage(spark, docs, sf_dir)
+        with owned() as result:
+            docs = materialize(kept, f"pipeline-{name}")
+        inside.free(spark)
+        if before is not None:
+            before.free(spark)
+        before = result
     return docs
 
 

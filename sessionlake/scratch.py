@@ -10,11 +10,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: dict[str, str] = {}
-_tables: list[str] = []
+_owners: ContextVar[tuple[Tables, ...]] = ContextVar("owners", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,22 +41,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    _tables.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
-    return _tables[-1]
+class Tables:
+    """Tables that one piece of work has made, and may delete."""
+
+    def __init__(self):
+        self._paths: list[str] = []
 
+    def free(self, spark: SparkSession) -> None:
+        """Delete them, once nothing reads them any more."""
+        while self._paths:
+            _remove(spark, self._paths.pop())
 
-def tables_made() -> int:
-    """How many tables the driver has made here; numbers of tables for ``free``."""
-    return len(_tables)
 
+@contextmanager
+def owned() -> Iterator[Tables]:
+    """The tables that this thread makes inside the block. Blocks may stand inside each other; a table belongs to all that are open."""
+    tables = Tables()
+    before = _owners.set((*_owners.get(), tables))
+    try:
+        yield tables
+    finally:
+        _owners.reset(before)
 
-def free(spark: SparkSession, first: int, end: int) -> None:
-    """Delete the tables made from number ``first`` to before ``end``, once nothing reads them any more."""
-    for n in range(first, end):
-        if _tables[n]:
-            _remove(spark, _tables[n])
-            _tables[n] = ""
+
+def new_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    for tables in _owners.get():
+        tables._paths.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:

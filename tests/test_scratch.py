@@ -1,6 +1,6 @@
 """Intermediate tables: where they lie and when they go."""
 
-import os
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -8,16 +8,41 @@ import pytest
 from sessionlake import scratch
 
 
-def test_tables_are_freed_by_number(spark):
-    made = scratch.tables_made()
-    one = scratch.materialize(spark.range(3), "one")
-    two = scratch.materialize(one, "two")
-    path = [p.removeprefix("file:") for p in scratch._tables[made:]]
-    assert len(path) == 2 and all(map(os.path.exists, path))
-    scratch.free(spark, made, scratch.tables_made() - 1)
-    assert not os.path.exists(path[0]) and two.count() == 3
-    scratch.free(spark, made, scratch.tables_made())
-    assert not os.path.exists(path[1])
+def test_only_the_tables_of_a_block_are_freed(spark):
+    with scratch.owned() as outer:
+        with scratch.owned() as inner:
+            one = scratch.materialize(spark.range(3), "one")
+        two = scratch.materialize(one, "two")
+    other = scratch.materialize(spark.range(2), "other")
+    inner.free(spark)
+    assert two.count() == 3 and other.count() == 2
+    with pytest.raises(Exception, match="NOT_EXIST"):
+        one.collect()
+    outer.free(spark)
+    with pytest.raises(Exception, match="NOT_EXIST"):
+        two.collect()
+    assert other.count() == 2
+
+
+def test_threads_own_their_tables(spark):
+    made, start, stop = {}, threading.Barrier(2), threading.Barrier(2)
+
+    def work(name):
+        with scratch.owned() as tables:
+            start.wait()
+            made[name] = scratch.materialize(spark.range(4), name)
+            stop.wait()
+        if name == "a":
+            tables.free(spark)
+
+    threads = [threading.Thread(target=work, args=(name,)) for name in "ab"]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert made["b"].count() == 4
+    with pytest.raises(Exception, match="NOT_EXIST"):
+        made["a"].collect()
 
 
 @pytest.mark.parametrize("master,fine", [("local", True), ("local[4]", True), ("local-cluster[3,2,1024]", False), ("spark://host:7077", False), ("yarn", False)])
