@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, quality, sharding, simhash, topk, toxicity, warc
+from . import chat, codebooks, divergence, fim, media, mixing, packing, quality, sharding, simhash, topk, toxicity, warc
 from .oracles import ORACLES  # noqa: F401 - part of this module's interface
 
 
@@ -133,10 +133,50 @@ def op10_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle put last, and the text rebuilt from that.
+
+    Null texts count as empty and stay plain, a null id draws as the word
+    null, repeated rows come out alike; an empty table gives no rows; other
+    columns are not read. See ``fim.transform``.
+    """
+    made = fim.transform(_table(spark, sf_dir, "documents"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and whether it is kept: by the base rules, then by its divergence from the languages' references.
+
+    Null texts have no words and fail, null languages count in the pooled
+    reference only, null ids stay null, repeated rows stay; an empty table
+    gives no rows; other columns are not read. See ``divergence.judge``.
+    """
+    found = divergence.judge(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every vector by codebooks fitted to all vectors.
+
+    Vectors that are null or hold a null or non-finite component take no
+    part; null ids and labels stay null, nulls of a label together; repeated
+    rows count and stay; an empty table gives no rows; other columns are not
+    read. See ``codebooks.compress``.
+    """
+    table = _table(spark, sf_dir, "embeddings")
+    codes = codebooks.compress(table)
+    if codes is None:
+        kinds = "code string, error long, label_error long, codebooks_sha256 string"
+        return spark.createDataFrame([], f"vec_id {table.schema['vec_id'].dataType.simpleString()}, {kinds}")
+    return codebooks.with_label_errors(codes.rows).select("vec_id", "code", "error", "label_error", F.lit(codes.digest).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_toxicity, op3_best_fit_packing, op4_media_chunks, op5_simhash_anchors,
         op6_quality, op7_exact_topk, op8_warc_round_trip, op9_feistel_shards, op10_chat_trees,
+        op11_fill_in_middle, op12_divergence_rules, op13_vector_codes,
     )
 }
