@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 #: Base rules: words at least, and percent of words in repeated three-word windows at most.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -36,6 +38,8 @@ SHORT_DISTANCE, SHORT_WORDS = 0.46, 50
 PARTS = 1_000_000
 #: Entries of a task's table of sums before it is handed on.
 TABLE_ENTRIES = 200_000
+#: Texts whose histograms are compared at once.
+READ_AT_ONCE = 200
 _ENDINGS = b".,;:?!"
 
 CLASSES = ("upper", "lower", "digit", "blank", "sentence mark", "other ASCII", "beyond ASCII")
@@ -63,7 +67,7 @@ class Reading:
     n_dup_lines: int
     n_repeat_words: int
     classes: np.ndarray
-    words: Counter
+    words: dict[bytes, int]
 
     @property
     def base_failed(self) -> bool:
@@ -74,11 +78,16 @@ def repeated_words(words: list[bytes]) -> int:
     """Words that stand in three-word windows found twice or more, the first find included; each word counts once."""
     if len(words) < 4:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
-    pairs = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
-    _, which, found = np.unique(pairs[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
-    again = found[which] > 1
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    ids = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    pairs = ids[:-1] * len(number) + ids[1:]
+    if len(number) >= 1 << 20:  # a pair by its place instead, so that windows fit into 63 bits
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    windows = pairs[:-1] * len(number) + ids[2:]
+    order = np.argsort(windows, kind="stable")
+    same = windows[order[1:]] == windows[order[:-1]]
+    again = np.zeros(len(windows), dtype=bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
     covered = np.zeros(len(words), dtype=bool)
     for k in range(3):
         covered[k : k + len(again)] |= again
@@ -92,7 +101,10 @@ def read(text: str | None) -> Reading:
     by_byte = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
     classes = np.bincount(_CLASS_OF, weights=by_byte, minlength=8)[:7].astype(np.int64)
     lines = [line for line in raw.split(b"\n") if line.strip()]
-    named = Counter(w.lower().rstrip(_ENDINGS) for w in words)
+    named: dict[bytes, int] = {}
+    for word, n in Counter(raw.lower().split()).items():
+        word = word.rstrip(_ENDINGS)
+        named[word] = named.get(word, 0) + n
     return Reading(len(words), int(classes.sum() - classes[3]), int(by_byte[_IS_SYMBOL].sum()), len(lines) - len(set(lines)), repeated_words(words), classes, named)
 
 
@@ -104,46 +116,64 @@ class Reference:
     words: dict[bytes, float]
 
 
-def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two histograms that sum up to 1."""
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of histograms along the last axis, each of which sums up to 1."""
     middle = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         each = np.where(p > 0, p * np.log2(p / middle), 0.0) + np.where(q > 0, q * np.log2(q / middle), 0.0)
-    return float(np.sqrt(max(0.0, each.sum() / 2)))
+    return np.sqrt(np.maximum(0.0, each.sum(axis=-1) / 2))
+
 
+class Nearest:
+    """Distances of readings to the nearest of some references."""
 
-def class_distance(reading: Reading, reference: Reference) -> float:
-    return distance(reading.classes / max(1, reading.classes.sum()), reference.classes)
+    def __init__(self, references: list[Reference]):
+        self._classes = np.array([r.classes for r in references])
+        self._names = [list(r.words) for r in references]
+        self._words = [np.array([*r.words.values(), 1 - sum(r.words.values())]) for r in references]
 
+    def classes(self, readings: list[Reading]) -> np.ndarray:
+        """Null (NaN) for texts under CLASS_CHARS characters."""
+        counts = np.array([r.classes for r in readings], dtype=np.float64).reshape(len(readings), -1)
+        size = counts.sum(axis=1)
+        if not len(readings) or not len(self._classes):
+            return np.full(len(readings), np.nan)
+        found = distance((counts / np.maximum(size, 1)[:, None])[:, None, :], self._classes[None]).min(axis=1)
+        return np.where(size >= CLASS_CHARS, found, np.nan)
 
-def word_distance(reading: Reading, reference: Reference) -> float:
-    """All words that are not common in the language share one bin."""
-    p = np.array([reading.words[w] for w in reference.words], dtype=np.float64) / max(1, reading.n_words)
-    q = np.array(list(reference.words.values()))
-    return distance(np.append(p, 1 - p.sum()), np.append(q, 1 - q.sum()))
+    def words(self, readings: list[Reading]) -> np.ndarray:
+        """Null (NaN) for texts under SHORT_WORDS words. All words that are not common in a language share one bin."""
+        least, size = np.full(len(readings), np.nan), np.array([r.n_words for r in readings])
+        for names, q in zip(self._names, self._words):
+            p = np.array([[r.words.get(w, 0) for w in names] for r in readings], dtype=np.float64).reshape(len(readings), -1) / np.maximum(size, 1)[:, None]
+            least = np.fmin(least, distance(np.column_stack([p, 1 - p.sum(axis=1)]), q[None]))
+        return np.where(size >= SHORT_WORDS, least, np.nan)
 
 
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (lang, kind, name, amount) of a task's documents, summed as far as its table reaches."""
-    total: Counter = Counter()
+    """Rows (lang, kind, name, amount) of a task's documents, summed as far as its tables reach."""
+    total: dict[tuple[str | None, str], dict] = {}
 
     def rows() -> pd.DataFrame:
-        out = pd.DataFrame([(lang, kind, name.decode("utf-8"), amount) for (lang, kind, name), amount in total.items()], columns=["lang", "kind", "name", "amount"])
+        out = [pd.DataFrame({"lang": lang, "kind": kind, "name": [n.decode("utf-8") for n in names], "amount": list(names.values())}) for (lang, kind), names in total.items()]
         total.clear()
-        return out
+        return pd.concat(out)
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"]):
             found = read(text)
             if found.base_failed:
                 continue
-            total[lang, "docs", b""] += 1
-            n_chars = int(found.classes.sum())
-            for number, n in enumerate(found.classes.tolist()):
-                total[lang, "class", b"%d" % number] += PARTS * n // n_chars
+            words = total.setdefault((lang, "word"), {})
             for word, n in found.words.items():
-                total[lang, "word", word] += PARTS * n // found.n_words
-            if len(total) >= TABLE_ENTRIES:
+                words[word] = words.get(word, 0) + PARTS * n // found.n_words
+            classes, n_chars = total.setdefault((lang, "class"), {}), int(found.classes.sum())
+            for number, n in enumerate(found.classes.tolist()):
+                name = b"%d" % number
+                classes[name] = classes.get(name, 0) + PARTS * n // n_chars
+            docs = total.setdefault((lang, "docs"), {b"": 0})
+            docs[b""] += 1
+            if sum(map(len, total.values())) >= TABLE_ENTRIES:
                 yield rows()
     if total:
         yield rows()
@@ -155,7 +185,7 @@ def references(docs: DataFrame) -> dict[str | None, Reference]:
     Collected are at most LANGUAGES + 1 times the classes and COMMON words.
     """
     sums = docs.select("lang", "text").mapInPandas(_sums, "lang string, kind string, name string, amount long")
-    sums = sums.groupBy("lang", "kind", "name").agg(F.sum("amount").alias("amount"))
+    sums = materialize(sums.groupBy("lang", "kind", "name").agg(F.sum("amount").alias("amount")), "divergence-sums")
     pooled = sums.groupBy("kind", "name").agg(F.sum("amount").alias("amount")).withColumn("lang", F.lit(None).cast("string"))
     every = sums.filter("lang is not null").unionByName(pooled)
     by_size = Window.partitionBy("lang", "kind").orderBy(F.desc("amount"), "name")
@@ -175,6 +205,11 @@ def references(docs: DataFrame) -> dict[str | None, Reference]:
     return out
 
 
+def _facts(readings: list[Reading], nearest: Nearest) -> pd.DataFrame:
+    counts = {name: np.array([getattr(r, name) for r in readings], dtype=np.int64) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    return pd.DataFrame({**counts, "class_distance": nearest.classes(readings), "word_distance": nearest.words(readings)})
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Base counts, divergences and verdict of every document.
 
@@ -194,20 +229,14 @@ def judge(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     found = references(docs)
-    held = [r for lang, r in found.items() if lang is not None] or list(found.values())
+    nearest = Nearest([r for lang, r in found.items() if lang is not None] or list(found.values()))
     kinds = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double"
 
     @F.pandas_udf(kinds)
     def facts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = []
-            for text in texts:
-                r = read(text)
-                near = min((class_distance(r, x) for x in held), default=None) if r.classes.sum() >= CLASS_CHARS else None
-                like = min((word_distance(r, x) for x in held), default=None) if r.n_words >= SHORT_WORDS else None
-                rows.append((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, near, like))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance"])
-            yield out.astype({"class_distance": "float64", "word_distance": "float64"})
+            parts = [_facts([read(t) for t in texts[at : at + READ_AT_ONCE]], nearest) for at in range(0, len(texts), READ_AT_ONCE)]
+            yield pd.concat(parts or [_facts([], nearest)], ignore_index=True)
 
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     near = F.coalesce(F.col("class_distance"), F.lit(0.0)) <= CLASS_DISTANCE
