@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TAIPEI_HOURS = 8
+LOCAL_ZONE = "Asia/Taipei"
 #: Hours from UTC that event labels use, and the label; other countries show Taipei time.
 ORIGINS = {"US": (-4, "ET", "America/New_York"), "JP": (9, "JST", "Asia/Tokyo"), "EU": (2, "CET", "Europe/Berlin"), "GB": (1, "GMT", "Europe/London")}
 ALL_DAY = "全天"
@@ -54,6 +55,11 @@ def event_times(date: Column, time: Column, country: Column, dst: bool = False)
     )
 
 
+def in_local_time(stamp: Column, zone: Column) -> Column:
+    """Wall clock of a zone as local wall clock, by the zone's own rules for summer time; local already where the zone is null. The zone must be a known one."""
+    return F.when(zone.isNull(), stamp).otherwise(F.convert_timezone(zone, F.lit(LOCAL_ZONE), stamp))
+
+
 def days_left(text: Column) -> Column:
     """first whole number in the text; null where there is none."""
     return F.regexp_extract(text, r"(\d+)", 1).try_cast("int")

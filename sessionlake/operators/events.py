@@ -1,14 +1,11 @@
-"""Economic events: classify, expand, filter, number, agenda and calendar grid."""
+"""Economic events: classify, filter, number, agenda and calendar grid."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import dates, numbers, text
 from .numbering import number_rows
@@ -113,82 +110,3 @@ def calendar_grid(events: DataFrame, ranges: DataFrame) -> DataFrame:
         "today", "range_end", F.floor(away / 7).cast("int").alias("week"), (away % 7).alias("weekday"), "date", F.dayofmonth("date").alias("day"), label.alias("month_label"),
         (F.col("date") == F.col("today")).alias("is_today"), inside.alias("in_range"), F.when(inside, F.coalesce("count", F.lit(0))).otherwise(0).cast("long").alias("n_events"),
     )
-
-
-# Seconds and months of one step of a rule; the parts of a rule that a plain sequence has.
-_SECONDS = {"SECONDLY": 1, "MINUTELY": 60, "HOURLY": 3600, "DAILY": 86_400, "WEEKLY": 604_800}
-_MONTHS = {"MONTHLY": 1, "YEARLY": 12}
-_PLAIN = ("FREQ", "INTERVAL", "UNTIL", "COUNT")
-
-
-def _read_rule(rule: Column, at: Column) -> Column:
-    """struct of a rule's kind (once, plain, general), the seconds and months of a step, its end and its count; null where not given.
-
-    Of repeated parts the first counts. A rule that cannot be read (no known
-    FREQ, an INTERVAL or COUNT that is no positive number, an UNTIL that is no
-    time) is none: the event occurs once.
-    """
-    parts = F.filter(F.split(F.upper(F.coalesce(rule, F.lit(""))), ";"), lambda p: F.trim(p) != "")
-    given = lambda name: F.substring_index(F.get(F.filter(parts, lambda p: F.startswith(p, F.lit(name + "="))), F.lit(0)), "=", -1)
-    lookup = lambda table, key: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
-    freq, interval, until, count = map(given, _PLAIN)
-    step, times = F.when(interval.isNull(), 1).otherwise(interval.try_cast("int")), count.try_cast("int")
-    ends = F.coalesce(*[F.try_to_timestamp(F.regexp_replace(until, "Z$", ""), F.lit(form)) for form in ("yyyyMMdd'T'HHmmss", "yyyyMMdd")]).cast("timestamp_ntz")
-    seconds, months = lookup(_SECONDS, freq) * step, lookup(_MONTHS, freq) * step
-    readable = F.coalesce((step > 0) & (seconds.isNotNull() | months.isNotNull()) & (until.isNull() | ends.isNotNull()) & (count.isNull() | F.coalesce(times > 0, F.lit(False))), F.lit(False))
-    simple = F.size(F.array_except(F.transform(parts, lambda p: F.substring_index(p, "=", 1)), F.array(*[F.lit(x) for x in _PLAIN]))) == 0
-    skips = months.isNotNull() & (F.dayofmonth(at) > 28) & count.isNotNull()  # months without the day do not count
-    return F.struct(
-        F.when(~readable, "once").when(simple & ~skips, "plain").otherwise("general").alias("_kind"),
-        F.coalesce(seconds, F.lit(0)).cast("long").alias("_seconds"), F.coalesce(months, F.lit(0)).alias("_months"), ends.alias("_until"), times.alias("_count"),
-    )
-
-
-def expand_recurrence(df: DataFrame, start: str, end: str, at: str = "dtstart", rule: str = "rrule") -> DataFrame:
-    """One row per occurrence between the dates ``start`` and ``end``; adds ``occurs`` (timestamp without zone).
-
-    Every FREQ with INTERVAL, UNTIL and COUNT is a sequence of built-in
-    columns; months without the day of the start have no occurrence. Rules
-    with other parts, and those where such months bear on a COUNT, go through
-    the recurrence library in batches. No rule, or none that can be read,
-    means one occurrence; a null start none.
-    """
-    low, high = F.lit(start).cast("date").cast("timestamp_ntz"), F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")
-    # the generator has the rule read once, not again for every use of its parts
-    read = df.filter(F.col(at).isNotNull()).select("*", F.inline(F.array(_read_rule(F.col(rule), F.col(at)))))
-    begins = F.col(at).cast("timestamp_ntz")
-    limit = F.least(high - F.make_dt_interval(secs=F.lit(0.000001)), F.col("_until"))
-
-    def steps_until(moment: Column) -> Column:
-        """Whole steps from the start to ``moment``, rounded down."""
-        by_month = F.months_between(moment, begins) / F.col("_months")
-        return F.floor(F.when(F.col("_months") > 0, by_month).otherwise(F.timestamp_diff("SECOND", begins, moment) / F.col("_seconds"))).cast("long")
-
-    # only the steps around the range are made, one more on either side; the filter below is exact
-    plain = F.col("_kind") == "plain"
-    last = F.when(plain, F.least(steps_until(limit) + 1, F.col("_count").cast("long") - 1)).otherwise(F.lit(0).cast("long"))
-    first = F.when(plain, F.greatest(F.lit(0).cast("long"), steps_until(low) - 1)).otherwise(F.lit(0).cast("long"))
-    steps = read.filter("_kind != 'general'").select("*", F.inline(F.array(F.struct(first.alias("_first"), last.alias("_last"))))).filter("_last >= _first")
-    made = steps.withColumn("_i", F.explode(F.sequence("_first", "_last")))
-    made = made.withColumn("occurs", begins + F.make_ym_interval(months=(F.col("_i") * F.col("_months")).cast("int")) + F.make_dt_interval(secs=(F.col("_i") * F.col("_seconds")).cast("decimal(18,6)")))
-    inside = (F.col("occurs") >= low) & (F.col("occurs") < high) & (~plain | F.col("_until").isNull() | (F.col("occurs") <= F.col("_until")))
-    whole = (F.col("_months") == 0) | (F.dayofmonth("occurs") == F.dayofmonth(begins))
-    made = made.filter(inside & (whole | ~plain)).select(*df.columns, "occurs")
-
-    def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from dateutil.rrule import rrulestr
-
-        first, after = pd.Timestamp(start).to_pydatetime(), (pd.Timestamp(end) + pd.Timedelta(days=1)).to_pydatetime()
-        for batch in batches:
-            found = []
-            for text_value, begins in zip(batch[rule], batch[at]):
-                try:
-                    series = rrulestr(re.sub(r"(?i)(UNTIL=[^;]*?)Z", r"\1", text_value), dtstart=begins.to_pydatetime())
-                    found.append([x for x in series.between(first, after, inc=True) if x < after])
-                except (ValueError, TypeError, KeyError):  # not a rule: one occurrence
-                    found.append([begins] if first <= begins < after else [])
-            yield batch.assign(occurs=found).explode("occurs").dropna(subset=["occurs"]).astype({"occurs": "datetime64[us]"})
-
-    schema = T.StructType([*df.schema.fields, T.StructField("occurs", T.TimestampNTZType())])
-    general = read.filter("_kind = 'general'").select(*df.columns).mapInPandas(occurrences, schema)
-    return made.unionByName(general)

@@ -10,8 +10,8 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import events, news
+from ..functions import dates, text
+from ..operators import events, news, recurrence
 from ..operators.numbering import number_rows
 from .base import Tables, query
 
@@ -83,7 +83,7 @@ def R03_expand_recurrence(t: Tables):
     # from the 29th on, months differ in what they have; the general form has those
     start = F.date_add(F.trunc("o_orderdate", "month"), F.least(F.dayofmonth("o_orderdate"), F.lit(28)) - 1).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(9))
     rows = t.orders.select("o_orderkey", start.alias("dtstart"), rule.alias("rrule"))
-    return events.expand_recurrence(rows, "1997-03-01", "1997-04-30").select("o_orderkey", "occurs")
+    return recurrence.expand_recurrence(rows, "1997-03-01", "1997-04-30").select("o_orderkey", "occurs")
 
 
 @query("""WITH d AS (SELECT o_orderkey, o_orderdate + INTERVAL 9 HOUR AS s FROM orders),
@@ -94,7 +94,64 @@ def R03_expand_recurrence_general(t: Tables):
     """Rules beyond plain sequences: weekdays, and month ends that short months lack."""
     rule = F.when(F.col("o_orderkey") % 2 == 0, "FREQ=WEEKLY;BYDAY=MO,TH").otherwise("FREQ=MONTHLY;BYMONTHDAY=-1")
     rows = t.orders.select("o_orderkey", (F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(9))).alias("dtstart"), rule.alias("rrule"))
-    return events.expand_recurrence(rows, "1997-03-01", "1997-03-31").select("o_orderkey", "occurs")
+    return recurrence.expand_recurrence(rows, "1997-03-01", "1997-03-31").select("o_orderkey", "occurs")
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderkey % 6 AS kind, o_orderdate + INTERVAL 9 HOUR AS s FROM orders),
+x AS (SELECT o_orderkey, kind, s, unnest(CASE WHEN kind = 5 THEN generate_series(s::DATE, (s + INTERVAL 60 DAY)::DATE, INTERVAL 1 DAY) ELSE generate_series(DATE '1997-03-01', DATE '1997-06-30', INTERVAL 1 DAY) END) AS day FROM d),
+y AS (SELECT *, last_day(day::DATE) AS month_end, (year(day) - year(s)) * 12 + month(day) - month(s) AS months FROM x),
+z AS (SELECT *, CASE kind
+  WHEN 0 THEN isodow(day) IN (1, 4) AND (datediff('day', date_trunc('week', s), date_trunc('week', day)) // 7) % 2 = 0
+  WHEN 1 THEN isodow(day) = 5 AND datediff('day', day::DATE, month_end) < 7
+  WHEN 2 THEN isodow(day) < 6 AND datediff('day', day::DATE, month_end) < CASE isodow(month_end) WHEN 6 THEN 2 WHEN 7 THEN 3 ELSE 1 END AND (day::DATE = month_end OR isodow(day) = 5)
+  WHEN 3 THEN month(day) IN (3, 6) AND day(day) = 15
+  WHEN 4 THEN months % 2 = 0 AND (day(day) = 1 OR day::DATE = month_end)
+  ELSE isodow(day) > 5 END AS hit FROM y WHERE day::DATE >= s::DATE),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY day) AS place FROM z WHERE hit)
+SELECT o_orderkey, strftime(day + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS occurs FROM n WHERE day BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-06-30' AND (kind < 5 OR place <= 10)""")
+def R03_expand_recurrence_days(t: Tables):
+    """Rules that pick days: weekdays, numbered and last ones, set positions, months, and a count from the start on."""
+    rules = (
+        "FREQ=WEEKLY;INTERVAL=2;BYDAY=MO,TH", "FREQ=MONTHLY;BYDAY=-1FR", "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1", "FREQ=YEARLY;BYMONTH=3,6;BYMONTHDAY=15",
+        "FREQ=MONTHLY;INTERVAL=2;BYMONTHDAY=1,-1", "FREQ=DAILY;BYDAY=SA,SU;COUNT=10",
+    )
+    rule = F.get(F.array(*[F.lit(r) for r in rules]), (F.col("o_orderkey") % len(rules)).cast("int"))
+    rows = t.orders.select("o_orderkey", (F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(9))).cast("timestamp_ntz").alias("dtstart"), rule.alias("rrule"))
+    return recurrence.expand_recurrence(rows, "1997-03-01", "1997-06-30").select("o_orderkey", "occurs")
+
+
+@query("""WITH d AS (SELECT o_orderkey, 60 * (o_orderkey % 9 + 7) AS step, epoch(o_orderdate)::BIGINT AS s, epoch(TIMESTAMP '1997-03-10')::BIGINT AS low FROM orders),
+i AS (SELECT o_orderkey, step, s, greatest(0, (low - s + step - 1) // step) AS f, (low + 86399 - s) // step AS l FROM d WHERE s <= low + 86399)
+SELECT o_orderkey, (l - f + 1)::BIGINT AS n, strftime(make_timestamp((s + f * step) * 1000000), '%Y-%m-%d %H:%M:%S') AS first, strftime(make_timestamp((s + l * step) * 1000000), '%Y-%m-%d %H:%M:%S') AS last FROM i WHERE l >= f""")
+def R03_expand_recurrence_dense(t: Tables):
+    """Every few minutes for years, counted over one day."""
+    rule = F.concat(F.lit("FREQ=MINUTELY;INTERVAL="), F.col("o_orderkey") % 9 + 7)
+    rows = t.orders.select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("dtstart"), rule.alias("rrule"))
+    made = recurrence.expand_recurrence(rows, "1997-03-10", "1997-03-10")
+    return made.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min("occurs").alias("first"), F.max("occurs").alias("last"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS ny, i, o_orderdate + INTERVAL 9 HOUR + to_days(i::INTEGER) AS wall FROM orders, range(20) r(i)),
+m AS (SELECT *, CASE WHEN i % 5 = 4 THEN wall + INTERVAL 3 HOUR ELSE wall END AS own, i % 5 = 4 AS moved FROM o WHERE i % 3 <> 2 OR i % 5 = 4),
+l AS (SELECT o_orderkey, moved, CASE WHEN ny THEN timezone('Asia/Taipei', timezone('America/New_York', own)) ELSE own END AS occurs FROM m
+UNION ALL SELECT o_orderkey, false, o_orderdate + INTERVAL 30 DAY + INTERVAL 20 HOUR FROM orders)
+SELECT o_orderkey, moved, strftime(occurs, '%Y-%m-%d %H:%M:%S') AS occurs FROM l WHERE occurs >= TIMESTAMP '1997-03-20' AND occurs < TIMESTAMP '1997-05-01'""")
+def R03_expand_calendar(t: Tables):
+    """Every order a series of twenty days in its zone: every third day excluded, every fifth moved by three hours, one day added."""
+    zone, clock = F.when(F.col("o_orderkey") % 2 == 0, "America/New_York"), (F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(9))).cast("timestamp_ntz")
+    day = lambda i: F.make_dt_interval(days=i.cast("int"))
+    base = t.orders.select("o_orderkey", F.col("o_orderkey").cast("string").alias("uid"), zone.alias("zone"), clock.alias("starts"), "o_orderdate")
+    there = lambda stamp: dates.in_local_time(stamp, F.col("zone"))
+    series = base.select(
+        "o_orderkey", "uid", "zone", "starts", F.lit("FREQ=DAILY;COUNT=20").alias("rrule"), F.transform(F.sequence(F.lit(2), F.lit(19), F.lit(3)), lambda i: there(F.col("starts") + day(i))).alias("exdates"),
+        F.array((F.col("o_orderdate") + F.make_dt_interval(days=F.lit(30), hours=F.lit(20))).cast("timestamp_ntz")).alias("rdates"), F.lit(None).cast("timestamp_ntz").alias("recurrence_id"),
+    )
+    moved = base.withColumn("i", F.explode(F.sequence(F.lit(4), F.lit(19), F.lit(5)))).select(
+        "o_orderkey", "uid", "zone", (F.col("starts") + day(F.col("i")) + F.make_dt_interval(hours=F.lit(3))).alias("starts"), F.lit(None).cast("string").alias("rrule"),
+        F.lit(None).cast("array<timestamp_ntz>").alias("exdates"), F.lit(None).cast("array<timestamp_ntz>").alias("rdates"), there(F.col("starts") + day(F.col("i"))).alias("recurrence_id"),
+    )
+    made = recurrence.expand_calendar(series.unionByName(moved), "1997-03-20", "1997-04-30")
+    return made.select("o_orderkey", F.col("recurrence_id").isNotNull().alias("moved"), "occurs")
 
 
 @query("""WITH e AS (SELECT *, event_id % 5 = 0 AS d, event_id % 2 = 0 AS us, date_trunc('minute', ts) AS m, '市場預期: ' || value || '%' || chr(10) || '前值: 1%' AS body FROM events)

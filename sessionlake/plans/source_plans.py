@@ -81,7 +81,30 @@ def S05_read_ics(t: Tables):
     # calendars of bounded size, many to a file: the reader takes whole files
     path = new_path(t.spark, "calendars")
     t.events.select(lines.alias("value"), "event_id").repartition(8, "event_id").select("value").write.option("lineSep", "\r\n").text(path)
-    return documents.read_ics(t.spark, path)
+    return documents.read_ics(t.spark, path).select("dtstart", "all_day", "summary", "description", "rrule")
+
+
+@query("""WITH e AS (SELECT event_id, props, date_trunc('day', ts) + to_months((event_id % 12)::INTEGER) + to_hours((5 + event_id % 18)::INTEGER) AS wall, event_id % 4 AS kind FROM events)
+SELECT 'e-' || event_id AS uid, strftime(CASE kind WHEN 0 THEN timezone('Asia/Taipei', timezone('America/New_York', wall)) WHEN 1 THEN timezone('Asia/Taipei', timezone('Europe/Berlin', wall))
+WHEN 2 THEN timezone('Asia/Taipei', timezone('UTC', wall)) ELSE wall END, '%Y-%m-%d %H:%M:%S') AS dtstart, strftime(wall, '%Y-%m-%d %H:%M:%S') AS starts,
+CASE kind WHEN 0 THEN 'America/New_York' WHEN 1 THEN 'Europe/Berlin' WHEN 2 THEN 'UTC' END AS zone, false AS all_day, 'no ' || event_id AS summary, CASE WHEN event_id % 3 = 0 THEN props END AS description,
+strftime(CASE kind WHEN 0 THEN timezone('Asia/Taipei', timezone('America/New_York', wall + INTERVAL 7 DAY)) WHEN 1 THEN timezone('Asia/Taipei', timezone('Europe/Berlin', wall + INTERVAL 7 DAY))
+WHEN 2 THEN timezone('Asia/Taipei', timezone('UTC', wall + INTERVAL 7 DAY)) ELSE wall + INTERVAL 7 DAY END, '%Y-%m-%d %H:%M:%S') AS excluded FROM e""")
+def S05_read_ics_zones(t: Tables):
+    """Events on the clocks of four zones, through all months, each with an alarm inside that has a text and a time of its own."""
+    kind = F.col("event_id") % 4
+    wall = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_ym_interval(months=(F.col("event_id") % 12).cast("int")) + F.make_dt_interval(hours=(5 + F.col("event_id") % 18).cast("int"))
+    zone = F.when(kind == 0, ";TZID=America/New_York").when(kind == 1, ";X-SOURCE=\"a:b\";TZID=\"W. Europe Standard Time\"").otherwise("")
+    stamp = lambda at: F.concat(zone, F.lit(":"), F.date_format(at, "yyyyMMdd'T'HHmmss"), F.when(kind == 2, "Z").otherwise(""), F.lit("\r\n"))
+    alarm = F.concat(F.lit("BEGIN:VALARM\r\nTRIGGER:-PT15M\r\nDTSTART:20010101T000000Z\r\nSUMMARY:soon\r\nDESCRIPTION:an alarm's own text\r\nUID:alarm\r\nEND:VALARM\r\n"))
+    lines = F.concat(
+        F.lit("BEGIN:VEVENT\r\n"), F.when(F.col("event_id") % 2 == 0, alarm).otherwise(""), F.lit("UID:e-"), "event_id", F.lit("\r\nDTSTART"), stamp(wall), F.lit("SUMMARY:no "), "event_id", F.lit("\r\n"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("DESCRIPTION:"), F.replace("props", F.lit(","), F.lit("\\,")), F.lit("\r\n"))).otherwise(""),
+        F.lit("EXDATE"), stamp(wall + F.make_dt_interval(days=F.lit(7))), alarm, F.lit("END:VEVENT\r\n"),
+    )
+    path = new_path(t.spark, "zoned-calendars")
+    t.events.select(lines.alias("value"), "event_id").repartition(8, "event_id").select("value").write.option("lineSep", "\r\n").text(path)
+    return documents.read_ics(t.spark, path).select("uid", "dtstart", "starts", "zone", "all_day", "summary", "description", F.get("exdates", F.lit(0)).alias("excluded"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN source END AS title, CASE WHEN doc_id % 3 > 0 THEN 'https://example.com/' || doc_id END AS url,

@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import zoneinfo
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import in_local_time
+
+#: Names of the zone database that stand for a place or for UTC.
+ZONES = frozenset(z for z in zoneinfo.available_timezones() if "/" in z or z in ("UTC", "GMT"))
+#: Other names that calendars use for zones.
+ZONE_NAMES = {
+    "Taipei Standard Time": "Asia/Taipei", "China Standard Time": "Asia/Shanghai", "Tokyo Standard Time": "Asia/Tokyo", "GMT Standard Time": "Europe/London",
+    "W. Europe Standard Time": "Europe/Berlin", "Eastern Standard Time": "America/New_York", "Central Standard Time": "America/Chicago", "Pacific Standard Time": "America/Los_Angeles",
+}
 FEED_ITEM = "title string, link string, pubDate string, source struct<_VALUE: string, _url: string>"
 
 
@@ -22,37 +34,70 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return items.select("title", "link", "pubDate", F.col("source._VALUE").alias("source"))
 
 
-def _property(event: Column, name: str) -> Column:
-    """Value of a calendar property, its parameters left out; null where it is missing."""
-    found = F.regexp_extract(event, rf"(?m)^{name}(?:;[^:\n]*)?:(.*)$", 1)
+# A property's parameters: names with values, which may be quoted.
+_PARAMETERS = r'((?:;[^=:;\n]+=(?:"[^"\n]*"|[^":;\n])*)*)'
+
+
+def _text(event: Column, name: str) -> Column:
+    """Text of a calendar property, its parameters left out; null where it is missing."""
+    found = F.regexp_extract(event, rf"(?mi)^{name}{_PARAMETERS}:(.*)$", 2)
     for old, new in (("\\n", "\n"), ("\\,", ","), ("\\;", ";"), ("\\\\", "\\")):
         found = F.replace(found, F.lit(old), F.lit(new))
     return F.nullif(F.trim(found), F.lit(""))
 
 
-def parse_ics(text: Column) -> Column:
-    """Array of struct(dtstart, all_day, summary, description, rrule) of a calendar's events.
+def _zone(parameters: Column, value: Column, zones: Mapping[str, str]) -> Column:
+    """Zone of a time: UTC after a Z, else its TZID where that is known, else null."""
+    named = F.regexp_extract(parameters, r'(?i);TZID="?/?([^";:]+)', 1)
+    table = F.create_map(*[F.lit(x) for pair in zones.items() for x in pair])
+    own = F.coalesce(table[named], F.when(named.isin(sorted(ZONES)), named))
+    return F.when(F.endswith(value, F.lit("Z")), "UTC").when(F.length(value) > 8, own)
+
+
+def _wall_clock(value: Column) -> Column:
+    """yyyyMMdd'T'HHmmss, with or without a Z, or yyyyMMdd; null where it is neither."""
+    forms = ((F.regexp_replace(value, "Z$", ""), "yyyyMMdd'T'HHmmss"), (value, "yyyyMMdd"))
+    return F.coalesce(*[F.try_to_timestamp(v, F.lit(form)) for v, form in forms]).cast("timestamp_ntz")
+
 
-    Folded lines are joined. dtstart is a Taipei wall-clock time: a UTC value
-    is moved there, a plain date is midnight with all_day set.
+def _times(event: Column, name: str, zones: Mapping[str, str]) -> Column:
+    """Local times of all values of all properties ``name``; of periods the start."""
+    lines = F.regexp_extract_all(event, F.lit(rf"(?mi)^{name}{_PARAMETERS}:.*$"), 0)
+
+    def values(line: Column) -> Column:
+        parameters = F.regexp_extract(line, rf"(?i)^{name}{_PARAMETERS}:", 1)
+        each = F.split(F.regexp_extract(line, rf"(?i)^{name}{_PARAMETERS}:(.*)$", 2), ",")
+        return F.transform(each, lambda v: in_local_time(_wall_clock(F.trim(F.substring_index(v, "/", 1))), _zone(parameters, F.trim(F.substring_index(v, "/", 1)), zones)))
+
+    return F.filter(F.flatten(F.transform(lines, values)), lambda t: t.isNotNull())
+
+
+def parse_ics(text: Column, zones: Mapping[str, str] = ZONE_NAMES) -> Column:
+    """Array of the events of a calendar, a struct each.
+
+    dtstart is the start in local time and all_day says that it is a date;
+    starts and zone are the same start on the event's own clock (null zone:
+    local). uid, summary, description and rrule are text; exdates, rdates and
+    recurrence_id are local times. Folded lines are joined. Components inside
+    an event (alarms) are no part of it. A time with a Z is UTC, one with a
+    TZID has that zone's rules (names beyond the zone database by ``zones``),
+    any other is local. Events without a uid get one from their text.
     """
     unfolded = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n[ \t]", "")
-    events = F.filter(F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT\n(.*?)END:VEVENT"), 1), lambda e: e != "")
+    events = F.filter(F.regexp_extract_all(unfolded, F.lit(r"(?ims)^BEGIN:VEVENT[ \t]*\n(.*?)^END:VEVENT"), 1), lambda e: e != "")
+    own = F.transform(events, lambda e: F.regexp_replace(e, r"(?ims)^BEGIN:([A-Z0-9-]+)[ \t]*\n.*?^END:\1[ \t]*\n?", ""))
 
     def one(event: Column) -> Column:
-        raw = _property(event, "DTSTART")
-        stamp = F.try_to_timestamp(F.regexp_replace(raw, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
-        local = F.when(F.endswith(raw, F.lit("Z")), stamp + F.make_dt_interval(hours=F.lit(8))).otherwise(stamp)
-        day = F.try_to_timestamp(raw, F.lit("yyyyMMdd")).cast("timestamp_ntz")
+        raw, parameters = (F.trim(F.regexp_extract(event, rf"(?mi)^DTSTART{_PARAMETERS}:(.*)$", group)) for group in (2, 1))
+        zone, starts = _zone(parameters, raw, zones), _wall_clock(raw)
         return F.struct(
-            F.coalesce(local, day).alias("dtstart"),
-            (F.length(raw) == 8).alias("all_day"),
-            _property(event, "SUMMARY").alias("summary"),
-            _property(event, "DESCRIPTION").alias("description"),
-            _property(event, "RRULE").alias("rrule"),
-        )
-
-    return F.transform(events, one)
+            in_local_time(starts, zone).alias("dtstart"), (F.length(raw) == 8).alias("all_day"), _text(event, "SUMMARY").alias("summary"),
+            _text(event, "DESCRIPTION").alias("description"), _text(event, "RRULE").alias("rrule"), F.coalesce(_text(event, "UID"), F.md5(event)).alias("uid"),
+            starts.alias("starts"), zone.alias("zone"), _times(event, "EXDATE", zones).alias("exdates"), _times(event, "RDATE", zones).alias("rdates"),
+            F.get(_times(event, "RECURRENCE-ID", zones), F.lit(0)).alias("recurrence_id"),
+        )
+
+    return F.transform(own, one)
 
 
 def read_ics(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.functions import dates, numbers, text
-from sessionlake.operators import calendar, events, matching, quotes, sessions
+from sessionlake.operators import calendar, events, matching, quotes, recurrence, sessions
 from sessionlake.streaming import sessions as stream
 
 
@@ -163,7 +163,7 @@ def test_general_recurrence_matches_the_library(spark):
     rules = ["FREQ=WEEKLY;BYDAY=MO,TH;UNTIL=20260910T000000", "FREQ=MONTHLY", "FREQ=DAILY;INTERVAL=3;COUNT=4", "FREQ=YEARLY", "FREQ=DAILY;UNTIL=20260815T090000Z", "FREQ=MONTHLY;INTERVAL=2"]
     starts = [datetime(2026, 7, 31, 9), datetime(2026, 8, 13, 9), datetime(2024, 2, 29, 9), datetime(2025, 9, 1, 9)]
     rows = [(n * 10 + m, s, r) for n, s in enumerate(starts) for m, r in enumerate(rules)]
-    got = sorted((r.i, r.occurs) for r in events.expand_recurrence(spark.createDataFrame(rows, "i int, dtstart timestamp_ntz, rrule string"), "2026-08-01", "2026-09-15").collect())
+    got = sorted((r.i, r.occurs) for r in recurrence.expand_recurrence(spark.createDataFrame(rows, "i int, dtstart timestamp_ntz, rrule string"), "2026-08-01", "2026-09-15").collect())
     want = sorted((i, x) for i, s, r in rows for x in rrulestr(r.replace("Z", ""), dtstart=s).between(datetime(2026, 8, 1), datetime(2026, 9, 15, 23, 59), inc=True))
     assert got == want
 
@@ -198,7 +198,7 @@ def test_rules_that_cannot_be_read_occur_once(spark):
     start = datetime(2026, 8, 13, 9)
     odd = ["FREQ=DAILY;INTERVAL=0", "FREQ=DAILY;INTERVAL=-1", "FREQ=DAILY;INTERVAL=x", "FREQ=DAILY;COUNT=0", "FREQ=DAILY;COUNT=z", "FREQ=DAILY;UNTIL=soon", "FREQ=NEVER", "INTERVAL=2", "no rule", ";;", "", None, "FREQ=WEEKLY;BYDAY=XX", "FREQ=DAILY;INTERVAL=0;BYDAY=MO"]
     rows = spark.createDataFrame([(i, start, r) for i, r in enumerate(odd)] + [(99, None, "FREQ=DAILY")], "id int, dtstart timestamp_ntz, rrule string")
-    got = events.expand_recurrence(rows, "2026-08-01", "2026-08-31").collect()
+    got = recurrence.expand_recurrence(rows, "2026-08-01", "2026-08-31").collect()
     assert sorted((r.id, r.occurs) for r in got) == [(i, start) for i in range(len(odd))]
 
 
@@ -207,7 +207,7 @@ def test_short_months_and_hours(spark):
         [(1, datetime(2026, 1, 31, 9), "FREQ=MONTHLY"), (2, datetime(2026, 3, 1, 22), "freq=hourly;interval=3;COUNT=3"), (3, datetime(2026, 1, 31, 9), "FREQ=MONTHLY;COUNT=2"), (4, datetime(2026, 3, 1), "FREQ=DAILY;FREQ=WEEKLY;COUNT=2")],
         "id int, dtstart timestamp_ntz, rrule string",
     )
-    got = sorted((r.id, r.occurs) for r in events.expand_recurrence(rows, "2026-01-01", "2026-04-30").collect())
+    got = sorted((r.id, r.occurs) for r in recurrence.expand_recurrence(rows, "2026-01-01", "2026-04-30").collect())
     assert got == [
         (1, datetime(2026, 1, 31, 9)), (1, datetime(2026, 3, 31, 9)), (2, datetime(2026, 3, 1, 22)), (2, datetime(2026, 3, 2, 1)), (2, datetime(2026, 3, 2, 4)),
         (3, datetime(2026, 1, 31, 9)), (3, datetime(2026, 3, 31, 9)), (4, datetime(2026, 3, 1)), (4, datetime(2026, 3, 2)),
