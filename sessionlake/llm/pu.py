@@ -210,9 +210,11 @@ def fit_bag(texts: list[str], is_p: np.ndarray, features: Features, sign: int) -
 def _bag_sample(docs: DataFrame, positives: DataFrame, trainable: Column, bag_positives: int, bag_unlabelled: int, bag_bytes: int, bags: int) -> tuple[DataFrame, int] | None:
     """(bag, text, positive) of the sample, and the number of bags; see ``train``."""
     row = F.xxhash64("doc_id", "text")
-    keys = materialize(docs.select("doc_id", row.alias("k"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "pu-keys")
+    keys = docs.select("doc_id", row.alias("k"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    keys = materialize(keys.distinct(), "pu-keys")  # a row that repeats counts once, here and in the chances below
     trusted = materialize(keys.join(positives.select("doc_id").distinct(), "doc_id", "left_semi").select("k", "n_bytes").distinct(), "pu-positives")
-    n_positive, n_docs = trusted.count(), keys.count()
+    unlabelled = keys.filter(trainable)
+    n_positive, n_unlabelled = trusted.count(), unlabelled.count()
     if not n_positive:
         return None
     bags = min(bags, -(-n_positive // bag_positives))
@@ -222,7 +224,7 @@ def _bag_sample(docs: DataFrame, positives: DataFrame, trainable: Column, bag_po
 
     sides = [
         trusted.filter(chance("positive") < bags * bag_positives / n_positive).select("k", "n_bytes", F.lit(1).alias("positive")),
-        keys.filter(trainable & (chance("unlabelled") < bags * bag_unlabelled / n_docs)).select("k", "n_bytes").distinct().select("k", "n_bytes", F.lit(0).alias("positive")),
+        unlabelled.filter(chance("unlabelled") < bags * bag_unlabelled / max(1, n_unlabelled)).select("k", "n_bytes", F.lit(0).alias("positive")),
     ]
     chosen = sides[0].unionByName(sides[1]).withColumn("bag", F.pmod(F.xxhash64("k", F.lit("bag")), F.lit(bags)).cast("int"))
 

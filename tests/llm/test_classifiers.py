@@ -144,6 +144,16 @@ def test_bag_sample_is_bounded_in_rows_and_bytes(spark):
     assert sorted(map(str, got)) == sorted(map(str, pu._bag_sample(docs.repartition(5), positives, F.lit(True), 100, 300, 50_000, 4)[0].collect()))
 
 
+def test_a_repeated_unlabelled_row_leaves_the_sample_as_it_is(spark):
+    """The chance of the sample counts distinct rows, so one row without end takes no other's place."""
+    rows = [(i, f"text number {i}") for i in range(2000)]
+    positives = spark.createDataFrame([(i,) for i in range(0, 2000, 50)], "doc_id long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hot = docs.unionByName(spark.range(200_000).selectExpr("cast(7 as long) AS doc_id", "'text number 7' AS text"))
+    pick = lambda d: sorted((r.bag, r.positive, r.text) for r in pu._bag_sample(d, positives, F.col("doc_id") % 4 != 2, 20, 300, 1 << 20, 2)[0].collect())
+    assert pick(hot) == pick(docs) and 400 < sum(p == 0 for _, p, _ in pick(docs)) <= 600
+
+
 @pytest.mark.parametrize("sf,recall,clean", [("sf0.001", 0.5, 0.9), ("sf0.01", 0.6, 0.99)])
 def test_small_tables_are_learned(spark, sf, recall, clean):
     """Ten labelled positives are enough for a score that tells texts apart."""
