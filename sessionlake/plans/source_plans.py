@@ -175,27 +175,30 @@ def A02_assemble_session(t: Tables):
     return sessions.assemble_session(points, live).select("symbol", "session_date", "open", "prev_close", "high", "low", "latest.price", "n_points")
 
 
+_TICK_SCHEMA = "tick_id long, collected_at timestamp_ntz, symbol string, price double, provider string, open double, prev_close double, high double, low double"
+
+
+def _streamed(t: Tables, ticks, label: str, files_per_trigger: int | None = None):
+    """Sessions of ticks that come as files, through the stream and its table of current parts."""
+    path = new_path(t.spark, f"{label}-in")
+    ticks.write.parquet(path)
+    parts = stream.session_parts(stream.read_ticks(t.spark, path, _TICK_SCHEMA, "parquet", files_per_trigger))
+    table = stream.session_table(t.spark, new_path(t.spark, f"{label}-out"))
+    stream.run_available(parts, new_path(t.spark, f"{label}-state"), table)
+    whole = stream.merge_parts(table.read(parts.schema))
+    return whole.select("symbol", F.to_date("session_ts").alias("session_date"), "open", "prev_close", "high", "low", "latest.price", "n_points")
+
+
 @query(_ASSEMBLED)
 def R01_stream_sessions(t: Tables):
-    schema = "tick_id long, collected_at timestamp_ntz, symbol string, price double, provider string, open double, prev_close double, high double, low double"
-    path = new_path(t.spark, "stream-in")
-    _ticks(t).select(*[c.split()[0] for c in schema.split(", ")]).write.parquet(path)
-    out = new_path(t.spark, "stream-out")
-    states = stream.session_states(stream.read_ticks(t.spark, path, schema, "parquet"))
-    stream.run_available(states, new_path(t.spark, "stream-state"), out)
-    return stream.newest_sessions(t.spark, out).select("symbol", F.to_date("session_ts").alias("session_date"), "open", "prev_close", "high", "low", "latest.price", "n_points")
+    return _streamed(t, _ticks(t).select(*[c.split()[0] for c in _TICK_SCHEMA.split(", ")]), "stream")
 
 
 @query(_ASSEMBLED)
 def R02_late_ticks(t: Tables):
-    """Ticks in random order over many small batches, all state kept: late ones count as in the batch form."""
-    schema = "tick_id long, collected_at timestamp_ntz, symbol string, price double, provider string, open double, prev_close double, high double, low double"
-    path = new_path(t.spark, "late-in")
-    _ticks(t).select(*[c.split()[0] for c in schema.split(", ")]).withColumn("_order", F.xxhash64("tick_id")).repartition(6, "_order").drop("_order").write.parquet(path)
-    out = new_path(t.spark, "late-out")
-    states = stream.session_states(stream.read_ticks(t.spark, path, schema, "parquet", files_per_trigger=2), watermark=None)
-    stream.run_available(states, new_path(t.spark, "late-state"), out)
-    return stream.newest_sessions(t.spark, out).select("symbol", F.to_date("session_ts").alias("session_date"), "open", "prev_close", "high", "low", "latest.price", "n_points")
+    """Ticks in random order over several batches, with the watermark on: late ones count as in the batch form."""
+    ticks = _ticks(t).select(*[c.split()[0] for c in _TICK_SCHEMA.split(", ")]).withColumn("_order", F.xxhash64("tick_id"))
+    return _streamed(t, ticks.repartition(6, "_order").drop("_order"), "late", files_per_trigger=2)
 
 
 _SCALED = f"""

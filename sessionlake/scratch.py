@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = f"{base.rstrip('/')}/sessionlake-{spark.sparkContext.applicationId}"
     if _own_folder.get("registered") != folder:
         _own_folder["registered"] = folder
-        atexit.register(_remove, spark, folder)
+        atexit.register(remove, spark, folder)
     return folder
 
 
@@ -50,7 +50,7 @@ class Tables:
     def free(self, spark: SparkSession) -> None:
         """Delete them, once nothing reads them any more."""
         while self._paths:
-            _remove(spark, self._paths.pop())
+            remove(spark, self._paths.pop())
 
 
 @contextmanager
@@ -82,10 +82,15 @@ def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of intermediate tables, if the session still lives."""
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it is there and the session still lives."""
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     except Exception:  # noqa: BLE001 - the session is gone; the folder stays for the cluster's own cleaning
         pass
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

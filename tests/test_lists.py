@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sessionlake.functions import text
 from sessionlake.operators import events, sessions, watchlist
 from sessionlake.sources import documents, snapshots
-from sessionlake.streaming import sessions as stream
 
 EVENTS = [
     (1, date(2026, 8, 19), "09:00", "US CPI", 3, "US", "macro"), (2, date(2026, 8, 21), None, "TW talk", 1, "TW", "speech"),
@@ -58,20 +57,3 @@ def test_pages_and_calendars_are_read_as_files(spark, tmp_path):
     (tmp_path / "c.ics").write_text("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nDTSTART;VALUE=DATE:20260820\r\nSUMMARY:long\r\n  line\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART:20260820T010000Z\r\nEND:VEVENT\r\nEND:VCALENDAR")
     rows = documents.read_ics(spark, f"{tmp_path}/*.ics").collect()
     assert sorted((r.all_day, str(r.dtstart), r.summary) for r in rows) == [(False, "2026-08-20 09:00:00", None), (True, "2026-08-20 00:00:00", "long line")]
-
-
-def test_stream_keeps_the_newest_state_of_each_session(spark, tmp_path):
-    """Three batches touch the same session; a batch that runs again replaces its own rows."""
-    schema = "tick_id long, collected_at timestamp_ntz, symbol string, price double, provider string, open double, prev_close double, high double, low double"
-    for n in range(3):
-        rows = spark.sql(f"SELECT {n}L AS tick_id, timestamp_ntz'2026-08-20 16:0{n}:00' AS collected_at, 'tx' AS symbol, {n}.5D AS price, 'p' AS provider, 1D AS open, 1D AS prev_close, {n}D AS high, 0D AS low")
-        rows.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-    states = stream.session_states(stream.read_ticks(spark, f"{tmp_path}/in/*", schema, "parquet", files_per_trigger=1))
-    stream.run_available(states, f"{tmp_path}/state", f"{tmp_path}/out")
-    kept = spark.read.parquet(f"{tmp_path}/out")
-    assert kept.count() == 3  # the changed session of each batch
-    again = kept.filter("batch = 1").drop("batch")
-    again.write.mode("overwrite").parquet(f"{tmp_path}/copy")
-    stream.keep_batches(f"{tmp_path}/out")(spark.read.parquet(f"{tmp_path}/copy"), 1)
-    last = stream.newest_sessions(spark, f"{tmp_path}/out").collect()
-    assert [(r.symbol, r.n_points, r.high, r.latest.price) for r in last] == [("tx", 3, 2.0, 2.5)]
