@@ -12,8 +12,10 @@ candidates. How many near copies meet is stated in ``meeting_chance``.
 Every candidate is decided by its exact similarity. Texts with one set of
 shingles are one node, so exact copies make no pairs. At each anchor all texts
 are compared with one resident, the one with most company in all, which is
-what a group of copies was made from if that is there; only what these links
-leave in different components is compared in pairs.
+what a group of copies was made from if that is there. What these links leave
+in different components is grouped by anchors, sizes and whole fingerprints,
+and every two texts of a group are compared inside a task: links leave it,
+pairs do not.
 """
 
 from __future__ import annotations
@@ -37,9 +39,11 @@ SHINGLE = 5
 #: Similarity from which two texts are near copies, as a fraction of whole numbers.
 ALIKE, OF = 4, 5
 #: Words of a wide fingerprint, its shingles, and differing bits of one word up to which two texts are compared.
-PRINT_WORDS, PRINT_SHINGLE, CHECK_BITS = 8, 2, 22
+PRINT_WORDS, PRINT_SHINGLE, CHECK_BITS = 12, 2, 22
 #: Shingles of the texts that are compared in one task at once.
 BLOCK_SHINGLES = 200_000
+#: Rows of one anchor that one task compares; anchors with more are cut into a grid.
+CELL_ROWS = 4096
 
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, PRINT_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,14 +74,21 @@ def meeting_chance(similarity: float, blocks: int = 2 * PRINT_WORDS) -> float:
     return 1 - (1 - exactly(0) - exactly(1) - 6 / 32 * (exactly(2) + exactly(3))) ** blocks
 
 
+def most_bits(similarity: float, words: int = PRINT_WORDS) -> int:
+    """Differing bits of a whole wide fingerprint that sets this alike stay within: five standard errors above what is expected."""
+    n, p = 64 * words, math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(n * p + 5 * math.sqrt(n * p * (1 - p)))
+
+
 def _sketch(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        node, prints = [], []
+        node, size, prints = [], [], []
         for text in batch["text"]:
             shingles = shingle_set(text, width)
             node.append(xxhash.xxh3_64_intdigest(shingles.tobytes()))
+            size.append(len(shingles))
             prints.append(wide_print(text) if len(shingles) else [])
-        yield pd.DataFrame({"k_row": batch["k_row"], "k_text": batch["k_text"], "node": np.array(node, dtype=np.uint64).view(np.int64), "prints": prints})
+        yield pd.DataFrame({"k_row": batch["k_row"], "k_text": batch["k_text"], "node": np.array(node, dtype=np.uint64).view(np.int64), "size": np.array(size, dtype=np.int64), "prints": prints})
 
 
 def _decide(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
@@ -114,6 +125,116 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.groupBy("h_root", "h_i", "h_j").cogroup(dealt.groupBy("root", "i", "j")).applyInPandas(_decide, "a long, b long")
 
 
+def _whole_cells(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of complete cells, and where each cell starts and the last one ends; the partition is sorted by cell, which may run over batches."""
+    held: list[pd.DataFrame] = []
+    for batch in (*batches, None):
+        rows = pd.concat([*held, *([batch] if batch is not None else [])], ignore_index=True) if held or batch is not None else pd.DataFrame()
+        if not len(rows):
+            continue
+        cells = rows[keys].to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1, [len(rows)]))
+        if batch is not None:
+            held, rows, starts = [rows.iloc[starts[-2] :]], rows.iloc[: starts[-2]], starts[:-1]
+        if len(rows):
+            yield rows, starts
+
+
+def _like(prints: np.ndarray, size: np.ndarray, ones: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether fingerprints and sizes of rows ``ones`` (n) and ``others`` (m) let them be alike: (n, m)."""
+    apart = np.bitwise_count((prints[ones][:, None, :] ^ prints[others][None, :, :]).view(np.uint64)).sum(axis=2, dtype=np.int64)
+    x, y = size[ones][:, None], size[others][None, :]
+    return (apart <= most_bits(ALIKE / OF)) & (ALIKE * x <= OF * y) & (ALIKE * y <= OF * x)
+
+
+def _tie_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges with the components that the pairs of each cell have which could be alike: breadth first from every resident, each row tied once."""
+    for rows, starts in _whole_cells(batches, ["anchor", "i", "j"]):
+        node, home, size = rows["node"].to_numpy(), rows["home"].to_numpy(dtype=bool), rows["size"].to_numpy()
+        prints = np.array(rows["prints"].tolist(), dtype=np.int64).reshape(len(rows), -1)
+        out_a, out_b = [], []
+        for start, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            left = np.arange(start, end)
+            while len(left) and home[left].any():
+                front = left[home[left]][:1]
+                left, seed = left[left != front[0]], front[0]
+                while len(front) and len(left):
+                    near = np.zeros(len(left), dtype=bool)
+                    step = max(1, 200_000 // len(left))
+                    for at in range(0, len(front), step):
+                        some = front[at : at + step]
+                        near |= (_like(prints, size, some, left) & (home[some][:, None] | home[left][None, :])).any(axis=0)
+                    front, left = left[near], left[~near]
+                    out_a.append(np.full(len(front), node[seed]))
+                    out_b.append(node[front])
+        none = np.zeros(0, dtype=np.int64)
+        yield pd.DataFrame({"a": np.concatenate(out_a or [none]), "b": np.concatenate(out_b or [none])})
+
+
+def _candidates(rest: DataFrame) -> DataFrame:
+    """Edges (a, b) between texts that share an anchor, one of them at home there, and could be alike; fewer than rows.
+
+    Rows (anchor, node, home, size, prints). An anchor with more than
+    CELL_ROWS rows is cut into a grid: a row goes to one column of every line
+    and, at home, to every column of one line.
+    """
+    many = rest.groupBy("anchor").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"), F.count_if("home").alias("residents"))
+    many = materialize(many.filter("residents > 0").select("anchor", "parts"), "near-anchors")
+    dealt = rest.join(many, "anchor").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) AS i, greatest(x, part) AS j))")
+    dealt = dealt.withColumn("cell", F.explode(cells)).select("anchor", "cell.*", "node", "home", "size", "prints")
+    number = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(number, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "node").mapInPandas(_tie_cells, "a long, b long")
+
+
+def _decide_cell(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between texts of one cell, of both its blocks, whose sets are alike; none within what is joined already.
+
+    A bitmap of each set bounds what two sets share from above: the bits in
+    common, and as many elements as found their bit taken. Only where this
+    bound allows it the sets themselves are compared, in whole numbers.
+    """
+    rows = rows.assign(size=rows["shingles"].map(len)).sort_values(["size", "node"], ignore_index=True)
+    node, size, block, sets = rows["node"].to_numpy(), rows["size"].to_numpy(), rows["block"].to_numpy(), rows["shingles"].tolist()
+    joined = np.unique(rows["top"].to_numpy(), return_inverse=True)[1]
+    words = 1 << max(0, int(size.mean() * 16 / 64)).bit_length()
+    bits = np.zeros((len(rows), words), dtype=np.uint64)
+    for n, x in enumerate(sets):
+        place = np.unique(np.asarray(x).view(np.uint64) % np.uint64(64 * words))
+        np.bitwise_or.at(bits[n], (place // np.uint64(64)).astype(np.int64), np.uint64(1) << (place % np.uint64(64)))
+    taken = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    apart = rows["i"].iat[0] != rows["j"].iat[0]
+    out_a, out_b = [], []
+    for n in range(len(rows)):
+        end = int(np.searchsorted(size, size[n] * OF // ALIKE, side="right"))
+        others = np.arange(n + 1, end)
+        others = others[(joined[others] != joined[n]) & (~apart | (block[others] != block[n]))]
+        most = np.bitwise_count(bits[others] & bits[n]).sum(axis=1, dtype=np.int64) + taken[n]
+        for m in others[(ALIKE + OF) * most >= ALIKE * (size[n] + size[others])].tolist():
+            if joined[m] == joined[n]:
+                continue
+            shared = len(np.intersect1d(sets[n], sets[m], assume_unique=True))
+            if (ALIKE + OF) * shared >= ALIKE * (size[n] + size[m]):
+                out_a.append(node[n])
+                out_b.append(node[m])
+                joined[joined == joined[m]] = joined[n]
+    return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
+
+
+def _alike_in_groups(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that join the texts of each group (node, root, top, size) which are alike and not joined already.
+
+    No pair leaves its task. A group of more than BLOCK_SHINGLES is cut into
+    blocks and each two blocks meet in one task, so a set goes to as many
+    tasks as its group has blocks.
+    """
+    blocks = grouped.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count_distinct("top").alias("tops")).filter("tops > 1").select("root", "blocks")
+    placed = grouped.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) AS i, greatest(x, block) AS j))")
+    dealt = materialize(placed.withColumn("cell", F.explode(cells)).select("root", "cell.*", "node", "top", "block"), "near-dealt")
+    return dealt.join(sets, "node").groupBy("root", "i", "j").applyInPandas(_decide_cell, "a long, b long")
+
+
 def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
     """k_row, k_text and root for every row of ``keyed`` (``k_row``, ``k_text``, ``text``).
 
@@ -123,10 +244,10 @@ def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
     64-bit hashes of their sets of shingles.
     """
     prints = materialize(
-        of_texts(keyed).select("k_row", "k_text", "text").mapInPandas(lambda batches: _sketch(batches, width), "k_row long, k_text long, node long, prints array<long>"),
+        of_texts(keyed).select("k_row", "k_text", "text").mapInPandas(lambda batches: _sketch(batches, width), "k_row long, k_text long, node long, size long, prints array<long>"),
         "near-prints",
     )
-    nodes = materialize(prints.filter(F.size("prints") > 0).groupBy("node").agg(F.first("prints").alias("prints")), "near-nodes")
+    nodes = materialize(prints.filter(F.size("prints") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints")), "near-nodes")
     cells = materialize(replicate(nodes), "near-cells")
     company = cells.groupBy("anchor").agg(F.count("*").alias("texts"), F.max("home").alias("lived")).filter("lived and texts > 1").select("anchor", "texts")
     met = materialize(cells.join(company, "anchor"), "near-met")
@@ -151,15 +272,10 @@ def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
     roots = connected_components(links).withColumnRenamed("root", "top")
     left = met.join(roots, "node", "left").withColumn("top", F.coalesce("top", "node"))
     split = left.groupBy("anchor").agg(F.min("top").alias("x"), F.max("top").alias("y")).filter("x != y").select("anchor")
-    rest = left.join(split, "anchor", "left_semi").join(first, "anchor").filter("node != first.node")
-    rest = materialize(rest.select("anchor", "node", "check", "home", "top"), "near-rest")
-    a = rest.filter("home").select("anchor", F.col("node").alias("a"), F.col("check").alias("check_a"), F.col("top").alias("top_a"))
-    b = rest.select("anchor", F.col("node").alias("b"), F.col("check").alias("check_b"), F.col("top").alias("top_b"), "home")
-    once = ~F.col("home") | (F.col("a") < F.col("b"))
-    pairs = a.join(b, "anchor").filter((F.col("top_a") != F.col("top_b")) & once & near("check_a", "check_b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "near-pairs")
-    more = _alike(pairs, sets_of(pairs))
+    rest = left.join(split, "anchor", "left_semi").join(first, "anchor").filter("node != first.node").select("anchor", "node", "home", "top")
+    groups = connected_components(_candidates(materialize(rest.join(nodes, "node"), "near-rest")))
+    grouped = materialize(groups.join(left.groupBy("node").agg(F.first("top").alias("top")), "node").join(nodes.select("node", "size"), "node"), "near-grouped")
+    more = _alike_in_groups(grouped, sets_of(grouped.select(F.col("node").alias("a"), F.col("node").alias("b"))))
     roots = connected_components(links.unionByName(more))
     return prints.join(roots, "node", "left").select("k_row", "k_text", F.coalesce("root", "node").alias("root"))
 
