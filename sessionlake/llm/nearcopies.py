@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from ..scratch import materialize
 from . import bitmap
 from .batches import of_texts
 from .components import connected_components
-from .simhash import keep_first, majority, replicate, row_keys, shingle_hashes
+from .simhash import keep_first, replicate, row_keys, shingle_hashes
 
 SHINGLE = 5
 #: Similarity from which two texts are near copies, as a fraction of whole numbers.
@@ -55,10 +56,15 @@ def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
 
 
 def wide_print(text: str | None) -> np.ndarray:
-    """Fingerprint of PRINT_WORDS words of 64 bits: the majority of as many mixed hashes of each distinct shingle."""
-    mixed = shingle_set(text, PRINT_SHINGLE)[:, None] * _FACTORS
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
-    return majority(mixed ^ (mixed >> np.uint64(29)))
+    """Fingerprint of PRINT_WORDS words of 64 bits: the majority of as many mixed hashes of each distinct shingle, a slice of a long text at a time."""
+    shingles = shingle_set(text, PRINT_SHINGLE)
+    counts = np.zeros(64 * PRINT_WORDS, dtype=np.int64)
+    for at in range(0, len(shingles), 255):  # as many as a byte counts
+        mixed = shingles[at : at + 255, None] * _FACTORS
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        counts += np.unpackbits(mixed.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(shingles), bitorder="little").view("<i8")
 
 
 def meeting_chance(similarity: float, blocks: int = 2 * PRINT_WORDS) -> float:
@@ -128,7 +134,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _whole_cells(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Rows of complete cells, and where each cell starts and the last one ends; the partition is sorted by cell, which may run over batches."""
     held: list[pd.DataFrame] = []
-    for batch in (*batches, None):
+    for batch in chain(batches, (None,)):
         rows = pd.concat([*held, *([batch] if batch is not None else [])], ignore_index=True) if held or batch is not None else pd.DataFrame()
         if not len(rows):
             continue

@@ -143,7 +143,7 @@ def test_cells_join_what_is_alike_and_nothing_else():
     """Bitmap bound and union against all pairs, over sets of many sizes and cells of one or two blocks."""
     rng = np.random.default_rng(3)
     base = rng.integers(-(1 << 62), 1 << 62, 300)
-    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(200, 290)), replace=False), rng.integers(0, 1 << 62, int(rng.integers(0, 60)))])) for _ in range(60)]
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(255, 299)), replace=False), rng.integers(0, 1 << 62, int(rng.integers(0, 30)))])) for _ in range(60)]
     sets += [np.unique(rng.integers(0, 99, 4)) for _ in range(10)] + [sets[0][:-1], sets[1][3:]]
     rows = pd.DataFrame({"root": 0, "i": 0, "j": 0, "node": np.arange(len(sets)), "top": np.arange(len(sets)), "block": np.arange(len(sets)) % 2, "shingles": sets})
     alike = lambda x, y: 9 * len(np.intersect1d(x, y)) >= 4 * (len(x) + len(y))
