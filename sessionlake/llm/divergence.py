@@ -7,7 +7,7 @@ divergence is the Jensen-Shannon distance (Lin, "Divergence Measures Based on
 the Shannon Entropy", 1991), from 0 for equal histograms to 1 for disjoint
 ones. A short text fills its histogram by luck, so a histogram counts only from
 a minimum length on. A document is held against every reference and judged by
-the nearest one: a wrong or missing language tag costs it nothing.
+the nearest one: a wrong or missing tag of a known language costs it nothing.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Common words of a language, and documents that a reference needs.
 COMMON, LEAST_DOCS = 64, 30
-#: Languages with references of their own, those with most documents; all others share the pooled reference.
+#: Languages with references of their own, those with most documents.
 LANGUAGES = 200
 #: Distances up to which a document is kept, and the lengths from which each histogram counts. From SHORT_WORDS to WORD_WORDS words luck is allowed for.
 CLASS_DISTANCE, CLASS_CHARS = 0.25, 200
@@ -221,15 +221,18 @@ def judge(docs: DataFrame) -> DataFrame:
     unless it fails the base rules or one of its distances is above its
     limit.
 
-    Null and empty texts have no words and fail; null and rare languages
-    count in the pooled reference, which stands in only where no language
-    has one of its own. Equal texts have equal verdicts; repeated rows stay and count each in the
-    references; a table with fewer than LEAST_DOCS documents that pass the
+    Null and empty texts have no words and fail. Documents of a language with
+    fewer than LEAST_DOCS of them are judged by the base rules alone, those
+    without a language by the nearest reference; both count in the pooled
+    reference, which stands in only where no language has one of its own.
+    Equal texts of one language have equal verdicts; repeated rows stay and
+    count each in the references; a table with fewer than LEAST_DOCS documents that pass the
     base rules has no references, so that the base rules alone decide; an
     empty table gives no rows.
     """
     found = references(docs)
-    nearest = Nearest([r for lang, r in found.items() if lang is not None] or list(found.values()))
+    languages = [lang for lang in found if lang is not None]
+    nearest = Nearest([found[lang] for lang in languages] or list(found.values()))
     kinds = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double"
 
     @F.pandas_udf(kinds)
@@ -239,12 +242,15 @@ def judge(docs: DataFrame) -> DataFrame:
             yield pd.concat(parts or [_facts([], nearest)], ignore_index=True)
 
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    # other languages' references say nothing about a language that has none
+    own = F.lit(True) if not languages else F.col("lang").isNull() | F.col("lang").isin(languages)
     near = F.coalesce(F.col("class_distance"), F.lit(0.0)) <= CLASS_DISTANCE
     like = F.coalesce(F.col("word_distance"), F.lit(0.0)) <= F.when(F.col("n_words") < WORD_WORDS, SHORT_DISTANCE).otherwise(WORD_DISTANCE)
     return (
-        docs.select("doc_id", facts("text").alias("f"))
-        .select("doc_id", "f.*")
-        .withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("class_distance", "word_distance")})
+        docs.select("doc_id", "lang", facts("text").alias("f"))
+        .select("doc_id", own.alias("own"), "f.*")
+        .withColumns({c: F.when(F.col("own") & ~F.isnan(c), F.col(c)) for c in ("class_distance", "word_distance")})
+        .drop("own")
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & near & like)
     )

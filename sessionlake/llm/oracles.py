@@ -139,7 +139,7 @@ near AS (
 alike AS (
   SELECT k, min(d) AS d FROM word_distances GROUP BY k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(near.d, 0) <= 0.25 AND coalesce(alike.d, 0) <= CASE WHEN n_words < 100 THEN 0.46 ELSE 0.40 END AS kept
+       NOT base_failed AND (coalesce(lang NOT IN (SELECT lang FROM docs), false) OR coalesce(near.d, 0) <= 0.25 AND coalesce(alike.d, 0) <= CASE WHEN n_words < 100 THEN 0.46 ELSE 0.40 END) AS kept
 FROM base LEFT JOIN near USING (k) LEFT JOIN alike USING (k)
 """
 

@@ -102,3 +102,12 @@ def test_languages_without_tags_share_the_pooled_reference(spark, corpus):
     good, junk, _, _ = corpus
     out = {r["doc_id"]: r for r in divergence.judge(spark.createDataFrame([(i, t, None, s, c) for i, t, _, s, c in good + junk], DOCS)).collect()}
     assert all(out[g[0]]["kept"] for g in good) and not any(out[j[0]]["kept"] for j in junk)
+
+
+def test_a_language_without_a_reference_is_not_held_against_others(spark, corpus):
+    """A few clean texts in other letters stay, tagged; the junk of the known language goes."""
+    good, junk, _, _ = corpus
+    rng = random.Random(6)
+    other = [(5000 + i, " ".join("".join(rng.choice("абвгдеклмн") for _ in range(rng.randint(2, 7))) for _ in range(150)), "bg", "s", None) for i in range(12)]
+    out = {r["doc_id"]: r for r in divergence.judge(spark.createDataFrame(good + junk + other, DOCS)).collect()}
+    assert all(out[o[0]]["kept"] and out[o[0]]["class_distance"] is None for o in other) and all(out[g[0]]["kept"] for g in good) and not any(out[j[0]]["kept"] for j in junk)
