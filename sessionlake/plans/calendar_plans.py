@@ -117,12 +117,12 @@ def A05_unreflected_counts(t: Tables):
     return news.unreflected_counts(rows)
 
 
-@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'att' WHEN '2-HIGH' THEN 'fin' ELSE 'rev' END AS feed, CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice END AS amount FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'att' WHEN '2-HIGH' THEN 'fin' ELSE 'rev' END AS feed, CASE WHEN o_orderpriority = '2-HIGH' THEN o_totalprice END AS amount FROM orders")
 def U03_union_feeds(t: Tables):
     orders = t.orders
     of = lambda p: orders.filter(F.col("o_orderpriority") == p)
     return news.union_feeds({
-        "att": of("1-URGENT").select("o_orderkey"), "fin": of("2-HIGH").select("o_orderkey", F.col("o_totalprice").alias("amount")), "rev": of("3-MEDIUM").select("o_orderkey"),
+        "att": of("1-URGENT").select("o_orderkey"), "fin": of("2-HIGH").select("o_orderkey", F.col("o_totalprice").alias("amount")), "rev": orders.filter(~F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey"),
     }).select("o_orderkey", "feed", "amount")
 
 

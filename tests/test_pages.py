@@ -108,3 +108,16 @@ def test_article_sections(spark):
     article = "一、目前沒有找到族群：\n2426.2851.5314.3441.\n\n二、目前有發現有族群：\n0\n\n《end"
     s = spark.range(1).select(text.group_sections(F.lit(article)).alias("s")).select(text.tokenize_list(F.col("s.not_found")).alias("a"), text.tokenize_list(F.col("s.found")).alias("b")).first()
     assert s.a == ["2426", "2851", "5314", "3441"] and s.b == []
+
+
+def test_odd_markup_stops_nothing_and_open_cells_end_where_the_next_begins():
+    from sessionlake.functions.html import _Page
+
+    for odd in ("<![foo[", "<![>", "<![foo[ x > y", "<!", "<![CDATA[ a", "<a <b>", "</", "<table><tr><td>"):
+        assert _Page(f"<p>one</p>{odd}").texts[0] == "one"
+    page = _Page("<![if x]><table><tr><th>h<tr><td>a<td>b<table><tr><td>in</table><td>c</table><ul><li>x<li>y<ul><li>z</ul></ul>")
+    rows = [[page.text(c) for c in range(r + 1, page.last[r] + 1) if page.tags[c] in ("td", "th") and page.parents[c] == r] for r in range(len(page.tags)) if page.tags[r] == "tr"]
+    assert rows == [["h"], ["a", "bin", "c"], ["in"]]
+    assert [page.text(n) for n, t in enumerate(page.tags) if t == "li"] == ["x", "yz", "z"]
+    many = _Page("<table><tr>" + "<td>cell" * 8000 + "</table>")
+    assert sum(len(many.text(n)) for n, t in enumerate(many.tags) if t == "td") == 8000 * 4
