@@ -58,16 +58,25 @@ def fmt_net_lots(shares: Column) -> Column:
 
 
 def fmt_broker_price(price: Column) -> Column:
-    """six significant digits without trailing zeros; with an exponent below 0.0001 and from a million up, as ``%g`` shows them."""
+    """six significant digits without trailing zeros; with an exponent below 0.0001 and from a million up, as ``%g`` shows them.
+
+    The number is formatted once, with an exponent; its digits are then moved as text.
+    Numbers too small for a full mantissa (below 2.3e-308) show only the digits that tell them apart.
+    """
     number = price.cast("double")
-    shown = lambda pattern: F.call_function("format_number", number, F.lit(pattern))  # noqa: E731 - exact binary value, half to even
-    parts = F.split(shown("0.#####E00"), "E")
-    power = F.get(parts, F.lit(1)).try_cast("int")
-    sign = F.when(power >= 0, "e+").otherwise("e")
-    out = F.when(number.isNull(), MISSING).when(F.isnan(number), "nan").when(number == float("inf"), "inf").when(number == float("-inf"), "-inf")
-    for n in range(-4, 6):  # the number of decimals depends on the size after rounding
-        out = out.when(power == n, shown("0." + "#" * (5 - n) if n < 5 else "0"))
-    return out.otherwise(F.concat(F.get(parts, F.lit(0)), sign, F.get(parts, F.lit(1))))
+    shown = F.call_function("format_number", number, F.lit("0.#####E00"))  # exact binary value, half to even
+    mantissa = F.substring_index(shown, "E", 1)
+    power = F.substring_index(shown, "E", -1).try_cast("int")  # none in what is no finite number
+    digits = F.regexp_replace(mantissa, "[-.]", "")
+    fraction = F.substring(digits, power + 2, F.lit(6))
+    body = (
+        F.when(power.isNull(), F.when(F.isnan(number), "nan").when(number.isNotNull(), "inf"))
+        .when(power.between(0, 5), F.concat(F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.when(fraction != "", F.lit(".")).otherwise(""), fraction))
+        .when(power.between(-4, -1), F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .otherwise(F.concat(F.ltrim(mantissa, F.lit("-")), F.when(power >= 0, "e+").otherwise("e"), F.substring_index(shown, "E", -1)))
+    )
+    # the sign stands apart, so that ``shown`` is needed twice whatever the size and is worked out once
+    return F.coalesce(F.concat(F.when(F.startswith(shown, F.lit("-")), "-").otherwise(""), body), F.lit(MISSING))
 
 
 def change(price: Column, previous: Column) -> Column:

@@ -12,6 +12,8 @@ from .numbering import number_rows
 
 DAYS_AHEAD = 14
 NOTE_LENGTH = 200
+#: Events in one segment of a date's agenda.
+SEGMENT_EVENTS = 1024
 
 
 def classify_events(events: DataFrame, terms=text.TERMS, dst: bool = False) -> DataFrame:
@@ -84,11 +86,32 @@ def filter_events(df: DataFrame, today: Column, quick: Sequence[str] = (), count
     return df.filter(keep)
 
 
+def _agenda_days(listed: DataFrame, today: Column, *more: str) -> DataFrame:
+    relative, weekday = dates.relative_day(F.col("date"), today).alias("relative"), dates.weekday_label(F.col("date")).alias("weekday")
+    return listed.select("date", *more, relative, weekday, (F.col("date") == today).alias("is_today"), F.transform("events", lambda e: e.dropFields("at")).alias("events"))
+
+
+def _agenda_order(keep: Sequence[str]) -> Column:
+    return F.struct(F.coalesce("time", F.lit("")).alias("at"), *keep)
+
+
 def agenda(events: DataFrame, today: Column, keep: Sequence[str] = ("time", "title")) -> DataFrame:
-    """One row per date: relative day, weekday, is_today and the ordered events (all-day first)."""
-    order = F.struct(F.coalesce("time", F.lit("")).alias("at"), *keep)
-    days = events.filter("date is not null").groupBy("date").agg(F.sort_array(F.collect_list(order)).alias("events"))
-    return days.select("date", dates.relative_day(F.col("date"), today).alias("relative"), dates.weekday_label(F.col("date")).alias("weekday"), (F.col("date") == today).alias("is_today"), F.transform("events", lambda e: e.dropFields("at")).alias("events"))
+    """One row per date: relative day, weekday, is_today and the ordered events (all-day first). ``agenda_segments`` bounds a row."""
+    listed = events.filter("date is not null").groupBy("date").agg(F.sort_array(F.collect_list(_agenda_order(keep))).alias("events"))
+    return _agenda_days(listed, today)
+
+
+def agenda_segments(events: DataFrame, today: Column, keep: Sequence[str] = ("time", "title"), most: int = SEGMENT_EVENTS) -> DataFrame:
+    """The agenda with each date's events in segments (from 0, in order) of at most ``most`` events.
+
+    Events are placed by ranges of one order over all dates, so a date that
+    holds many of them meets in no task and no row.
+    """
+    dated = events.filter("date is not null").select("date", _agenda_order(keep).alias("_event"))
+    placed = number_rows(dated, "date", "_event", name="_place")
+    starts = placed.groupBy(F.col("date").alias("_date")).agg(F.min("_place").alias("_start"))  # one row per date
+    cut = placed.join(starts, F.col("date") == F.col("_date")).withColumn("segment", F.expr(f"(_place - _start) div {int(most)}"))
+    return _agenda_days(cut.groupBy("date", "segment").agg(F.sort_array(F.collect_list("_event")).alias("events")), today, "segment")
 
 
 def calendar_grid(events: DataFrame, ranges: DataFrame) -> DataFrame:

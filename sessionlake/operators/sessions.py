@@ -8,6 +8,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Points in one segment of a polyline.
+SEGMENT_POINTS = 1024
+
 
 def ohlcv(ticks: DataFrame, keys: Sequence[str], at: str = "ts", price: str = "price", volume: str = "volume", tie: str = "tick_id") -> DataFrame:
     """First, highest, lowest and last price and summed volume per key.
@@ -79,18 +82,29 @@ def scale_series(points: DataFrame, keys: Sequence[str], at: str = "ts", tie: st
 
     x goes by the place among all points, y by the range of prices with the
     first point's previous close (zero and null do not count) and a margin of
-    8 %. Adds prev_y and is_rise.
+    8 %. Adds prev_y and is_rise. ``at`` is a time: points are ranked within
+    each minute of a series, and minutes are summed before they meet their
+    series, so no task holds a whole series.
     """
-    series = Window.partitionBy(*keys)
-    order = series.orderBy(at, tie)
+    minute = F.date_trunc("minute", F.col(at)).alias("_minute")
+    first, last = (lambda c, f=f: f(F.struct(c), F.struct(at, tie))[c] for f in (F.min_by, F.max_by))
+    minutes = points.groupBy(*[F.col(c).alias(f"_key_{c}") for c in keys], minute).agg(
+        F.count(F.lit(1)).alias("_count"), F.min("price").alias("_least"), F.max("price").alias("_most"), first("prev_close").alias("_first"), last("price").alias("_last")
+    )
+    series = Window.partitionBy(*[f"_key_{c}" for c in keys])  # a row per minute
+    order, whole = series.orderBy("_minute"), series.orderBy("_minute").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    facts = minutes.select(
+        *[f"_key_{c}" for c in keys], F.col("_minute").alias("_of"),
+        (F.sum("_count").over(order) - F.col("_count")).alias("_before"), F.sum("_count").over(series).alias("n"),
+        F.min("_least").over(series).alias("_least"), F.max("_most").over(series).alias("_most"), F.first("_first").over(whole).alias("_first"), F.last("_last").over(whole).alias("_last"),
+    )
+    inside = points.withColumn("_minute", minute).withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "_minute").orderBy(at, tie)) - 1)
     ranked = (
-        points.withColumn("i", F.row_number().over(order) - 1)
-        .withColumn("n", F.count(F.lit(1)).over(series))
-        .withColumn("_first", F.first("prev_close").over(order))
-        .withColumn("_last", F.last("price").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        inside.join(facts, [*[F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in keys], F.col("_minute").eqNullSafe(F.col("_of"))])
+        .withColumn("i", F.col("_before") + F.col("_place"))
         .withColumn("_prev", F.when(F.col("_first") != 0, F.col("_first")))
-        .withColumn("_lo", F.least(F.min("price").over(series), F.col("_prev")))
-        .withColumn("_hi", F.greatest(F.max("price").over(series), F.col("_prev")))
+        .withColumn("_lo", F.least("_least", "_prev"))
+        .withColumn("_hi", F.greatest("_most", "_prev"))
         .withColumn("_span", F.when(F.col("_hi") == F.col("_lo"), F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo")))
     )
 
@@ -107,10 +121,20 @@ def scale_series(points: DataFrame, keys: Sequence[str], at: str = "ts", tie: st
     )
 
 
-def series_polyline(scaled: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A10: "x,y x,y ..." per series, one decimal each, and the number of points."""
+def _polyline() -> list[Column]:
     one = lambda c: F.replace(F.format_number(c, 1), F.lit(","), F.lit(""))
     point = F.struct("i", F.concat(one("x"), F.lit(","), one("y")).alias("xy"))
-    return scaled.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(point)), lambda p: p["xy"]), " ").alias("polyline"), F.count(F.lit(1)).alias("n_dots"))
+    return [F.array_join(F.transform(F.sort_array(F.collect_list(point)), lambda p: p["xy"]), " ").alias("polyline"), F.count(F.lit(1)).alias("n_dots")]
 
 
+def series_polyline(scaled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A10: "x,y x,y ..." per series, one decimal each, and the number of points. A series is one row; ``polyline_segments`` bounds it."""
+    return scaled.groupBy(*keys).agg(*_polyline())
+
+
+def polyline_segments(scaled: DataFrame, keys: Sequence[str], most: int = SEGMENT_POINTS) -> DataFrame:
+    """A10: the polyline in segments (from 0, in order) of ``most`` places each, so no row or task holds more points than that.
+
+    Places without a price count too; a segment that has none is left out.
+    """
+    return scaled.groupBy(*keys, F.expr(f"i div {int(most)}").alias("segment")).agg(*_polyline())

@@ -47,12 +47,20 @@ def T02_sort_events(t: Tables):
     return number_rows(_events(t), *events.event_order(), name="place").select("event_id", "place")
 
 
+def _listed():
+    return F.array_join(F.transform("events", lambda e: F.concat(F.coalesce(e["time"], F.lit("-")), F.lit(" "), e["title"])), ";")
+
+
 @query(f"""WITH {_EVENTS} SELECT strftime(date, '%Y-%m-%d') AS date, CASE WHEN date = DATE '2024-01-10' THEN 'today' WHEN date = DATE '2024-01-11' THEN 'tomorrow' WHEN date <= DATE '2024-01-14' THEN 'this_week' ELSE 'next_week' END AS relative,
 date = DATE '2024-01-10' AS is_today, string_agg(coalesce(time, '-') || ' ' || title, ';' ORDER BY coalesce(time, ''), title) AS listed FROM e GROUP BY date""")
 def A07_agenda(t: Tables):
-    days = events.agenda(_events(t), F.lit(_TODAY))
-    listed = F.array_join(F.transform("events", lambda e: F.concat(F.coalesce(e["time"], F.lit("-")), F.lit(" "), e["title"])), ";")
-    return days.select("date", "relative", "is_today", listed.alias("listed"))
+    return events.agenda(_events(t), F.lit(_TODAY)).select("date", "relative", "is_today", _listed().alias("listed"))
+
+
+@query(f"""WITH {_EVENTS}, n AS (SELECT *, (row_number() OVER (PARTITION BY date ORDER BY coalesce(time, ''), title) - 1) // 50 AS segment FROM e)
+SELECT strftime(date, '%Y-%m-%d') AS date, segment, date = DATE '2024-01-10' AS is_today, string_agg(coalesce(time, '-') || ' ' || title, ';' ORDER BY coalesce(time, ''), title) AS listed FROM n GROUP BY date, segment""")
+def A07_agenda_segments(t: Tables):
+    return events.agenda_segments(_events(t), F.lit(_TODAY), most=50).select("date", "segment", "is_today", _listed().alias("listed"))
 
 
 @query("""WITH r AS (SELECT DISTINCT ts::DATE AS today, ts::DATE + 14 AS range_end FROM events),

@@ -229,6 +229,11 @@ def A10_series_polyline(t: Tables):
     return sessions.series_polyline(_scaled(t), ["symbol", "session_date"])
 
 
+@query(_SCALED + """SELECT symbol, strftime(session_date, '%Y-%m-%d') AS session_date, i // 64 AS segment, string_agg(format('{:.1f}', x) || ',' || format('{:.1f}', y), ' ' ORDER BY i) AS polyline, count(*) AS n_dots FROM x GROUP BY 1, 2, 3""")
+def A10_polyline_segments(t: Tables):
+    return sessions.polyline_segments(_scaled(t), ["symbol", "session_date"], most=64)
+
+
 @query("SELECT event_id AS tick_id, row_number() OVER (ORDER BY CASE WHEN event_id % 7 > 0 THEN ts END NULLS FIRST, event_id) - 1 AS place FROM events")
 def T03_sort_points(t: Tables):
     points = _ticks(t).withColumn("collected_at", F.when(F.col("tick_id") % 7 > 0, F.col("collected_at")))

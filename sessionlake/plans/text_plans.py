@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import html, numbers, text
+from ..functions import html, keywords, numbers, text
 from .base import Tables, query
 
 _WS = r"[\x20\x09-\x0D]"
@@ -43,6 +43,16 @@ def X03_table_after_heading(t: Tables):
     return html.table_after_heading(_part_pages(t), "html", "near list", html.NEAR_COLUMNS).drop("cells")
 
 
+@query("""SELECT p_partkey, 'near list' AS heading, 0 AS row_pos, p_brand AS first, 10 AS n_cells FROM part UNION ALL SELECT p_partkey, 'intro', 0, 'other', 1 FROM part
+UNION ALL SELECT p_partkey, 'far list', n, 'far ' || n || ' ' || p_name, 2 FROM part, (VALUES (0), (1)) r(n)""", row_pos="BIGINT", n_cells="BIGINT")
+def X03_tables_after_headings(t: Tables):
+    """Three lists of one page, from one parse."""
+    far = F.concat(F.lit("<h2>far list</h2><table><tr><td>far 0 "), "p_name", F.lit("<td>x<tr><td>far 1 "), "p_name", F.lit("<td>y</table>"))
+    pages = _part_pages(t).join(t.part.select("p_partkey", far.alias("far")), "p_partkey").select("p_partkey", F.concat("html", "far").alias("html"))
+    rows = html.tables_after_headings(pages, "html", {"near list": 6, "intro": 1, "far list": 2})
+    return rows.select("p_partkey", "heading", "row_pos", F.col("cells")[0]["text"].alias("first"), F.size("cells").alias("n_cells"))
+
+
 @query("SELECT p_partkey, 0 AS row_pos, p_brand AS market, p_name AS code FROM part", row_pos="BIGINT")
 def X04_first_table(t: Tables):
     page = F.concat(F.lit('<select id="date-picker"><option>2026/08/20</option></select><TABLE><tr><td>'), "p_brand", F.lit("</td><td>"), "p_name", F.lit("</td></tr></table>"))
@@ -84,6 +94,27 @@ def X08_labelled_quote(t: Tables):
     return read(markets, "markets").unionByName(read(world, "world")).select("o_orderkey", "q.*", "layout")
 
 
+_PLACED = "SELECT o_orderkey, k.n AS n, (o_custkey + 7 * k.n) % 30 AS label, o_orderkey * 10 + k.n + 0.25::DOUBLE AS value, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END * (k.n + 0.5::DOUBLE) AS change, strftime(o_orderdate, '%m/%d %H:%M') AS seen FROM orders, (VALUES (0), (1), (2)) k(n)"
+
+
+@query(f"""SELECT o_orderkey, n_nationkey AS key, 'Index ' || n_nationkey AS label, layout, value, change, 0.75::DOUBLE AS change_pct, CASE WHEN layout = 'world' THEN seen END AS updated
+FROM ({_PLACED}) p JOIN nation ON p.label = n_nationkey JOIN (VALUES ('markets', 0), ('world', 1)) l(layout, odd) ON p.n % 2 = odd""")
+def X08_labelled_quotes(t: Tables):
+    """Three of thirty labels on every page, two in one layout and one in the other; 25 of them are wanted."""
+    blocks = []
+    for n in range(3):
+        value = F.concat((F.col("o_orderkey") * 10 + n).cast("string"), F.lit(".25"))
+        diff = F.concat(F.when(F.col("o_custkey") % 2 == 0, "").otherwise("-"), F.lit(f"{n}.5"))
+        label = F.concat(F.lit("Index "), (F.col("o_custkey") + 7 * n) % 30)
+        markets = F.concat(label, F.lit("\n\n"), value, F.lit("\n"), diff, F.lit("\n(0.75%)\nmore\n"))
+        world = F.concat(F.lit("  "), label, F.lit(" \n^SYM\n"), value, F.lit("\n"), diff, F.lit("\n0.75%\n6,680.34\n"), F.date_format("o_orderdate", "MM/dd HH:mm"), F.lit("\n"))
+        blocks.append(world if n % 2 else markets)
+    pages = t.orders.select("o_orderkey", F.concat(F.lit("noise\n"), *blocks).alias("page"))
+    layouts = F.explode(F.array(*[F.lit(layout) for layout in html.QUOTE_LAYOUTS]))
+    targets = t.nation.select(F.col("n_nationkey").alias("key"), F.concat(F.lit("Index "), "n_nationkey").alias("label"), layouts.alias("layout"))
+    return html.labelled_quotes(pages, "page", targets, ["o_orderkey"])
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN -1 ELSE 1 END AS sign FROM part", sign="BIGINT")
 def X09_trend_sign(t: Tables):
     cls = F.when(F.col("p_size") % 3 == 0, "c-trend-down").when(F.col("p_size") % 3 == 1, "c-trend-up").otherwise("flat")
@@ -233,6 +264,19 @@ def K01_keyword_score(t: Tables):
     return t.documents.select("doc_id", text.keyword_score(F.col("text"), _SCORES).alias("score"))
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUV"
+#: Every word of three of these letters, 10,648 of them, in three rules by the first letter.
+_MANY_RULES = tuple((n + 1, f"from {part[0]}", tuple(a + b + c for a in part for b in _LETTERS for c in _LETTERS)) for n, part in enumerate((_LETTERS[:8], _LETTERS[8:16], _LETTERS[16:])))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT doc_id, substr(u, i, 3) AS w FROM (SELECT doc_id, u, unnest(range(1, length(u) - 1)) AS i FROM (SELECT doc_id, upper(replace(text, 'ß', 'ss')) AS u FROM documents))),
+h AS (SELECT doc_id, CASE WHEN w < 'I' THEN 1 WHEN w < 'Q' THEN 2 ELSE 3 END AS n FROM g WHERE regexp_full_match(w, '[A-V]{{3}}'))
+SELECT doc_id, coalesce(sum(n), 0)::BIGINT AS score, CASE min(n) WHEN 1 THEN 'from A' WHEN 2 THEN 'from I' WHEN 3 THEN 'from Q' ELSE 'other' END AS rule FROM documents LEFT JOIN h USING (doc_id) GROUP BY doc_id""")
+def K01_rule_hits(t: Tables):
+    """In upper case a sharp s is SS, as Unicode has it; the SQL says so itself."""
+    return t.documents.select("doc_id", keywords.rule_hits(F.col("text"), _MANY_RULES, "other").alias("hit")).select("doc_id", "hit.*")
+
+
 @query("SELECT doc_id, CASE WHEN contains(u, 'THE ') OR contains(u, ' AND ') THEN 'anglo' WHEN contains(u, 'ELLE') OR contains(u, 'AUX') THEN 'gallic' WHEN contains(u, 'LLA') OR contains(u, 'QUE') THEN 'hispanic' ELSE 'other' END AS category FROM (SELECT doc_id, upper(text) AS u FROM documents)")
 def K02_first_rule(t: Tables):
     return t.documents.select("doc_id", text.first_rule(F.col("text"), _CLASSES).alias("category"))
