@@ -140,9 +140,8 @@ def take_mix(docs: DataFrame, *, seed: int = 0, max_epochs: int = MAX_EPOCHS) ->
     cuts = materialize(
         plan.groupBy(F.col("source").alias("c_source")).agg(
             F.max("epochs").alias("c_epochs"),
-            F.max(F.when(F.col("rest") > 0, spot)).alias("c_spot"),
-            F.max_by("rest", F.when(F.col("rest") > 0, spot)).alias("c_rest"),
-        ),
+            F.max(F.when(F.col("rest") > 0, F.struct(spot.alias("spot"), "rest"))).alias("c_end"),  # of copies, the one that keeps most
+        ).select("c_source", "c_epochs", F.col("c_end.spot").alias("c_spot"), F.col("c_end.rest").alias("c_rest")),
         "mix-cuts",
     )
     if cuts.count() <= BROADCAST_SOURCES:

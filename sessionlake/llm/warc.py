@@ -63,12 +63,12 @@ def page_record(page_id, url: str | None, payload: bytes, refers_to, revisit: bo
     return _record("response", headers, http + payload)
 
 
-def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """Built from the samples; None where they are too few or too short for one."""
+def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """Built from the samples. Where they are too few or too short for entropy tables, their own last bytes are the dictionary."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=200, d=8)
     except zstandard.ZstdError:
-        return None
+        return zstandard.ZstdCompressionDict(b"".join(samples)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 class _Archive:
@@ -96,10 +96,9 @@ class _Archive:
 
     def _start(self) -> None:
         found = _dictionary(self.waiting)
-        if found:
-            content = found.as_bytes()
-            self.out.write(struct.pack("<II", _SKIPPABLE, len(content)) + content)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=found) if found else zstandard.ZstdCompressor(level=LEVEL)
+        content = found.as_bytes()
+        self.out.write(struct.pack("<II", _SKIPPABLE, len(content)) + content)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=found)
         self.out.write(self.compressor.compress(_record("warcinfo", {"WARC-Record-ID": "<urn:warcinfo>", "Content-Type": "application/warc-fields"}, b"software: sessionlake\r\n")))
         for record in self.waiting:
             self.out.write(self.compressor.compress(record))

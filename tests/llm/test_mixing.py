@@ -110,3 +110,10 @@ def test_one_row_repeated_and_one_id_on_many_texts(spark):
     copies = [r.rest for r in got if r.doc_id == 1]
     assert copies == sorted(copies, reverse=True) and sum(0 < x < 3 for x in copies) <= 1
     assert len({r.key for r in got if r.doc_id is None}) == 3000
+
+
+def test_a_mix_that_ends_in_repeated_rows_is_the_same_however_the_rows_lie(spark):
+    rows = [(1, "a b c d e f g", "x")] * 5 + [(2, "k l m", "y"), (3, "n o p q", "y")]
+    schema = "doc_id long, text string, source string"
+    runs = [sorted(map(tuple, mixing.take_mix(spark.createDataFrame(r, schema).repartition(n), seed=4).collect())) for r, n in ((rows, 1), (rows[::-1], 3), (rows, 7))]
+    assert runs[0] == runs[1] == runs[2] and runs[0]

@@ -49,16 +49,27 @@ def test_archives_have_a_dictionary_and_separate_frames(spark, pages, tmp_path):
     assert sum(r.records for r in written) == len(pages[0])
     files = glob.glob(f"{tmp_path}/w/*.warc.zst")
     assert len(files) == len(written) and not glob.glob(f"{tmp_path}/w/_*")
-    found = 0
     for name in files:
-        data = open(name, "rb").read()
-        if struct.unpack_from("<I", data)[0] == 0x184D2A5D:
-            found += 1
-            n = struct.unpack_from("<I", data, 4)[0]
-            dictionary = zstandard.ZstdCompressionDict(data[8 : 8 + n])
-            first = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj().decompress(data[8 + n :])
-            assert first.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and first.count(b"WARC/1.1") == 1
-    assert found
+        assert _starts_with_dictionary(name)
+
+
+def _starts_with_dictionary(name):
+    data = open(name, "rb").read()
+    n = struct.unpack_from("<I", data, 4)[0]
+    dictionary = zstandard.ZstdCompressionDict(data[8 : 8 + n])
+    first = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj().decompress(data[8 + n :])
+    return struct.unpack_from("<I", data)[0] == 0x184D2A5D and n >= 8 and first.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and first.count(b"WARC/1.1") == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_archives_of_few_records_have_a_dictionary_too(spark, tmp_path, n):
+    rows = [(i, "http://a.example/", "x" * i * 20_000 + str(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/few"
+    assert [r.records for r in warc.write_archives(df, folder).collect()] == [n]
+    assert all(map(_starts_with_dictionary, glob.glob(f"{tmp_path}/few/*.warc.zst")))
+    got = warc.read_archives(spark, folder).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got) == [(i, html) for i, _, html in rows]
 
 
 def test_damage_is_found(spark, pages):
