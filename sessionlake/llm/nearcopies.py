@@ -2,11 +2,11 @@
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word
 shingles is at least 0.8. That is far more than three bits of a fingerprint,
-so a text gets a fingerprint of eight words instead of one, from its distinct
+so a text gets a fingerprint of twelve words instead of one, from its distinct
 two-word shingles, of which an edit touches least. Each word is covered as in
 ``simhash``: two blocks of 31 bits, every block at its home anchor and at the
-fifteen others within covering radius plus one bit. Texts that meet at one of
-the sixteen homes, and differ in no more than 22 bits of another word, are
+others within covering radius plus one bit. Texts that meet at one of
+the 24 homes, and differ in no more than 22 bits of another word, are
 candidates. How many near copies meet is stated in ``meeting_chance``.
 
 Every candidate is decided by its exact similarity. Texts with one set of
