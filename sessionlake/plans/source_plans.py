@@ -78,9 +78,9 @@ def S05_read_ics(t: Tables):
         F.lit("BEGIN:VEVENT\r\nDTSTART:"), F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"), F.lit("\r\n"), fold, F.lit("\r\nDESCRIPTION:"),
         F.replace("props", F.lit(","), F.lit("\\,")), F.lit("\r\nRRULE:FREQ=DAILY\r\nEND:VEVENT\r\n"),
     )
-    # calendars of bounded size, many to a file: the reader takes whole files
+    # calendars, many to a file
     path = new_path(t.spark, "calendars")
-    t.events.select(lines.alias("value"), "event_id").repartition(8, "event_id").select("value").write.option("lineSep", "\r\n").text(path)
+    t.events.select(lines.alias("value"), "event_id").repartition("event_id").select("value").write.option("lineSep", "\r\n").text(path)
     return documents.read_ics(t.spark, path).select("dtstart", "all_day", "summary", "description", "rrule")
 
 
@@ -103,7 +103,7 @@ def S05_read_ics_zones(t: Tables):
         F.lit("EXDATE"), stamp(wall + F.make_dt_interval(days=F.lit(7))), alarm, F.lit("END:VEVENT\r\n"),
     )
     path = new_path(t.spark, "zoned-calendars")
-    t.events.select(lines.alias("value"), "event_id").repartition(8, "event_id").select("value").write.option("lineSep", "\r\n").text(path)
+    t.events.select(lines.alias("value"), "event_id").repartition("event_id").select("value").write.option("lineSep", "\r\n").text(path)
     return documents.read_ics(t.spark, path).select("uid", "dtstart", "starts", "zone", "all_day", "summary", "description", F.get("exdates", F.lit(0)).alias("excluded"))
 
 

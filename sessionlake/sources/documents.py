@@ -34,6 +34,7 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return items.select("title", "link", "pubDate", F.col("source._VALUE").alias("source"))
 
 
+_BEGIN = "BEGIN:VEVENT"
 # A property's parameters: names with values, which may be quoted.
 _PARAMETERS = r'((?:;[^=:;\n]+=(?:"[^"\n]*"|[^":;\n])*)*)'
 
@@ -81,10 +82,12 @@ def parse_ics(text: Column, zones: Mapping[str, str] = ZONE_NAMES) -> Column:
     recurrence_id are local times. Folded lines are joined. Components inside
     an event (alarms) are no part of it. A time with a Z is UTC, one with a
     TZID has that zone's rules (names beyond the zone database by ``zones``),
-    any other is local. Events without a uid get one from their text.
+    any other is local. Events without a uid get one from their text. One
+    that has no end before the next begins is none.
     """
     unfolded = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "\n[ \t]", "")
-    events = F.filter(F.regexp_extract_all(unfolded, F.lit(r"(?ims)^BEGIN:VEVENT[ \t]*\n(.*?)^END:VEVENT"), 1), lambda e: e != "")
+    begun = F.split(unfolded, r"(?im)^BEGIN:VEVENT[ \t]*\n")
+    events = F.filter(F.transform(F.slice(begun, 2, F.greatest(F.size(begun) - 1, F.lit(0))), lambda e: F.regexp_extract(e, r"(?ims)\A(.*?)^END:VEVENT", 1)), lambda e: e != "")
     own = F.transform(events, lambda e: F.regexp_replace(e, r"(?ims)^BEGIN:([A-Z0-9-]+)[ \t]*\n.*?^END:\1[ \t]*\n?", ""))
 
     def one(event: Column) -> Column:
@@ -101,9 +104,17 @@ def parse_ics(text: Column, zones: Mapping[str, str] = ZONE_NAMES) -> Column:
 
 
 def read_ics(spark: SparkSession, path: str) -> DataFrame:
-    """One row per event of the calendar files under ``path``."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.inline(parse_ics(F.col("value"))))
+    """One row per event of the calendar files under ``path``.
+
+    Files are cut before each line that begins an event, so a large one is
+    read by several tasks and none holds more of it than an event. Where the
+    lines end in a lone carriage return, or say ``begin:vevent`` in small
+    letters, the events up to the next cut are read together.
+    """
+    parts = spark.read.option("lineSep", f"\n{_BEGIN}").text(path)
+    # the cut takes these words away, but for those at the beginning of a file
+    event = F.when(F.startswith("value", F.lit(_BEGIN)), F.col("value")).otherwise(F.concat(F.lit(_BEGIN), "value"))
+    return parts.select(F.inline(parse_ics(event)))
 
 
 def parse_article(text: Column) -> Column:

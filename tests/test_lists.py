@@ -57,3 +57,23 @@ def test_pages_and_calendars_are_read_as_files(spark, tmp_path):
     (tmp_path / "c.ics").write_text("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nDTSTART;VALUE=DATE:20260820\r\nSUMMARY:long\r\n  line\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART:20260820T010000Z\r\nEND:VEVENT\r\nEND:VCALENDAR")
     rows = documents.read_ics(spark, f"{tmp_path}/*.ics").collect()
     assert sorted((r.all_day, str(r.dtstart), r.summary) for r in rows) == [(False, "2026-08-20 09:00:00", None), (True, "2026-08-20 00:00:00", "long line")]
+
+
+def test_a_calendar_is_read_event_by_event(spark, tmp_path):
+    """Small splits of one file: each task reads the events that begin in its part, none twice, and no whole file."""
+    event = "BEGIN:VEVENT\r\nUID:e-{0}\r\nDTSTART:20260820T010000Z\r\nDESCRIPTION:BEGIN:VEVENT in a\r\n  text\r\nEND:VEVENT\r\n"
+    events = [event.format(i) for i in range(400)]
+    events[7] = events[7].replace("BEGIN:VEVENT\r", "begin:vevent\r").replace("END:VEVENT\r", "end:vevent\r")
+    events[9] = events[9].replace("END:VEVENT\r\n", "")  # has no end
+    (tmp_path / "a.ics").write_text("BEGIN:VCALENDAR\r\n" + "".join(events[:200]) + "END:VCALENDAR\r\n", newline="")
+    (tmp_path / "b.ics").write_text("".join(events[200:]).replace("\r\n", "\n") + "BEGIN:VEVENT\nUID:cut off", newline="")
+    (tmp_path / "c.ics").write_text("")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        read = documents.read_ics(spark, str(tmp_path)).select("uid", "summary", "description", F.spark_partition_id().alias("task"))
+        rows = read.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted(r.uid for r in rows) == sorted(f"e-{i}" for i in range(400) if i != 9)
+    assert {r.description for r in rows} == {"BEGIN:VEVENT in a text"} and len({r.task for r in rows}) > 3
