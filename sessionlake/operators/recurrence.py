@@ -51,10 +51,12 @@ def read_rules(df: DataFrame, rule: str = "rrule", at: str = "dtstart") -> DataF
 
     Of repeated parts the first counts. A rule that cannot be read (no known
     FREQ, an INTERVAL or COUNT that is no positive number, an UNTIL that is no
-    time) is none: the event occurs once.
+    time) is none: the event occurs once. Each text is read once, however
+    many events share it; only what depends on a start is left to the rows.
     """
-    parts = F.filter(F.split(F.upper(F.coalesce(rule, F.lit(""))), ";"), lambda p: F.trim(p) != "")
-    read = _step(df, _parts=parts)
+    text = F.coalesce(rule, F.lit(""))
+    parts = F.filter(F.split(F.upper("_rule_text"), ";"), lambda p: F.trim(p) != "")
+    read = _step(df.select(text.alias("_rule_text")).distinct(), _parts=parts)
     given = lambda name: F.substring_index(F.get(F.filter("_parts", lambda p: F.startswith(p, F.lit(name + "="))), F.lit(0)), "=", -1)
     read = _step(read, _names=F.transform("_parts", lambda p: F.substring_index(p, "=", 1)), **{f"_raw_{name}": given(name) for name in (*_PLAIN, *_PICKS)})
 
@@ -84,9 +86,12 @@ def read_rules(df: DataFrame, rule: str = "rrule", at: str = "dtstart") -> DataF
     for raw, found in (("_raw_BYDAY", "_days"), ("_raw_BYMONTHDAY", "_month_days"), ("_raw_BYMONTH", "_in_months"), ("_raw_BYSETPOS", "_positions")):
         known = known & (F.col(raw).isNull() | F.col(found).isNotNull())
     only = lambda allowed: F.size(F.array_except("_names", F.array(*[F.lit(x) for x in allowed]))) == 0
-    skips = F.col("_month_step").isNotNull() & (F.dayofmonth(at) > 28) & F.col("_count").isNotNull()  # months without the day do not count
     by_days = only((*_PLAIN, *_PICKS)) & known & F.col("_raw_FREQ").isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY") & (F.size("_names") == F.size(F.array_distinct("_names")))
-    kind = F.when(~readable, "once").when(only(_PLAIN) & ~skips, "plain").when(by_days, "days").otherwise("general")
+    read = read.select("*", readable.alias("_readable"), only(_PLAIN).alias("_is_plain"), by_days.alias("_by_days"))
+
+    read = df.join(read, text == F.col("_rule_text"))
+    skips = F.col("_month_step").isNotNull() & (F.dayofmonth(at) > 28) & F.col("_count").isNotNull()  # months without the day do not count
+    kind = F.when(~F.col("_readable"), "once").when(F.col("_is_plain") & ~skips, "plain").when(F.col("_by_days"), "days").otherwise("general")
 
     # what a rule leaves open it takes from its start
     yearly, no_months = F.col("_raw_FREQ") == "YEARLY", F.col("_raw_BYMONTH").isNull()

@@ -163,3 +163,17 @@ def test_every_zone_is_known_to_spark(spark):
     zones = spark.createDataFrame([(z,) for z in sorted(documents.ZONES | set(documents.ZONE_NAMES.values()))], "z string")
     noon = F.lit(datetime(2024, 7, 1, 12)).cast("timestamp_ntz")
     assert zones.select(F.convert_timezone("z", F.lit("UTC"), noon).alias("t")).filter("t is not null").count() == zones.count()
+
+
+def test_a_rule_that_many_events_share_is_read_once(spark):
+    """What depends on the start stays with the event."""
+    starts = [datetime(2024, 1, d, 9) for d in (5, 30, 31)]
+    rules = ["FREQ=MONTHLY;COUNT=3", "FREQ=WEEKLY", "FREQ=YEARLY;BYMONTHDAY=7", "", None]
+    rows = spark.createDataFrame([(n, starts[n % 3], rules[n // 3 % 5]) for n in range(300)], "n int, dtstart timestamp_ntz, rrule string")
+    read = recurrence.read_rules(rows)
+    assert read.count() == 300
+    kinds = {(r.rrule, r.dtstart.day): r._kind for r in read.collect()}
+    assert kinds["FREQ=MONTHLY;COUNT=3", 5] == "plain" and kinds["FREQ=MONTHLY;COUNT=3", 30] == "days" and kinds[None, 31] == kinds["", 31] == "once"
+    assert {r._month_days[0] for r in read.filter("rrule = 'FREQ=MONTHLY;COUNT=3'").collect()} == {5, 30, 31}
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Generate") < plan.index("Aggregate")  # all reading stands above the distinct texts, none above the events
