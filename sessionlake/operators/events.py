@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
 from .numbering import number_rows
+from .recurrence import step
 
 DAYS_AHEAD = 14
 NOTE_LENGTH = 200
@@ -19,14 +20,16 @@ SEGMENT_EVENTS = 1024
 def classify_events(events: DataFrame, terms=text.TERMS, dst: bool = False) -> DataFrame:
     """Date, time, all_day, summary and description to the full event record; blank summaries are dropped."""
     strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-    base = events.withColumn("title", text.replace_terms(strip(F.col("summary")), terms)).filter("title != ''")
-    base = base.withColumn("_link", text.extract_link(text.replace_terms(strip(F.col("description")), terms)))
-    body = F.concat_ws(" ", "title", "_link.rest")
-    base = base.withColumns({
-        "_country": text.country_of(F.col("title"), body), "category": text.first_rule(body), "importance": text.importance_of(body),
-        "_values": text.labelled_values(F.col("_link.rest")),
-    })
-    base = base.withColumn("_times", dates.event_times(F.col("date"), F.when(~F.col("all_day"), F.col("time")), F.col("_country.country"), dst))
+    # each step is worked out once for a row: the next ones use it dozens of times
+    base = events.select("date", "time", "all_day", "summary", "description")
+    base = step(base, title=text.replace_terms(strip(F.col("summary")), terms), _described=text.replace_terms(strip(F.col("description")), terms)).filter("title != ''")
+    base = step(base, _link=text.extract_link(F.col("_described")))
+    base = step(base, _upper=F.upper(F.concat_ws(" ", "title", "_link.rest")))
+    base = step(
+        base, _country=text.country_of(F.col("title"), F.col("_upper"), is_upper=True), category=text.first_rule(F.col("_upper"), is_upper=True),
+        importance=text.importance_of(F.col("_upper"), is_upper=True), _values=text.labelled_values(F.col("_link.rest")),
+    )
+    base = step(base, _times=dates.event_times(F.col("date"), F.when(~F.col("all_day"), F.col("time")), F.col("_country.country"), dst))
     note = F.nullif(F.substring("_link.rest", 1, NOTE_LENGTH), F.lit(""))
     return base.select(
         "date", "time", "all_day", "title", note.alias("description"), note.alias("note"), F.col("_link.link").alias("source_url"),

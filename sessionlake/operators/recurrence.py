@@ -41,7 +41,7 @@ def _numbers(text: Column, least: int, most: int) -> Column:
     return F.when(good, found)
 
 
-def _step(df: DataFrame, **columns: Column) -> DataFrame:
+def step(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns that later steps use again and again: behind a generator each is worked out once."""
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
@@ -56,9 +56,9 @@ def read_rules(df: DataFrame, rule: str = "rrule", at: str = "dtstart") -> DataF
     """
     text = F.coalesce(rule, F.lit(""))
     parts = F.filter(F.split(F.upper("_rule_text"), ";"), lambda p: F.trim(p) != "")
-    read = _step(df.select(text.alias("_rule_text")).distinct(), _parts=parts)
+    read = step(df.select(text.alias("_rule_text")).distinct(), _parts=parts)
     given = lambda name: F.substring_index(F.get(F.filter("_parts", lambda p: F.startswith(p, F.lit(name + "="))), F.lit(0)), "=", -1)
-    read = _step(read, _names=F.transform("_parts", lambda p: F.substring_index(p, "=", 1)), **{f"_raw_{name}": given(name) for name in (*_PLAIN, *_PICKS)})
+    read = step(read, _names=F.transform("_parts", lambda p: F.substring_index(p, "=", 1)), **{f"_raw_{name}": given(name) for name in (*_PLAIN, *_PICKS)})
 
     lookup = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("_raw_FREQ")].cast("long")
     ends = F.coalesce(*[F.try_to_timestamp(F.regexp_replace("_raw_UNTIL", "Z$", ""), F.lit(form)) for form in ("yyyyMMdd'T'HHmmss", "yyyyMMdd")]).cast("timestamp_ntz")
@@ -70,7 +70,7 @@ def read_rules(df: DataFrame, rule: str = "rrule", at: str = "dtstart") -> DataF
             F.nullif(F.array_position(weekdays, F.regexp_extract(x, r"^(?:[+-]?[1-9]\d?)?([A-Z]{2})$", 1)).cast("int"), F.lit(0)).alias("day"),
         ),
     )
-    read = _step(
+    read = step(
         read, _every=F.when(F.col("_raw_INTERVAL").isNull(), 1).otherwise(F.col("_raw_INTERVAL").try_cast("long")), _unit=lookup(_SECONDS), _month_unit=lookup(_MONTHS), _until=ends, _count=F.col("_raw_COUNT").try_cast("long"),
         _found_days=days, _month_days=_numbers(F.col("_raw_BYMONTHDAY"), -31, 31), _in_months=_numbers(F.col("_raw_BYMONTH"), 1, 12), _positions=_numbers(F.col("_raw_BYSETPOS"), -366, 366),
         _week=F.nullif(F.array_position(weekdays, F.coalesce("_raw_WKST", F.lit("MO"))).cast("int"), F.lit(0)), _numbered=F.size(F.filter(days, lambda d: d["n"] != 0)),
@@ -79,7 +79,7 @@ def read_rules(df: DataFrame, rule: str = "rrule", at: str = "dtstart") -> DataF
     seconds = F.least(F.try_multiply("_unit", "_every"), F.lit(_LONGEST_DAYS * 86_400))
     months = F.least(F.try_multiply("_month_unit", "_every"), F.lit(_LONGEST_DAYS // 30))
     whole_list = F.forall("_found_days", lambda d: d["day"].isNotNull()) & ((F.col("_numbered") == 0) | (F.col("_numbered") == F.size("_found_days")) | F.col("_unit").isNotNull())
-    read = _step(read, _second_step=F.when(F.col("_unit").isNotNull(), seconds), _month_step=F.when(F.col("_month_unit").isNotNull(), months), _days=F.when(whole_list, F.col("_found_days")))
+    read = step(read, _second_step=F.when(F.col("_unit").isNotNull(), seconds), _month_step=F.when(F.col("_month_unit").isNotNull(), months), _days=F.when(whole_list, F.col("_found_days")))
     readable = (F.col("_every") > 0) & (F.col("_second_step").isNotNull() | F.col("_month_step").isNotNull()) & (F.col("_raw_UNTIL").isNull() | F.col("_until").isNotNull())
     readable = F.coalesce(readable & (F.col("_raw_COUNT").isNull() | (F.col("_count") > 0)), F.lit(False))
     known = F.col("_week").isNotNull()
@@ -151,12 +151,12 @@ def _picked_days(rows: DataFrame, low: Column, high: Column, at: str) -> DataFra
         months = (F.year(day) - F.year("_base")) * 12 + F.month(day) - F.month("_base")
         return F.floor(F.when(by_month, months / F.col("_months")).otherwise(F.datediff(day, F.col("_base")) / day_step)).cast("int")
 
-    made = _step(rows, _base=base, _start=start)
+    made = step(rows, _base=base, _start=start)
     first = F.when(counted, 0).otherwise(F.greatest(F.lit(0), period_of(F.to_date(low)) - 1))
     last = period_of(F.to_date(F.least(high, F.col("_until"))))
-    made = _step(made, _first=first.cast("int"), _last=last).filter("_last >= _first")
+    made = step(made, _first=first.cast("int"), _last=last).filter("_last >= _first")
     made = made.withColumn("_block", F.explode(F.when(counted, F.array(F.lit(0))).otherwise(F.expr(f"sequence(_first div {_PERIODS}, _last div {_PERIODS})").cast("array<int>"))))
-    made = _step(
+    made = step(
         made, _low=F.when(counted, F.col("_first")).otherwise(F.greatest("_first", F.col("_block") * _PERIODS)),
         _high=F.when(counted, F.col("_last")).otherwise(F.least("_last", F.col("_block") * _PERIODS + _PERIODS - 1)),
     )

@@ -77,3 +77,13 @@ def test_a_calendar_is_read_event_by_event(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert sorted(r.uid for r in rows) == sorted(f"e-{i}" for i in range(400) if i != 9)
     assert {r.description for r in rows} == {"BEGIN:VEVENT in a text"} and len({r.task for r in rows}) > 3
+
+
+def test_an_event_is_worked_out_step_by_step(spark):
+    """Each step stands behind a generator, so its text is not worked out again by the next; input columns named like results do not matter."""
+    rows = [(date(2026, 8, 20), "09:30", False, " 美国 CPI ", "预期: 1%, 前值: 2%\nMM图表连结: https://example.com/a", "kept out"), (None, None, True, " ", "blank", None)]
+    made = events.classify_events(spark.createDataFrame(rows, "date date, time string, all_day boolean, summary string, description string, category string"))
+    (row,) = made.collect()
+    assert (row.title, row.country, row.category, row.importance, row.forecast, row.previous, row.source_url) == ("美國 CPI", "US", "macro", 3, "1%", "2%", "https://example.com/a")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("replace(") - plan.count("regexp_replace(") <= 2 * len(text.TERMS) and plan.count("Generate") >= 4
