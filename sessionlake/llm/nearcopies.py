@@ -6,16 +6,18 @@ so a text gets a fingerprint of twelve words instead of one, from its distinct
 two-word shingles, of which an edit touches least. Each word is covered as in
 ``simhash``: two blocks of 31 bits, every block at its home anchor and at the
 others within covering radius plus one bit. Texts that meet at one of
-the 24 homes, and differ in no more than 22 bits of another word, are
+the 24 homes, and whose sizes and whole fingerprints allow it, are
 candidates. How many near copies meet is stated in ``meeting_chance``.
 
 Every candidate is decided by its exact similarity. Texts with one set of
-shingles are one node, so exact copies make no pairs. At each anchor all texts
-are compared with one resident, the one with most company in all, which is
-what a group of copies was made from if that is there. What these links leave
-in different components is grouped by anchors, sizes and whole fingerprints,
-and every two texts of a group are compared inside a task: links leave it,
-pairs do not.
+shingles are one node, so exact copies make no pairs. Candidates are grouped
+twice: first texts with a common home, 24 rows a text, then those that
+meet at an anchor from different groups. So the anchors that a large group of
+copies has for itself carry no rows on. Inside a group each text is compared
+with the resident of its homes with most company in all, which is what a group
+of copies was made from if that is there; where this leaves more than one
+component, every two texts of the group are compared inside a task: links
+leave it, pairs do not.
 """
 
 from __future__ import annotations
@@ -34,13 +36,13 @@ from ..scratch import materialize
 from . import bitmap
 from .batches import of_texts
 from .components import connected_components
-from .simhash import keep_first, replicate, row_keys, shingle_hashes
+from .simhash import keep_first, replicate, residents, row_keys, shingle_hashes
 
 SHINGLE = 5
 #: Similarity from which two texts are near copies, as a fraction of whole numbers.
 ALIKE, OF = 4, 5
-#: Words of a wide fingerprint, its shingles, and differing bits of one word up to which two texts are compared.
-PRINT_WORDS, PRINT_SHINGLE, CHECK_BITS = 12, 2, 22
+#: Words of a wide fingerprint, and its shingles.
+PRINT_WORDS, PRINT_SHINGLE = 12, 2
 #: Shingles of the texts that are compared in one task at once.
 BLOCK_SHINGLES = 200_000
 #: Rows of one anchor that one task compares; anchors with more are cut into a grid.
@@ -113,14 +115,14 @@ def _decide(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     return pairs.loc[np.array(kept, dtype=bool), ["a", "b"]]
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose sets are similar enough.
+def _alike(pairs: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b), both of one of ``groups`` (node, root), those whose sets are similar enough.
 
-    The sets of texts that pairs connect meet in one group, each once, however
+    The sets of a group that pairs connect meet in one task, each once, however
     many pairs it is in; of more than BLOCK_SHINGLES in all the pairs are dealt
     to a grid of blocks, and a set goes to the blocks that ask for it.
     """
-    joined = connected_components(pairs).join(sets.select("node", F.size("shingles").alias("size")), "node")
+    joined = groups.join(sets.select("node", F.size("shingles").alias("size")), "node")
     blocks = joined.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     places = materialize(joined.join(blocks, "root").select("node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "near-places")
     one, other = (places.select(F.col("node").alias(end), *((["root"]) if end == "a" else []), F.col("block").alias(f"of_{end}")) for end in ("a", "b"))
@@ -177,10 +179,10 @@ def _tie_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.concatenate(out_a or [none]), "b": np.concatenate(out_b or [none])})
 
 
-def _candidates(rest: DataFrame) -> DataFrame:
+def _candidates(rest: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between texts that share an anchor, one of them at home there, and could be alike; fewer than rows.
 
-    Rows (anchor, node, home, size, prints). An anchor with more than
+    Rows (anchor, node, home); ``nodes`` has size and prints. An anchor with more than
     CELL_ROWS rows is cut into a grid: a row goes to one column of every line
     and, at home, to every column of one line.
     """
@@ -188,7 +190,7 @@ def _candidates(rest: DataFrame) -> DataFrame:
     many = materialize(many.filter("residents > 0").select("anchor", "parts"), "near-anchors")
     dealt = rest.join(many, "anchor").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) AS i, greatest(x, part) AS j))")
-    dealt = dealt.withColumn("cell", F.explode(cells)).select("anchor", "cell.*", "node", "home", "size", "prints")
+    dealt = dealt.withColumn("cell", F.explode(cells)).select("anchor", "cell.*", "node", "home").join(nodes.select("node", "size", "prints"), "node")
     number = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(number, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "node").mapInPandas(_tie_cells, "a long, b long")
 
@@ -241,6 +243,26 @@ def _alike_in_groups(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(sets, "node").groupBy("root", "i", "j").applyInPandas(_decide_cell, "a long, b long")
 
 
+def _groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, root) of all candidates, (anchor, node) of the homes that texts share, and edges (a, b) of those that meet elsewhere only.
+
+    Most of a large group of copies is joined at its homes. An anchor that
+    only one group comes to adds nothing to it and goes before anything is
+    joined to its rows.
+    """
+    homes = materialize(residents(nodes), "near-homes")
+    shared = homes.groupBy("anchor").count().filter("count > 1").select("anchor")
+    lived = materialize(homes.join(shared, "anchor", "left_semi"), "near-lived")
+    at_home = materialize(_candidates(lived.withColumn("home", F.lit(True)), nodes), "near-at-home")
+    first = connected_components(at_home)
+    known = nodes.join(first, "node", "left").select("node", "prints", F.coalesce("root", "node").alias("group"))
+    cells = materialize(replicate(known, also=("group",)), "near-cells")
+    split = cells.groupBy("anchor").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.max("home").alias("lived")).filter("lived and x != y").select("anchor")
+    met = materialize(cells.join(split, "anchor", "left_semi").select("anchor", "node", "home"), "near-met")
+    across = materialize(_candidates(met, nodes), "near-across")
+    return connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across)), lived, across
+
+
 def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
     """k_row, k_text and root for every row of ``keyed`` (``k_row``, ``k_text``, ``text``).
 
@@ -254,35 +276,28 @@ def near_copies(keyed: DataFrame, *, width: int = SHINGLE) -> DataFrame:
         "near-prints",
     )
     nodes = materialize(prints.filter(F.size("prints") > 0).groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints")), "near-nodes")
-    cells = materialize(replicate(nodes), "near-cells")
-    company = cells.groupBy("anchor").agg(F.count("*").alias("texts"), F.max("home").alias("lived")).filter("lived and texts > 1").select("anchor", "texts")
-    met = materialize(cells.join(company, "anchor"), "near-met")
-    weights = met.filter("home").groupBy("node").agg(F.sum("texts").alias("weight"))
-    first = met.filter("home").join(weights, "node").groupBy("anchor").agg(F.max_by(F.struct("node", "check"), F.struct("weight", "node")).alias("first"))
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= CHECK_BITS
-    stars = met.join(first, "anchor").filter((F.col("node") != F.col("first.node")) & near("check", "first.check"))
-    stars = materialize(stars.select(F.col("node").alias("a"), F.col("first.node").alias("b")).distinct(), "near-stars")
+    groups, lived, across = _groups(nodes)
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([np.sort(shingle_set(t, width).view(np.int64)) for t in texts])
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """node and shingles of all texts in ``pairs``; only their texts are shuffled."""
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = materialize(prints.join(ends, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_row", "k_text")).alias("k")).select("node", "k.*"), "near-wanted")
-        texts = bitmap.semi_join(keyed.select("k_row", "k_text", "text"), wanted, ["k_row", "k_text"]).dropDuplicates(["k_row", "k_text"]).join(wanted, ["k_row", "k_text"])
-        return materialize(texts.select("node", shingles("text").alias("shingles")), "near-sets")
-
-    links = materialize(_alike(stars, sets_of(stars)), "near-links")
+    # only the texts of groups are shuffled
+    wanted = materialize(prints.join(groups, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k_row", "k_text")).alias("k")).select("node", "k.*"), "near-wanted")
+    texts = bitmap.semi_join(keyed.select("k_row", "k_text", "text"), wanted, ["k_row", "k_text"]).dropDuplicates(["k_row", "k_text"]).join(wanted, ["k_row", "k_text"])
+    sets = materialize(texts.select("node", shingles("text").alias("shingles")), "near-sets")
+
+    # one resident for each text, of all its homes
+    here = materialize(lived.join(groups, "node"), "near-here")
+    company = here.groupBy("anchor", "root").agg(F.count("*").alias("texts")).filter("texts > 1")
+    weights = here.join(company, ["anchor", "root"]).groupBy("node").agg(F.sum("texts").alias("weight"))
+    first = here.join(weights, "node").groupBy("anchor", "root").agg(F.max(F.struct("weight", "node")).alias("first"))
+    stars = here.join(first, ["anchor", "root"]).groupBy(F.col("node").alias("a")).agg(F.max("first").alias("first"))
+    stars = stars.select("a", F.col("first.node").alias("b")).unionByName(across).filter("a != b").distinct()
+    links = materialize(_alike(stars, groups, sets), "near-links")
     roots = connected_components(links).withColumnRenamed("root", "top")
-    left = met.join(roots, "node", "left").withColumn("top", F.coalesce("top", "node"))
-    split = left.groupBy("anchor").agg(F.min("top").alias("x"), F.max("top").alias("y")).filter("x != y").select("anchor")
-    rest = left.join(split, "anchor", "left_semi").join(first, "anchor").filter("node != first.node").select("anchor", "node", "home", "top")
-    groups = connected_components(_candidates(materialize(rest.join(nodes, "node"), "near-rest")))
-    grouped = materialize(groups.join(left.groupBy("node").agg(F.first("top").alias("top")), "node").join(nodes.select("node", "size"), "node"), "near-grouped")
-    more = _alike_in_groups(grouped, sets_of(grouped.select(F.col("node").alias("a"), F.col("node").alias("b"))))
-    roots = connected_components(links.unionByName(more))
+    grouped = materialize(groups.join(roots, "node", "left").join(nodes.select("node", "size"), "node").select("node", "root", F.coalesce("top", "node").alias("top"), "size"), "near-grouped")
+    roots = connected_components(links.unionByName(_alike_in_groups(grouped, sets)))
     return prints.join(roots, "node", "left").select("k_row", "k_text", F.coalesce("root", "node").alias("root"))
 
 

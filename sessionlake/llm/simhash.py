@@ -14,7 +14,7 @@ what an anchor hands on is not the pairs but edges with the same components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -114,8 +114,20 @@ def _as_words(batch: pd.DataFrame) -> np.ndarray:
     return np.array(batch["prints"].tolist(), dtype=np.int64).reshape(len(batch), -1)
 
 
-def replicate(prints: DataFrame, bits: int = bitmap.BITS) -> DataFrame:
-    """(anchor, node, check, home) of each ``node`` at its anchors, for ``prints`` (node long, prints array of longs).
+def residents(prints: DataFrame) -> DataFrame:
+    """(anchor, node) of each ``node`` at the homes of its blocks, for ``prints`` as in ``replicate``."""
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            node = batch["node"].to_numpy(dtype=np.int64)
+            for rows, keys, home, _ in _places(_as_words(batch)):
+                yield pd.DataFrame({"anchor": keys[home], "node": node[rows[home]]})
+
+    return prints.select("node", "prints").mapInPandas(deal, "anchor long, node long")
+
+
+def replicate(prints: DataFrame, bits: int = bitmap.BITS, also: Sequence[str] = ()) -> DataFrame:
+    """(anchor, node, check, home) of each ``node`` at its anchors, for ``prints`` (node long, prints array of longs); long columns ``also`` go with the node.
 
     Visits to anchors that are no one's home find nothing. A bitmap of all
     homes drops them before they are shuffled, as far as its fixed size goes.
@@ -133,9 +145,9 @@ def replicate(prints: DataFrame, bits: int = bitmap.BITS) -> DataFrame:
             for rows, keys, home, check in _places(_as_words(batch)):
                 keep = home | bitmap.is_set(marks.value, _slots(keys))
                 rows = rows[keep]
-                yield pd.DataFrame({"anchor": keys[keep], "node": node[rows], "check": check[rows], "home": home[keep]})
+                yield pd.DataFrame({"anchor": keys[keep], "node": node[rows], "check": check[rows], "home": home[keep], **{c: batch[c].to_numpy(dtype=np.int64)[rows] for c in also}})
 
-    return prints.select("node", "prints").mapInPandas(deal, "anchor long, node long, check long, home boolean")
+    return prints.select("node", "prints", *also).mapInPandas(deal, ", ".join(["anchor long, node long, check long, home boolean", *[f"{c} long" for c in also]]))
 
 
 def _links(fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:

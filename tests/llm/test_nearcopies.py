@@ -159,3 +159,22 @@ def test_cells_join_what_is_alike_and_nothing_else():
     assert components(zip(found["a"], found["b"])) == components(every) and len(found) < len(sets) <= len(every)
     across = nearcopies._decide_cell(rows.assign(j=1))
     assert components(zip(across["a"], across["b"])) == components([(a, b) for a, b in every if a % 2 != b % 2])
+
+
+def test_a_large_group_carries_few_rows_and_pairs(spark, monkeypatch):
+    """Most anchors of a crowd of near copies have only that crowd: they go before the joins, and a text is decided against few others."""
+    rng = random.Random(5)
+    base = prose(rng, 120)
+    texts = list(dict.fromkeys(edited(rng, base, rng.randint(1, 4)) for _ in range(250)))
+    texts += [prose(rng, 100) for _ in range(50)]
+    written, write = defaultdict(int), nearcopies.materialize
+
+    def counted(df, label, *partition_by):
+        out = write(df, label, *partition_by)
+        written[label] += out.count()
+        return out
+
+    monkeypatch.setattr(nearcopies, "materialize", counted)
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == sorted(set(plain_groups(texts)))
+    assert written["near-met"] <= 40 * len(texts) and written["near-dealt"] <= 12 * len(texts)
