@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,10 +235,18 @@ def expand_recurrence(df: DataFrame, start: str, end: str, at: str = "dtstart",
     return plain.unionByName(days).unionByName(_by_library(read.filter("_kind = 'general'").select(*df.columns), start, end, at, rule, schema))
 
 
-def without(occurrences: DataFrame, excluded: DataFrame, series: str = "uid") -> DataFrame:
-    """Occurrences that are not among ``excluded`` (series, occurs); both columns are the key, so a long series is spread."""
-    keys = excluded.select(F.col(series).alias("_series"), F.col("occurs").alias("_occurs")).distinct()
-    return occurrences.join(keys, (F.col(series) == F.col("_series")) & (F.col("occurs") == F.col("_occurs")), "left_anti")
+def standing(by_rule: DataFrame, added: DataFrame, gone: DataFrame, series: str = "uid") -> DataFrame:
+    """Occurrences ``by_rule``, and of those ``added`` the ones no rule hits itself, less what is ``gone`` (series, occurs).
+
+    All three meet once, by (series, occurs), so a long series is spread. Rows
+    without a series stay as they are.
+    """
+    keys = gone.filter(F.col(series).isNotNull()).select(series, "occurs").distinct()
+    ranked = [df.withColumn("_rank", F.lit(n)) for n, df in enumerate((keys, by_rule, added))]
+    rows = ranked[1].unionByName(ranked[2]).unionByName(ranked[0], allowMissingColumns=True)
+    apart = F.when(F.col(series).isNull(), F.spark_partition_id())  # rows without a series are no group
+    rows = rows.withColumn("_apart", apart).withColumn("_least", F.min("_rank").over(Window.partitionBy(series, "occurs", "_apart")))
+    return rows.filter((F.col("_rank") > 0) & (F.col(series).isNull() | (F.col("_rank") == F.col("_least")))).select(*by_rule.columns)
 
 
 def expand_calendar(calendar: DataFrame, start: str, end: str) -> DataFrame:
@@ -268,8 +276,6 @@ def expand_calendar(calendar: DataFrame, start: str, end: str) -> DataFrame:
     by_rule = by_rule.withColumn("occurs", in_local_time(F.col("occurs"), F.col("zone"))).filter(inside)
     added = masters.withColumn("occurs", F.explode(F.array_distinct("rdates"))).filter(inside)
     added = added.select(*calendar.columns, "occurs")
-    key = by_rule.select(F.col("uid").alias("_series"), F.col("occurs").alias("_occurs"))
-    added = added.join(key, (F.col("uid") == F.col("_series")) & (F.col("occurs") == F.col("_occurs")), "left_anti")
-    gone = masters.select("uid", F.explode("exdates").alias("occurs")).unionByName(moved.select("uid", F.col("recurrence_id").alias("occurs")))
+    gone = masters.select("uid", F.explode("exdates").alias("occurs")).unionByName(moved.select("uid", F.col("recurrence_id").alias("occurs"))).filter(inside)
     there = moved.withColumn("occurs", in_local_time(F.col("starts"), F.col("zone"))).filter(inside)
-    return without(by_rule.unionByName(added), gone).unionByName(there)
+    return standing(by_rule, added, gone).unionByName(there)

@@ -177,3 +177,18 @@ def test_a_rule_that_many_events_share_is_read_once(spark):
     assert {r._month_days[0] for r in read.filter("rrule = 'FREQ=MONTHLY;COUNT=3'").collect()} == {5, 30, 31}
     plan = read._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("Generate") < plan.index("Aggregate")  # all reading stands above the distinct texts, none above the events
+
+
+def test_rules_of_a_calendar_are_worked_out_once(spark):
+    """Additions that a rule hits, exclusions, and rows without a series; the occurrences by rule are made in one place of the plan."""
+    at = lambda day, hour=9: datetime(2024, 3, day, hour)
+    schema = "uid string, starts timestamp_ntz, zone string, all_day boolean, rrule string, exdates array<timestamp_ntz>, rdates array<timestamp_ntz>, recurrence_id timestamp_ntz"
+    rows = [
+        ("a", at(1), None, False, "FREQ=DAILY;COUNT=4", [at(2)], [at(2), at(3), at(9), at(9)], None), ("a", at(4, 15), None, False, None, None, None, at(4)),
+        (None, at(1), None, False, "FREQ=DAILY;COUNT=2", [at(1)], [at(2)], None), ("b", at(5), None, False, None, None, [at(5), at(6)], None), ("b", at(5), None, False, None, None, [at(6)], None),
+    ]
+    made = recurrence.expand_calendar(spark.createDataFrame(rows, schema), "2024-03-01", "2024-03-31")
+    got = sorted((r.uid or "", r.occurs) for r in made.collect())
+    want = [("", at(1)), ("", at(2)), ("", at(2)), ("a", at(1)), ("a", at(3)), ("a", at(4, 15)), ("a", at(9)), ("b", at(5)), ("b", at(5)), ("b", at(6)), ("b", at(6))]
+    assert got == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
