@@ -13,6 +13,8 @@ _TRADE = "name: string, net: bigint, buyV: bigint, sellV: bigint, buyP: double,
 BROKER_SCHEMA = f"struct<buyers: array<struct<{_TRADE}>>, sellers: array<struct<{_TRADE}>>, daytraders: array<struct<{_TRADE}>>>"
 PRICE_SCHEMA = "struct<close: double, flat: double, limitUp: string, name: string>"
 SIDES = (("buyers", 15), ("sellers", 15), ("daytraders", 10))
+#: Trades that a task should sum, and tasks that the brokers of one stock are dealt to.
+TASK_ROWS, SLOTS = 250_000, 8
 
 
 def explode_sides(df: DataFrame, detail: str, sides: Sequence[tuple[str, int]] = SIDES) -> DataFrame:
@@ -32,8 +34,17 @@ def top_brokers(trades: DataFrame, keys: Sequence[str], n_side: int = 15, n_day:
     Trades are summed per broker first, then ranked: buyers have a net of at
     least zero and sellers one below, both by the size of the net;
     day-traders both buy and sell and rank by the smaller side. Ties by broker.
+
+    The trades are counted and dealt to so many tasks that each gets about
+    TASK_ROWS; there are nearly as many sums as trades, so none are made before
+    the shuffle. The brokers of a stock are dealt to SLOTS tasks, ranked
+    there, and only the first of each meet. The trades of one broker in one stock
+    are summed by one task, which holds one row for them.
     """
-    sums = trades.groupBy(*keys, "broker").agg(
+    spark, most = trades.sparkSession, max(n_side, n_day)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-trades.count() // TASK_ROWS))
+    dealt = trades.withColumn("_slot", F.pmod(F.xxhash64("broker"), F.lit(SLOTS)).cast("int")).repartition(tasks, *keys, "_slot")
+    sums = dealt.groupBy(*keys, "_slot", "broker").agg(
         F.sum(F.when(~F.col("is_sell"), F.col("volume")).otherwise(0)).alias("buyV"), F.sum(F.when(F.col("is_sell"), F.col("volume")).otherwise(0)).alias("sellV")
     ).withColumn("net", F.col("buyV") - F.col("sellV"))
     roles = F.array_compact(F.array(
@@ -41,9 +52,13 @@ def top_brokers(trades: DataFrame, keys: Sequence[str], n_side: int = 15, n_day:
             F.struct(F.lit("sellers").alias("side"), F.abs("net").alias("weight"), F.lit(n_side).alias("most"))),
         F.when((F.col("buyV") > 0) & (F.col("sellV") > 0), F.struct(F.lit("daytraders").alias("side"), F.least("buyV", "sellV").alias("weight"), F.lit(n_day).alias("most"))),
     ))
-    order = Window.partitionBy(*keys, "side").orderBy(F.desc("weight"), "broker")
-    ranked = sums.withColumn("_role", F.explode(roles)).select("*", "_role.*").withColumn("pos", F.row_number().over(order))
-    return ranked.filter(F.col("pos") <= n_side).filter(F.col("pos") <= F.col("most")).select(*keys, "side", "pos", "broker", "buyV", "sellV", "net")
+
+    def first(rows: DataFrame, *within: str) -> DataFrame:
+        order = Window.partitionBy(*keys, *within).orderBy(F.desc("weight"), "broker")
+        return rows.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= most).filter(F.col("pos") <= F.col("most"))
+
+    ranked = first(sums.withColumn("_role", F.explode(roles)).select("*", "_role.*").drop("_role"), "_slot", "side").drop("_slot", "pos")
+    return first(ranked.repartition(tasks, *keys, "side"), "side").select(*keys, "side", "pos", "broker", "buyV", "sellV", "net")
 
 
 def format_rows(rows: DataFrame) -> DataFrame:
