@@ -41,6 +41,11 @@ def word_count(text: Column) -> Column:
     return counts(text)
 
 
+def has_words(text: Column) -> Column:
+    """Whether ``word_count`` is above 0, without Python."""
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
 def mix_key(doc_id: Column, text: Column, seed: int) -> Column:
     """Hash-random sort key: hex text, the same on every run."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")))))
@@ -153,7 +158,8 @@ def take_mix(docs: DataFrame, *, seed: int = 0, max_epochs: int = MAX_EPOCHS) ->
         .otherwise(F.col("c_here.size"))
         .cast("long")
     )
-    joined = sized.join(cuts, F.col("source").eqNullSafe(F.col("c_source"))).withColumn("c_last", last).filter("c_here.size > 0 and (c_epochs > 0 or c_last > 0)")
+    sized = sized.filter(has_words(F.col("text")))  # by the number of words, Spark would count them twice, in two Python workers at once
+    joined = sized.join(cuts, F.col("source").eqNullSafe(F.col("c_source"))).withColumn("c_last", last).filter("c_epochs > 0 or c_last > 0")
     passes = F.expr("concat(array_repeat(c_here.size, cast(c_epochs as int)), if(c_last > 0, array(c_last), array()))")
     copies = joined.withColumn("c_take", F.explode(passes))
     # pieces of a split at word ends are one word each, with the blanks before it

@@ -117,3 +117,13 @@ def test_a_mix_that_ends_in_repeated_rows_is_the_same_however_the_rows_lie(spark
     schema = "doc_id long, text string, source string"
     runs = [sorted(map(tuple, mixing.take_mix(spark.createDataFrame(r, schema).repartition(n), seed=4).collect())) for r, n in ((rows, 1), (rows[::-1], 3), (rows, 7))]
     assert runs[0] == runs[1] == runs[2] and runs[0]
+
+
+def test_words_are_counted_in_one_python_worker_for_a_task(spark, docs, capsys):
+    """Two Python steps in one stage take two workers a task, which stay and hold their memory for all that follows."""
+    mixing.take_mix(docs).explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython [") == 1
+    texts = [None, "", " \t\n\x0b\x0c\r", "\x00", "\u00a0", "\u2003\x1c", " a ", "\x85", "\n\U0001f600\n"]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = table.select("text", mixing.has_words(table.text).alias("has"), mixing.word_count(table.text).alias("n")).collect()
+    assert [r.has for r in got] == [r.n > 0 for r in got] == [size(r.text) > 0 for r in got]
